@@ -7,17 +7,21 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, packing, quality, records, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_temperature_mix": mixing.op1_temperature_mix,
         "op2_interleaved_shards": sharding.op2_interleaved_shards,
+        "op3_quality_scores": quality.op3_quality_scores,
+        "op5_binary_records": records.op5_binary_records,
+        "op6_packed_sequences": packing.op6_packed_sequences,
+        "op7_va_file_topk": topk.op7_va_file_topk,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_temperature_mix": mixing.ORACLE_SQL}
+    found = {"op1_temperature_mix": mixing.ORACLE_SQL, "op7_va_file_topk": topk.ORACLE_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
