@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, records, sharding, simhash, topk
+from . import mixing, packing, quality, records, sharding, simhash, suffix, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_binary_records": records.op5_binary_records,
         "op6_packed_sequences": packing.op6_packed_sequences,
         "op7_va_file_topk": topk.op7_va_file_topk,
+        "op8_repeated_bytes": suffix.op8_repeated_bytes,
         "op9_simhash_groups": simhash.op9_simhash_groups,
         "pipeline": corpus_pipeline.run,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
 
@@ -80,3 +81,13 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     k[k == len(known)] = 0
     out[at] = known[k] == some
     return out
+
+
+def shared(table: pa.Table) -> pa.Table:
+    """Of a bucket's runs (run, data), each run's keys that occur more than once in the bucket."""
+    runs = [unpack_sorted(x) for x in table.column("data").to_pylist()]
+    every = np.concatenate(runs)
+    every.sort()
+    twice = repeated(every)
+    kept = [pack_sorted(np.unique(x[among(x, twice)])) for x in runs]
+    return pa.table({"run": table.column("run"), "data": pa.array(kept, pa.binary())})

@@ -22,7 +22,7 @@ from xxhash import xxh64_intdigest
 
 from .common import text_bytes, written
 from .components import components
-from .runs import among, mix, pack_sorted, repeated, unpack_sorted
+from .runs import among, mix, pack_sorted, shared, unpack_sorted
 
 _U = np.uint64
 #: Bytes of variant keys that a run makes, and variants that meet in a bucket, about.
@@ -139,14 +139,6 @@ def links(distinct: DataFrame, ball: Ball) -> DataFrame:
         runs = [pack_sorted(x) for x in np.split(h, cuts)]
         return pa.table({"bucket": pa.array(range(len(runs)), pa.int32()), "run": pa.array([table.column("run")[0].as_py()] * len(runs), pa.int32()), "data": pa.array(runs, pa.binary())})
 
-    def shared(table: pa.Table) -> pa.Table:
-        runs = [unpack_sorted(x) for x in table.column("data").to_pylist()]
-        every = np.concatenate(runs)
-        every.sort()
-        twice = repeated(every)
-        kept = [pack_sorted(np.unique(x[among(x, twice)])) for x in runs]
-        return pa.table({"run": table.column("run"), "data": pa.array(kept, pa.binary())})
-
     def owners(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[str, list] = {"bucket": [], "keys": [], "at": [], "node": [], "doc": [], "fp": []}
         if left.num_rows and right.num_rows:
