@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, records, sharding, simhash, suffix, topk
+from . import mixing, packing, quality, records, sharding, simhash, suffix, syncmers, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_temperature_mix": mixing.op1_temperature_mix,
         "op2_interleaved_shards": sharding.op2_interleaved_shards,
         "op3_quality_scores": quality.op3_quality_scores,
+        "op4_syncmer_fingerprints": syncmers.op4_syncmer_fingerprints,
         "op5_binary_records": records.op5_binary_records,
         "op6_packed_sequences": packing.op6_packed_sequences,
         "op7_va_file_topk": topk.op7_va_file_topk,
