@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, records, sharding, simhash, suffix, syncmers, topk
+from . import ctw, mixing, packing, quality, records, sharding, simhash, suffix, syncmers, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_va_file_topk": topk.op7_va_file_topk,
         "op8_repeated_bytes": suffix.op8_repeated_bytes,
         "op9_simhash_groups": simhash.op9_simhash_groups,
+        "op10_context_tree_scores": ctw.op10_context_tree_scores,
         "pipeline": corpus_pipeline.run,
     }
 
