@@ -1,22 +1,58 @@
-"""The corpus pipeline: quality, near copies, repeated passages, mixture, packed sequences."""
+"""The corpus pipeline: quality, near copies, repeated passages, mixture, packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
+of documents. A runner writes what a stage returns and reads it again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import mixing
+from docweave.llm import mixing, packing, quality, simhash, suffix
+from docweave.llm.common import written
+
+
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels of docs, scores at 0.7 or more."""
+    return quality.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return simhash.deduplicated(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings that documents before them have."""
+    return suffix.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the temperature mixture of the sources draws them: once at least, at most twice as often as the largest source's."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("mixing", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 2048."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", accept),
+    ("SimHash near-dedup", deduplicate),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
+
+#: SQL can't express the first stage; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs

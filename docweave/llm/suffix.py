@@ -426,3 +426,37 @@ def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return spans_of(docs, [], cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def on_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
+    """The spans without the parts of characters at their ends, so that what is left is UTF-8."""
+    out = []
+    for first, end in spans.tolist():
+        while first < end and text[first] & 0xC0 == 0x80:
+            first += 1
+        while end > first and end < len(text) and text[end] & 0xC0 == 0x80:
+            end -= 1
+        if first < end:
+            out.append((first, end))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated 50-byte strings cut from their texts, all columns kept; n_chars, if there, counts what is left.
+
+    The first occurrence, by doc_id, stays. A document is never dropped, even if nothing is left of its text; null
+    texts stay null.
+    """
+    names = docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in names if c != "text"), F.col("text").isNull().alias("__null")).alias("__row")
+    kind = docs.select(row, F.col("text").cast("binary").alias("__text")).schema
+
+    def cut(table: pa.Table, spans: list[np.ndarray]) -> pa.Table:
+        texts = [t.as_py() for t in table.column("text")]
+        left = [kept(t, on_characters(t, s)) if len(s) else t for t, s in zip(texts, spans, strict=True)]
+        return pa.table({"__row": table.column("__row"), "__text": pa.array(left, pa.binary())})
+
+    df = spans_of(docs, [row], cut, kind)
+    text = F.when(~F.col("__row.__null"), F.col("__text").cast("string"))
+    back = {"text": text} | ({"n_chars": F.when(F.col("__row.n_chars").isNotNull(), F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return df.select(*(back.get(c, F.col(f"__row.`{c}`")).alias(c) for c in names))
