@@ -1 +1 @@
-
+"""Column functions: text, identities, names and extracted records."""
