@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .fixed_values import COMPLETION_MARKER, TUPLE_DELIMITER
 from .names import entity_type, is_good_name, path_reason, quality_reason, short_identifier
-from .text import is_float, normalize_name, repair_delimiters, sanitize, split_markers, strip
+from .text import is_float, let, normalize_name, repair_delimiters, sanitize, split_markers, strip
 
 _D = TUPLE_DELIMITER
 
@@ -38,7 +38,9 @@ def entities(df: DataFrame, entities_in_text: bool = False) -> DataFrame:
     clean = lambda c, q=False: normalize_name(sanitize(c, entities_in_text), q)
     df = df.where((F.size(f) == 4) & F.contains(F.get(f, F.lit(0)), F.lit("entity")))
     df = df.withColumn("entity_name", short_identifier(clean(f[1], True))).withColumn("entity_type", entity_type(clean(f[2], True))).withColumn("description", clean(f[3]))
-    return df.where((F.col("entity_name") != "") & is_good_name(F.col("entity_name")) & F.col("entity_type").isNotNull() & (F.col("description") != "")).drop("fields")
+    fine = F.struct("entity_name", "entity_type", "description")
+    good = let(fine, lambda x: (x["entity_name"] != "") & is_good_name(x["entity_name"]) & x["entity_type"].isNotNull() & (x["description"] != ""))
+    return df.where(good).drop("fields")
 
 
 def relations(df: DataFrame, entities_in_text: bool = False) -> DataFrame:
@@ -50,7 +52,7 @@ def relations(df: DataFrame, entities_in_text: bool = False) -> DataFrame:
     df = df.withColumn("keywords", F.translate(clean(f[3], True), "，", ",")).withColumn("description", clean(f[4]))
     last = F.regexp_replace(f[4], "^[\"']+|[\"']+$", "")
     df = df.withColumn("weight", F.when(is_float(last), F.expr("try_cast(regexp_replace(fields[4], '^[\"\\']+|[\"\\']+$', '') as double)")).otherwise(F.lit(1.0)))
-    good = lambda c: (F.col(c) != "") & is_good_name(F.col(c))
+    good = lambda c: let(F.col(c), lambda x: (x != "") & is_good_name(x))
     return df.where(good("src_id") & good("tgt_id") & (F.col("src_id") != F.col("tgt_id"))).drop("fields")
 
 

@@ -36,15 +36,18 @@ def sanitize(c: Column, entities: bool = True) -> Column:
     """
     c = F.regexp_replace(strip(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\uFFFE\uFFFF]", "")
     if entities:
-        c = F.when(c.contains("&"), unescape_html(F.when(c.contains("&"), c))).otherwise(c)
+        c = F.coalesce(unescape_html(F.when(c.contains("&"), c)), c)
     return strip(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""))
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with value computed once, however often it asks for x; plans stay as long as they are written."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unquoted(c: Column, first: str, last: str) -> Column:
     """Without one pair of outer quotes, if there are none inside."""
-    inner = F.substring(c, F.lit(2), F.length(c) - 2)
-    clear = ~(inner.contains(first) | inner.contains(last))
-    return F.when((F.length(c) >= 2) & c.startswith(first) & c.endswith(last) & clear, inner).otherwise(c)
+    return F.regexp_replace(c, f"^{first}([^{first}{last}]*){last}$", "$1")
 
 
 def normalize_name(c: Column, inner_quotes: bool = False) -> Column:
@@ -60,9 +63,8 @@ def normalize_name(c: Column, inner_quotes: bool = False) -> Column:
         c = F.regexp_replace(c, "[“”‘’]", "")
         c = F.regexp_replace(c, f"['\"]+(?={CJK})|(?<={CJK})['\"]+", "")
         c = F.regexp_replace(F.translate(c, "\u00a0", " "), "(?<=[^0-9])\u202f", " ")
-    c = strip(c)
-    short = ((F.length(c) < 3) & c.rlike("^[0-9]+$")) | ((F.length(c) < 6) & c.rlike(r"^[0-9.]*\.[0-9.]*$"))
-    return F.when(short, F.lit("")).otherwise(c)
+    # Short bare numbers are no names.
+    return F.regexp_replace(strip(c), r"^(?:[0-9]{1,2}|(?=[0-9.]{1,5}$)[0-9.]*\.[0-9.]*)$", "")
 
 
 def split_markers(c: Column, markers: list[str]) -> Column:
@@ -83,8 +85,7 @@ def strip_think(c: Column) -> Column:
 
 
 def summary(c: Column, most: int = SUMMARY_CHARS) -> Column:
-    c = strip(c)
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
+    return let(strip(c), lambda t: F.when(F.length(t) > most, F.concat(F.substring(t, F.lit(1), F.lit(most)), F.lit("..."))).otherwise(t))
 
 
 def is_float(c: Column) -> Column:
