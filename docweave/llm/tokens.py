@@ -1,25 +1,24 @@
 """Token ids by the tokenizers library, with a cache of words.
 
 The tokenizer drops white space and never joins tokens across it, so a text's ids are its words' ids in turn. Words are
-lower-cased in ASCII, which the tokenizer would do anyway, and a single mark after a letter at a word's end is split
-off, as the tokenizer does; most words are then found in a cache of the worker. Texts with "<|" (which may hold a
-special token) are encoded whole.
+lower-cased in ASCII, which the tokenizer would do anyway; most are then found in a cache of the worker. Texts with "<|"
+(which may hold a special token) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 #: The cache is emptied at so many words, which bounds a worker's memory.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Words that one call encodes; bytes of text whose words are looked up at once.
 JOINED, CHUNK = 100, 1 << 19
-_SPLIT = re.compile(rb"(?<=[a-z])([,.!?;:])(?=[ \t\n\r]|\Z)")
+#: Marks that end words: a run of them after a letter is a token's text of its own.
+MARKS = b",.!?;:"
 
 
 class Encoder:
@@ -40,22 +39,31 @@ class Encoder:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
+        """Adds words to the cache. Words of letters are encoded many at a time, and so are their stems before marks."""
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
-        plain = []
+        cache, plain, marked = self.cache, [], []
         for w in words:
-            if (s := w.decode()).isalpha() and (s.isascii() or s.lower().isalpha() and unicodedata.normalize("NFC", s).isalpha()):
-                plain.append((w, s))
+            if w.isalpha() or letters(w):
+                plain.append(w)
+            elif (stem := w.rstrip(MARKS)) != w and (stem.isalpha() or letters(stem)):
+                marked.append((w, stem, w[len(stem) :]))
             else:
-                self.cache[w] = self.whole(w)
+                cache[w] = self.whole(w)
+        plain += {stem for _, stem, _ in marked if stem not in cache and stem not in words}
+        size = self.dtype.itemsize
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(s for _, s in g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1  # a word's last token, and no other, has the mark of a word's end
-            start = 0
-            for (w, _), end in zip(group, ends.tolist(), strict=True):
-                self.cache[w] = ids[start:end].tobytes()
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()  # a word's last token, and no other, has the mark of a word's end
+            data, start = ids.tobytes(), 0
+            for w, end in zip(group, ends, strict=True):
+                cache[w] = data[start:end]
                 start = end
+        for w, stem, marks in marked:
+            if marks not in cache:
+                cache[marks] = self.whole(marks)
+            cache[w] = cache[stem] + cache[marks]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
@@ -71,7 +79,7 @@ class Encoder:
             while last < len(chunks) and (size < CHUNK or last == first):
                 size += len(chunks[last])
                 last += 1
-            words = [None if b"<|" in c else _SPLIT.sub(rb" \1", c.lower()).replace(b"\n", b" ").split(b" ") for c in chunks[first:last]]
+            words = [None if b"<|" in c else c.lower().replace(b"\n", b" ").split(b" ") for c in chunks[first:last]]
             need: set[bytes] = set().union(*(w for w in words if w is not None))
             while missing := need.difference(self.cache):
                 self.learn(missing)
@@ -95,6 +103,12 @@ def cut_long(text: bytes) -> list[bytes]:
     return out
 
 
+def letters(word: bytes) -> bool:
+    """Whether a word is letters alone and stays so when the tokenizer normalises it."""
+    s = word.decode()
+    return not s.isascii() and s.isalpha() and s.lower().isalpha() and unicodedata.normalize("NFC", s).isalpha()
+
+
 _encoders: dict[str, Encoder] = {}
 
 
