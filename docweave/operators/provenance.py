@@ -73,15 +73,15 @@ def weighted_polling(df: DataFrame, item: str, position: str, chunk: str, most:
     """
     n = F.size(F.collect_set(item).over(Window.partitionBy(*by)))
     quota = F.when(n == 1, F.lit(most)).otherwise(F.bround(most - F.col(item) / (n - 1) * (most - least)).cast("int"))
-    df = df.withColumn("__q", quota).withColumn("__k", F.row_number().over(Window.partitionBy(*by, item).orderBy(position)))
+    df = df.withColumn("__q", quota).withColumn("__k", F.row_number().over(Window.partitionBy(*by, item).orderBy(position, chunk)))
     whole = Window.partitionBy(*by)
     used = F.sum(F.when(F.col("__k") <= F.col("__q"), 1).otherwise(0)).over(whole)
     # Quotas of all items, each once.
     total = F.sum(F.when(F.col("__k") == 1, F.col("__q")).otherwise(0)).over(whole)
     df = df.withColumn("__late", (F.col("__k") > F.col("__q")).cast("int")).withColumn("__spare", total - used)
-    order = Window.partitionBy(*by, "__late").orderBy(item, position)
+    order = Window.partitionBy(*by, "__late").orderBy(item, position, chunk)
     df = df.withColumn("__n", F.row_number().over(order)).where((F.col("__late") == 0) | (F.col("__n") <= F.col("__spare")))
-    return df.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy("__late", item, position))).drop("__q", "__k", "__late", "__spare", "__n")
+    return df.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy("__late", item, position, chunk))).drop("__q", "__k", "__late", "__spare", "__n")
 
 
 def reference_list(df: DataFrame, path: str, position: str, by: list[str] = ()) -> DataFrame:

@@ -192,12 +192,12 @@ def kg_rename(spark, sf):
 
 
 @query(f"""
-WITH {_RECORDS}, m AS (SELECT source_id, arg_min(part, seq) AS main FROM li GROUP BY 1)
+WITH {_RECORDS}, m AS (SELECT source_id, arg_min(part, row(seq, part)) AS main FROM li GROUP BY 1)
 SELECT DISTINCT part AS src, main AS tgt, CAST(10.0 AS DOUBLE) AS weight, source_id AS chunk_id FROM li JOIN m USING (source_id) WHERE part <> main""")
 def kg_belongs_to(spark, sf):
     """Edges from a chunk's entities to its main one."""
     r = _records(spark, sf)
-    main = r.groupBy(F.col("source_id").alias("chunk_id")).agg(F.min_by("part", "seq").alias("main"))
+    main = r.groupBy(F.col("source_id").alias("chunk_id")).agg(F.min_by("part", F.struct("seq", "part")).alias("main"))
     return graph.belongs_to(r.select(F.col("source_id").alias("chunk_id"), F.col("part").alias("entity_name")), main).select("src", "tgt", "weight", "chunk_id")
 
 

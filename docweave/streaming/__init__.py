@@ -1 +1 @@
-
+"""Incremental ingest."""
