@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as T
 from docweave.operators import chunking, evaluation, multimodal, tables
 
-from .base import registry, table
+from .base import registry, spread, table
 
 QUERIES, SQL, query = registry()
 
@@ -20,7 +20,7 @@ _CLEAN = _STRIP(r"regexp_replace(" + _STRIP("text") + r", '[\x00-\x08\x0B\x0C\x0
 
 
 def _clean_docs(spark, sf):
-    return table(spark, sf, "documents").withColumn("content", T.sanitize(F.col("text"), entities=False))
+    return spread(table(spark, sf, "documents")).withColumn("content", T.sanitize(F.col("text"), entities=False))
 
 
 @query(f"""
@@ -30,13 +30,16 @@ c AS (SELECT source, lang, content, unnest(range(0, length(content), 1100)) AS s
 SELECT source, lang, count(DISTINCT content) AS n_docs, count(*) AS n_chunks, CAST(sum(least(1200, length(content) - s)) AS BIGINT) AS n_tokens
 FROM c GROUP BY source, lang""")
 def chunk_rollup(spark, sf):
-    """Distinct documents, chunks and tokens by source and language, from text to id to windows."""
-    d = _clean_docs(spark, sf).withColumn("id", T.content_id("doc-", F.col("content")))
-    first = d.groupBy("id").agg(F.min_by(F.struct("source", "lang", "content"), "doc_id").alias("d"))
-    c = first.select("id", "d.source", "d.lang", chunking.windows(F.col("d.content")).alias("w"))
-    c = c.where(F.size("w") > 0)
-    tokens = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
-    return c.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.size("w")).alias("n_chunks"), F.sum(tokens).alias("n_tokens"))
+    """Distinct documents, chunks and tokens by source and language, from text to id to windows.
+
+    Windows are counted before the shuffle, so that texts are not in it.
+    """
+    w = chunking.window_tokens(F.col("content"))
+    d = _clean_docs(spark, sf).select("doc_id", "source", "lang", T.content_id("doc-", F.col("content")).alias("id"), w.alias("w"))
+    tokens = F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + x)
+    d = d.select("doc_id", "source", "lang", "id", F.size("w").alias("n"), tokens.alias("t"))
+    c = d.groupBy("id").agg(F.min_by(F.struct("source", "lang", "n", "t"), "doc_id").alias("d")).select("d.*").where("n > 0")
+    return c.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chunks"), F.sum("t").alias("n_tokens"))
 
 
 @query(f"""
@@ -60,7 +63,7 @@ SELECT doc_id, CAST(s // 1100 AS INTEGER) AS chunk_order_index, CAST(least(1200,
        'chunk-' || md5({_STRIP('substring(text, s + 1, 1200)')}) AS chunk_id FROM c""")
 def chunk_token_windows(spark, sf):
     """Windows of 1,200 characters that overlap by 100, with content ids."""
-    c = chunking.exploded(table(spark, sf, "documents"), chunking.windows(F.col("text")), "doc_id")
+    c = chunking.exploded(spread(table(spark, sf, "documents")), chunking.windows(F.col("text")), "doc_id")
     return c.select("doc_id", "chunk_order_index", "tokens", T.content_id("chunk-", F.col("content")).alias("chunk_id"))
 
 
@@ -72,7 +75,7 @@ c AS (SELECT doc_id, k, s, CASE WHEN length(part) > 300 THEN least(300, length(p
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, s) - 1 AS INTEGER) AS chunk_order_index, CAST(tokens AS INTEGER) AS tokens, md5({_STRIP('content')}) AS digest FROM c""")
 def chunk_split_by_char(spark, sf):
     """Lines, those over 300 characters in windows that overlap by 50."""
-    c = chunking.exploded(table(spark, sf, "documents"), chunking.delimited(F.col("text"), "\n", 300, 50), "doc_id")
+    c = chunking.exploded(spread(table(spark, sf, "documents")), chunking.delimited(F.col("text"), "\n", 300, 50), "doc_id")
     return c.select("doc_id", "chunk_order_index", "tokens", F.md5("content").alias("digest"))
 
 
@@ -92,7 +95,7 @@ s AS (SELECT doc_id, text, n, unnest(CASE WHEN n <= 1920 THEN [0] ELSE range(0,
 SELECT doc_id, CAST(s // 1792 AS INTEGER) AS window_no, md5(CASE WHEN n <= 1920 THEN text ELSE substring(text, s + 1, 1920) END) AS digest FROM s""")
 def rerank_char_windows(spark, sf):
     """Windows of 480 tokens of four characters that overlap by 32; the last ends with the text."""
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(chunking.rerank_windows(F.col("text"))).alias("window_no", "w")).select("doc_id", "window_no", F.md5("w").alias("digest"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.posexplode(chunking.rerank_windows(F.col("text"))).alias("window_no", "w")).select("doc_id", "window_no", F.md5("w").alias("digest"))
 
 
 @query("""
@@ -102,7 +105,7 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(greatest(0, least(
 FROM (SELECT doc_id, n, unnest(range(0, n, 1100)) AS s FROM l) GROUP BY doc_id""")
 def chunk_overlap_stats(spark, sf):
     """Tokens of a document's windows and how many of them the window before has too."""
-    c = chunking.exploded(table(spark, sf, "documents"), chunking.windows(F.col("text")), "doc_id")
+    c = chunking.exploded(spread(table(spark, sf, "documents")), chunking.windows(F.col("text")), "doc_id")
     shared = F.when(F.col("chunk_order_index") > 0, F.least(F.lit(100), F.col("tokens"))).otherwise(0)
     return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("n_tokens"), F.sum(shared).alias("n_overlap"))
 

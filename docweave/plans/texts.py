@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions import extraction, names
 from docweave.functions import text as T
 
-from .base import registry, table
+from .base import registry, spread, table
 
 QUERIES, SQL, query = registry()
 _D = "<|#|>"
@@ -66,7 +66,7 @@ def split_markers(spark, sf):
 
 def _answers(spark, sf):
     """An extraction answer a part: two entities and a relation, noise, one record without a description, one loop."""
-    ps = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 100).alias("l_suppkey"))
+    ps = spread(table(spark, sf, "part")).select(F.col("p_partkey").alias("l_partkey"), (F.col("p_partkey") % 100).alias("l_suppkey"))
     part, supp = F.concat(F.lit("Part "), F.col("l_partkey")), F.concat(F.lit("Supplier "), F.col("l_suppkey"))
     line = lambda *f: F.concat_ws(_D, *(F.lit(x) if isinstance(x, str) else x for x in f))
     text = F.concat_ws(
