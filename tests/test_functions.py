@@ -53,7 +53,7 @@ def test_surface(name, want):
 
 def test_path_keys():
     text = "Image Path: out/figs_1/my-image.png\nsee /usr/share/some_dir and ~/x/12"
-    assert names.path_keys_of(text) == ["figs 1", "my image", "out", "share", "some dir", "usr"]
+    assert names.path_keys_of(text) == ["figs 1", "my image", "out", "share", "some dir", "usr", "~"]
 
 
 def test_records(spark):
