@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from pyspark.sql import functions as F
 #: Rows that a bucket of a two-level rank holds on average, and the most buckets there are.
 BUCKET_ROWS, MAX_BUCKETS = 256, 65536
 
+BATCH_ROWS = 1000
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -42,6 +48,13 @@ def release(_final: bool = False) -> None:
 atexit.register(release, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python a thousand at a time at most: both sides hold a batch or two in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: it is computed once, and lost executors don't lose it."""
     spark = df.sparkSession
@@ -83,3 +96,34 @@ def prefix(df: DataFrame, groups: list[str], bucket: str, order: list[Column], v
     inside = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.join(sums, [*groups, bucket])
     return df.withColumn(out, F.col("__base") + F.sum(value).over(inside) - value).drop("__base")
+
+
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system; workers live on, and an executor's memory is for all."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group, its memory given back after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        trim()
+        return out
+
+    return run
+
+
+def tidy2(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """As tidy, of two groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        trim()
+        return out
+
+    return run

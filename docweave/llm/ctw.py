@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import text_bytes, written
+from .common import small_batches, text_bytes, tidy, tidy2, written
 from .runs import mix, pack_sorted, unpack_sorted
 
 _U = np.uint64
@@ -264,7 +264,7 @@ def count(rows: DataFrame, few: int) -> DataFrame:
         return pa.table({c: list(v) for c, v in zip(("kind", "bucket", "keys", "counts", "total", "n_distinct"), zip(*out, strict=True), strict=True)}, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("n_distinct", pa.int64())]))
 
     train = rows.where("not held_out").select("text")
-    return train.mapInArrow(runs, COUNTED).groupBy("kind", "bucket").applyInArrow(add, MODEL)
+    return train.mapInArrow(runs, COUNTED).groupBy("kind", "bucket").applyInArrow(tidy(add), MODEL)
 
 
 def top_of(model: DataFrame) -> Top:
@@ -326,6 +326,7 @@ def score(docs: DataFrame) -> DataFrame:
     document each bit has probability 1/2.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_bytes().alias("text"))
     n, size, ends = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     few = max(2, (size // BUCKET_BYTES).bit_length())
@@ -393,10 +394,10 @@ def score(docs: DataFrame) -> DataFrame:
                 n_known.append(int((each > least).sum()) + (ends > 0))
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": [tokens] * len(texts), "base_score": base, "score": np.concatenate(scores)})
 
-    asked = by_group.applyInArrow(ask, "kind int, bucket int, group int, keys binary")
+    asked = by_group.applyInArrow(tidy(ask), "kind int, bucket int, group int, keys binary")
     known = model.where(F.col("kind") != TOP).select("kind", "bucket", "keys", "counts")
-    told = known.groupBy("kind", "bucket").cogroup(asked.groupBy("kind", "bucket")).applyInArrow(answer, "group int, kind int, bucket int, data binary")
-    return by_group.cogroup(told.groupBy("group")).applyInArrow(tell, SCORED)
+    told = known.groupBy("kind", "bucket").cogroup(asked.groupBy("kind", "bucket")).applyInArrow(tidy2(answer), "group int, kind int, bucket int, data binary")
+    return by_group.cogroup(told.groupBy("group")).applyInArrow(tidy2(tell), SCORED)
 
 
 def op10_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

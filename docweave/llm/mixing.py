@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, md5_bucket, prefix, text_or_empty
+from .common import bucket_count, md5_bucket, prefix, text_or_empty, written
 
 #: Production parameters: no source is passed over more than twice as often as the largest; tokens of an output block.
 MAX_EPOCHS, BLOCK_TOKENS, SEED, STEPS = 2.0, 1 << 18, 23, 60
@@ -23,9 +23,9 @@ def tokens_of(text: str = "text") -> Column:
 
 
 def bisect(holds: Callable[[float], bool], steps: int = STEPS) -> float:
-    """The largest exponent in [0, 1], to 2^-steps, below which... holds() is false; holds(1) must be true.
+    """The least exponent in [0, 1], to 2^-steps, that holds.
 
-    holds is monotone: false for small exponents and true from some exponent on. Returned is an exponent that holds.
+    holds is false for small exponents and true from some exponent on, at 1 in any case.
     """
     low, high = 0.0, 1.0
     if holds(0.0):
@@ -123,7 +123,7 @@ def mix_documents(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = S
     pass says which rows it has: texts are not shuffled.
     """
     names = docs.columns
-    small = docs.select("doc_id", "source", tokens_of().alias("tokens"))
+    small = written(docs.select("doc_id", "source", tokens_of().alias("tokens")))
     last = draws(small, max_epochs, seed=seed).groupBy("__s", "epoch").agg(F.max("__k").alias("__last"))
     last = last.withColumnRenamed("epoch", "__e")
     last = F.broadcast(last) if last.limit(DRIVER_SOURCES + 1).count() <= DRIVER_SOURCES else last
@@ -136,7 +136,7 @@ def mix_documents(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = S
 def op1_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed over their sources with at most two passes a source, in blocks of 2^18 tokens (words and ends)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixed(docs.select("doc_id", "source", tokens_of().alias("tokens")), MAX_EPOCHS)
+    return mixed(written(docs.select("doc_id", "source", tokens_of().alias("tokens"))), MAX_EPOCHS)
 
 
 ORACLE_SQL = r"""

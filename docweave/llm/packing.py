@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, prefix, text_bytes, written
+from .common import bucket_count, prefix, small_batches, text_bytes, written
 from .records import parts
 from .tokens import TOKENIZER, encoder
 
@@ -110,6 +110,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity:
     A document longer than the capacity is cut into pieces of it; others stay whole. Null text: the end id alone.
     Each row of docs is packed, equal doc_ids and null doc_ids too. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     pieces = written(rows.mapInArrow(cut(tokenizer, end, capacity), PIECES))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes, trim
 
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 512, 512, 32, 16
 SAMPLE, SAMPLE_PASSAGES, EPOCHS, BATCH, RATE, DECAY, SEED = 2000, 24, 12, 64, 4e-3, 1e-4, 7
@@ -167,19 +167,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 def scored(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs (of docs.columns) and score as `__score`, from whole texts alone; 0.5 without a model."""
     spark = docs.sparkSession
+    small_batches(spark)
+    own = keep.index("text") if "text" in keep else None
     weights = spark.sparkContext.broadcast(model and model.w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = weights.value and Model(weights.value)
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            # The text goes to Python once; as a column to keep it is a string, perhaps null.
+            texts = b.column(b.num_columns - 1).to_pylist() if own is None else [(t or "").encode() for t in b.column(own).to_pylist()]
             score = m.score(texts) if m else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "__score"])
+            kept = len(keep)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(score, pa.float64())], names=[*b.schema.names[:kept], "__score"])
+            trim()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), text_bytes().alias("__text"))
-    schema = StructType([*rows.schema.fields[:-1], StructField("__score", DoubleType())])
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *([text_bytes().alias("__text")] if own is None else []))
+    schema = StructType([*rows.schema.fields[: len(keep)], StructField("__score", DoubleType())])
     return rows.mapInArrow(run, schema)
 
 

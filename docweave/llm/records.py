@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_bytes
+from .common import shared_dir, small_batches, text_bytes
 from .tokens import TOKENIZER, encoder
 
 END = 1
@@ -105,6 +105,7 @@ def write_records(docs: DataFrame, directory: str, tokenizer: str = TOKENIZER, e
     written with Spark's commit, so files of tasks that were repeated are not in it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     system, path = file_system(directory)
     system.create_dir(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import text_bytes, written
+from .common import small_batches, text_bytes, tidy, tidy2, trim, written
 from .components import components
 from .runs import among, mix, pack_sorted, shared, unpack_sorted
 
 _U = np.uint64
 #: Bytes of variant keys that a run makes, and variants that meet in a bucket, about.
-RUN_BYTES, BUCKET_KEYS = 64 << 20, 1 << 22
+RUN_BYTES, BUCKET_KEYS = 16 << 20, 1 << 20
 STEP = 1 << 15
 
 
@@ -108,6 +108,7 @@ def fingerprints(docs: DataFrame, size: int, ball: Ball, repeats: bool = True) -
         for b in batches:
             fps = [simhash(t.as_py(), size, ball.words, repeats).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], names=["doc_id", "text_hash", "fp"])
+            trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("text_hash"), text_bytes().alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary")
@@ -180,10 +181,10 @@ def links(distinct: DataFrame, ball: Ball) -> DataFrame:
         return pa.table({"a": pa.array(nodes[e[0]]), "b": pa.array(nodes[e[1]])})
 
     runs = distinct.withColumn("run", F.pmod(F.xxhash64("node"), F.lit(run_count)).cast("int"))
-    one = runs.groupBy("run").applyInArrow(first, "bucket int, run int, data binary")
-    two = one.groupBy("bucket").applyInArrow(shared, "run int, data binary")
-    three = runs.groupBy("run").cogroup(two.groupBy("run")).applyInArrow(owners, "bucket int, keys binary, at binary, node binary, doc binary, fp binary")
-    return three.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    one = runs.groupBy("run").applyInArrow(tidy(first), "bucket int, run int, data binary")
+    two = one.groupBy("bucket").applyInArrow(tidy(shared), "run int, data binary")
+    three = runs.groupBy("run").cogroup(two.groupBy("run")).applyInArrow(tidy2(owners), "bucket int, keys binary, at binary, node binary, doc binary, fp binary")
+    return three.groupBy("bucket").applyInArrow(tidy(meet), "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, size: int, ball: Ball, repeats: bool = True, verify: float | None = None) -> DataFrame:
@@ -192,6 +193,7 @@ def grouped(docs: DataFrame, size: int, ball: Ball, repeats: bool = True, verify
     verify: the least Jaccard similarity of the sets of shingles of two texts that are linked; None: links stand as the
     fingerprints give them. Rows with null doc_id are grouped too, but name no component. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     fps = written(fingerprints(docs, size, ball, repeats))
     distinct = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("doc")).withColumn("node", F.xxhash64("fp"))
     distinct = written(distinct)

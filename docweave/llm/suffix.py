@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes, tidy, tidy2
 from .runs import among, mix, pack_sorted, shared, unpack_sorted
 
 _U = np.uint64
 LENGTH, K = 50, 24
 W = LENGTH - K + 1
 #: Bytes of text worked on at once; documents of a group; anchors and suffixes that meet in a bucket, about.
-STEP, GROUP_ROWS, BUCKET_ANCHORS, BUCKET_BYTES = 1 << 20, 1000, 1 << 21, 16 << 20
+STEP, GROUP_ROWS, BUCKET_ANCHORS, BUCKET_BYTES = 1 << 18, 1000, 1 << 21, 4 << 20
 _LOW = _U((1 << 24) - 1)
 NO_ID = 2**63 - 1
 
@@ -333,7 +333,7 @@ def spans_of(docs: DataFrame, extra: list[str], cut, schema):
 
     docs: doc_id, text and the columns `extra`. Null ids are taken as the largest.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_bytes().alias("text"), *extra)
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     facts = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
@@ -343,7 +343,7 @@ def spans_of(docs: DataFrame, extra: list[str], cut, schema):
     # Copies: rows whose text is in a document before them, by two hashes and the size.
     keys = rows.select("doc_id", "text_hash", "group", F.md5("text").alias("md5"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
     firsts = keys.groupBy("md5", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = keys.join(firsts, ["md5", "size"]).where("doc_id > first").select("group", "doc_id", "text_hash").distinct()
+    copies = keys.join(firsts, ["md5", "size"]).where("doc_id > first").select("group", "doc_id", "text_hash")
     none = F.lit(None).cast("binary").alias("data")
     side = copies.select(*(F.col(c).alias(c) for c in ("group", "doc_id", "text_hash"))).select("group", F.lit(0).alias("kind"), "doc_id", "text_hash", none)
 
@@ -372,11 +372,11 @@ def spans_of(docs: DataFrame, extra: list[str], cut, schema):
         return pa.table({"bucket": pa.array([k for k, _ in runs], pa.int32()), "run": pa.array([group] * len(runs), pa.int32()), "data": pa.array([x for _, x in runs], pa.binary())})
 
     by_group = rows.groupBy("group")
-    one = by_group.cogroup(side.groupBy("group")).applyInArrow(first, "bucket int, run int, data binary")
-    two = one.groupBy("bucket").applyInArrow(shared, "run int, data binary")
+    one = by_group.cogroup(side.groupBy("group")).applyInArrow(tidy2(first), "bucket int, run int, data binary")
+    two = one.groupBy("bucket").applyInArrow(tidy(shared), "run int, data binary")
     asked = side.unionByName(two.select(F.col("run").alias("group"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), "data"))
-    three = by_group.cogroup(asked.groupBy("group")).applyInArrow(lambda t, s: suffix_runs(t, s, shift, spread), SUFFIX_SCHEMA)
-    four = three.groupBy("bucket").applyInArrow(covered, "group int, data binary")
+    three = by_group.cogroup(asked.groupBy("group")).applyInArrow(tidy2(lambda t, s: suffix_runs(t, s, shift, spread)), SUFFIX_SCHEMA)
+    four = three.groupBy("bucket").applyInArrow(tidy(covered), "group int, data binary")
     told = side.unionByName(four.select("group", F.lit(2).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), "data"))
 
     def last(table: pa.Table, side: pa.Table) -> pa.Table:
@@ -397,7 +397,7 @@ def spans_of(docs: DataFrame, extra: list[str], cut, schema):
                 spans.append(np.zeros((0, 2), np.int64))
         return cut(table, spans)
 
-    return by_group.cogroup(told.groupBy("group")).applyInArrow(last, schema)
+    return by_group.cogroup(told.groupBy("group")).applyInArrow(tidy2(last), schema)
 
 
 def kept(text: bytes, spans: np.ndarray) -> bytes:

@@ -14,7 +14,7 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 #: The cache is emptied at so many words, which bounds a worker's memory.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Words that one call encodes; bytes of text whose words are looked up at once.
 JOINED, CHUNK = 100, 1 << 19
 #: Marks that end words: a run of them after a letter is a token's text of its own.
