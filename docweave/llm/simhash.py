@@ -5,7 +5,8 @@ variant, and two that share one are within it, so owners of a variant are linked
 made. Variants are exchanged twice: first as sorted runs of their hashes alone, cut to a few more bits than their number
 has, which shows the hashes that occur more than once; then only variants with such a hash, whole and with their owners,
 are brought together and verified. A wide fingerprint is cut into blocks, each ball-hashed in itself, and pairs are
-verified over all bits; for texts that are similar rather than almost equal.
+verified over all bits; for texts that are similar rather than almost equal. There links only say which texts may be
+similar: they make families, in which all texts of different groups are compared by their shingles.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ _U = np.uint64
 #: Bytes of variant keys that a run makes, and variants that meet in a bucket, about.
 RUN_BYTES, BUCKET_KEYS = 16 << 20, 1 << 20
 STEP = 1 << 15
+#: Texts of a family that are compared in one task, and shingles that are counted at a time there.
+BLOCK, COLUMNS = 512, 2048
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,11 @@ class Ball:
         bits = [1 << i for i in range(self.width)]
         return np.array([sum(c) for n in range(self.half + 1) for c in itertools.combinations(bits, n)], _U)
 
+    @property
+    def certain(self) -> bool:
+        """Any two owners of a variant are within the radius."""
+        return self.blocks == 1 and 2 * self.half <= self.radius
+
     @property
     def variants(self) -> int:
         return self.blocks * len(self.masks)
@@ -169,14 +177,29 @@ def links(distinct: DataFrame, ball: Ball) -> DataFrame:
         by_doc[np.lexsort((nodes, docs))] = np.arange(len(nodes))
         order = np.lexsort((by_doc[at], keys))
         keys, at = keys[order], at[order]
-        edges = []
+        edges, label = [], np.arange(len(nodes))
         while len(keys):
             head = np.concatenate([[True], keys[1:] != keys[:-1]])
             leader = at[np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))]
-            near = np.bitwise_count(fps[leader] ^ fps[at]).sum(1, dtype=np.int64) <= ball.radius
+            far = np.bitwise_count(fps[leader] ^ fps[at]).sum(1, dtype=np.int64)
+            near = far <= ball.radius
             hit = near & (leader != at)
-            edges.append(np.unique(np.stack([leader[hit], at[hit]]), axis=1))
-            keys, at = keys[~near], at[~near]
+            if ball.certain:
+                edges.append(np.unique(np.stack([leader[hit], at[hit]]), axis=1))
+                keys, at = keys[~near], at[~near]
+                continue
+            hit &= label[leader] != label[at]
+            edges.append(joined(label, np.unique(np.stack([leader[hit], at[hit]]), axis=1)))
+            # An owner near the leader may also be near one that is not: by the triangle only if that one is not too far.
+            starts, group = np.flatnonzero(head), np.cumsum(head) - 1
+            least = np.minimum.reduceat(np.where(near, np.int64(1) << 32, far), starts)[group]
+            stay = ~near | (leader != at) & (far >= least - ball.radius)
+            keys, at = keys[stay], at[stay]
+            if len(keys):
+                starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                sizes = np.diff(np.append(starts, len(keys)))
+                open_ = np.repeat(np.minimum.reduceat(label[at], starts) != np.maximum.reduceat(label[at], starts), sizes)
+                keys, at = keys[open_], at[open_]
         e = np.unique(np.concatenate(edges, axis=1), axis=1)
         return pa.table({"a": pa.array(nodes[e[0]]), "b": pa.array(nodes[e[1]])})
 
@@ -195,11 +218,12 @@ def grouped(docs: DataFrame, size: int, ball: Ball, repeats: bool = True, verify
     """
     small_batches(docs.sparkSession)
     fps = written(fingerprints(docs, size, ball, repeats))
-    distinct = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("doc")).withColumn("node", F.xxhash64("fp"))
-    distinct = written(distinct)
-    edges = links(distinct, ball)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "text_hash")).alias("x")
+    distinct = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("doc"), first).withColumn("node", F.xxhash64("fp"))
+    distinct = written(distinct.select("fp", "doc", "node", "x.id", "x.text_hash") if verify is not None else distinct.select("fp", "doc", "node"))
+    edges = links(distinct.select("fp", "doc", "node"), ball)
     if verify is not None:
-        edges = similar(docs, fps, written(edges), size, verify)
+        edges = written(similar(docs, distinct, written(edges), size, verify))
     root = components(edges)
     named = distinct.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
@@ -207,18 +231,139 @@ def grouped(docs: DataFrame, size: int, ball: Ball, repeats: bool = True, verify
     return fps.join(named, "fp")
 
 
-def similar(docs: DataFrame, fps: DataFrame, edges: DataFrame, size: int, least: float) -> DataFrame:
-    """The edges whose texts' sets of shingles have at least this Jaccard similarity; of a fingerprint, its first text."""
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.xxhash64("fp"))
-    asked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("node", "doc_id")
+def joined(label: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The edges (2, n) that join two groups, taken one by one; label, the group of each node, is brought up to date."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = up
+        return i
+
+    kept = []
+    for n, (x, y) in enumerate(zip(label[edges[0]].tolist(), label[edges[1]].tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(n)
+    if root:
+        new = np.arange(len(label))
+        for i in list(root):
+            new[i] = find(i)
+        label[:] = new[label]
+    return edges[:, kept]
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right): how many hashes two sets share."""
+    if len(left) * len(right) <= 64:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in left]).reshape(len(left), len(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    of = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    hashes = [np.concatenate(x) for x in (left, right)]
+    both = np.intersect1d(*hashes)
+    at = [np.searchsorted(both, h) for h in hashes]
+    found = [both[np.minimum(i, len(both) - 1)] == h if len(both) else np.zeros(len(h), bool) for i, h in zip(at, hashes, strict=True)]
+    of, at = ([x[f] for x, f in zip(xs, found, strict=True)] for xs in (of, at))
+    order = [np.argsort(i, kind="stable") for i in at]
+    of, at = ([x[o] for x, o in zip(xs, order, strict=True)] for xs in (of, at))
+    for first in range(0, len(both), COLUMNS):
+        parts = []
+        for x, i, rows in zip(of, at, (left, right), strict=True):
+            a, b = np.searchsorted(i, [first, first + COLUMNS])
+            part = np.zeros((len(rows), min(COLUMNS, len(both) - first)), np.float32)
+            part[x[a:b], i[a:b] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def compared(table: pa.Table, least: float) -> pa.Table:
+    """Edges that join the groups (own) of a table's families by pairs of sets of at least this similarity.
+
+    side 0: a row is compared with all of its family; sides 1 and 2: with those of the other side.
+    """
+    out: list[np.ndarray] = []
+    if table.num_rows:
+        family, node, own, side = (table.column(c).to_numpy() for c in ("family", "node", "own", "side"))
+        sets = [np.frombuffer(x, _U) for x in table.column("hashes").to_pylist()]
+        order = np.argsort(family, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(family[order])) + 1):
+            one, two = (rows, rows) if not side[rows].any() else (rows[side[rows] == 1], rows[side[rows] == 2])
+            if not len(one) or not len(two):
+                continue
+            both = common([sets[i] for i in one], [sets[i] for i in two])
+            n, m = (np.array([len(sets[i]) for i in x]) for x in (one, two))
+            x, y = np.nonzero((both >= least * (n[:, None] + m[None, :] - both)) & (own[one][:, None] != own[two][None, :]))
+            _, label = np.unique(own[rows], return_inverse=True)
+            place = np.empty(len(own), np.int64)
+            place[rows] = np.arange(len(rows))
+            out.append(rows[joined(label, place[np.stack([one[x], two[y]])])])
+    e = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(node[e[0]] if table.num_rows else [], pa.int64()), "b": pa.array(node[e[1]] if table.num_rows else [], pa.int64())})
+
+
+def similar(docs: DataFrame, distinct: DataFrame, edges: DataFrame, size: int, least: float) -> DataFrame:
+    """Edges between texts whose sets of shingles have at least this Jaccard similarity; of a fingerprint, its first text.
+
+    edges only name candidates. What they connect is a family, and whatever is similar in a family gets connected: a
+    family of up to BLOCK texts is compared pair by pair. In a larger one the edges are verified first; then blocks of
+    its texts are compared with each other, but not those of one group that is connected already.
+    """
+    family = written(components(edges).withColumnRenamed("root", "family"))
+    member = written(family.unionByName(family.select(F.col("family").alias("node"), "family").distinct()))
+    of = member.join(distinct.select("node", "id", "text_hash"), "node").select("node", F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("text_hash"), text_bytes().alias("text"))
+    texts = rows.join(of, rows["doc_id"].eqNullSafe(of["__id"]) & (rows["text_hash"] == of["__hash"])).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t.as_py(), size).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
+            trim()
 
-    texts = docs.select("doc_id", text_bytes().alias("text")).join(asked, "doc_id").select("node", "text")
     found = written(texts.mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"]))
+    sizes = written(member.groupBy("family").agg(F.count("*").alias("n")))
+    parts = max(1, member.count() // BLOCK)
+    task = F.pmod(F.xxhash64("family"), F.lit(parts))
+    small = member.join(sizes.where(F.col("n") <= BLOCK), "family").select(task.alias("task"), "family", "node", F.col("node").alias("own"), F.lit(0).alias("side"))
+    large = sizes.where(F.col("n") > BLOCK).select("family")
+    stars = None
+    if large.limit(1).count():
+        stars = written(verified(edges.join(member.join(large, "family", "left_semi").select(F.col("node").alias("a")), "a", "left_semi"), found, least))
+        inside = member.join(large, "family", "left_semi").join(components(stars), "node", "left").select("family", "node", F.coalesce("root", "node").alias("own"))
+        small = small.unionByName(block_pairs(written(inside)))
+    pairs = small.join(found, "node").select("task", "family", "node", "own", "side", "hashes")
+    links_ = pairs.groupBy("task").applyInArrow(tidy(lambda t: compared(t, least)), "a long, b long")
+    return links_ if stars is None else links_.unionByName(stars)
+
+
+def block_pairs(inside: DataFrame) -> DataFrame:
+    """(task, family, node, own, side): all pairs of blocks of (family, node, own) but those within one own.
+
+    An own of BLOCK nodes or more has blocks of its own, so that they need not meet each other; others share blocks.
+    """
+    owns = inside.groupBy("family", "own").agg(F.count("*").alias("c"))
+    rest = owns.where(F.col("c") < BLOCK).groupBy("family").agg(F.sum("c").alias("s"))
+    owns = owns.join(rest, "family", "left").withColumn("lone", F.when(F.col("c") >= BLOCK, F.col("own")))
+    cuts = F.ceil(F.when(F.col("lone").isNotNull(), F.col("c")).otherwise(F.col("s")) / F.lit(BLOCK)).cast("long")
+    owns = owns.select("family", "own", "lone", cuts.alias("cuts"))
+    number = F.pmod(F.xxhash64(F.when(F.col("lone").isNotNull(), F.col("node")).otherwise(F.col("own"))), F.col("cuts"))
+    placed = written(inside.join(owns, ["family", "own"]).withColumn("number", number).withColumn("block", F.xxhash64("family", "lone", "number")))
+    blocks = placed.select("family", "lone", "block").distinct()
+    p, q = (blocks.select("family", F.col("lone").alias(f"lone_{x}"), F.col("block").alias(x)) for x in "pq")
+    pairs = p.join(q, "family").where("p <= q AND (lone_p IS NULL OR lone_q IS NULL OR lone_p <> lone_q)")
+    pairs = pairs.withColumn("task", F.xxhash64("family", "p", "q"))
+    sides = F.when(F.col("p") == F.col("q"), F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("p").alias("block"), F.lit(1).alias("side")), F.struct(F.col("q").alias("block"), F.lit(2).alias("side")))
+    )
+    sides = pairs.select("family", "task", F.explode(sides).alias("x")).select("family", "task", "x.block", "x.side")
+    return placed.join(sides, ["family", "block"]).select("task", "family", "node", "own", "side")
+
+
+def verified(edges: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """The edges whose sets (node, hashes) have at least this Jaccard similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

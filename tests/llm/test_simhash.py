@@ -132,3 +132,35 @@ def test_stage_on_odd_rows(spark, odd, odd_rows, empty):
 
 def test_empty(spark, empty, as_table):
     assert simhash.op9_simhash_groups(spark, as_table(documents=empty)).count() == 0
+
+
+def family(n, planted, seed=11):
+    """Texts of one template, most pairs at 0.66 to 0.76, and copies of some with a word more: (rows, their sets)."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(n):
+        t = list(base)
+        for at in rng.sample(range(4, 148, 6), 3):
+            t[at] = f"x{i}y{at}"
+        texts.append(" ".join(t))
+    texts += [f"{t} more" for t in rng.sample(texts, planted)]
+    rng.shuffle(texts)
+    return [(i, t, "en", "s", 1, "x", "y") for i, t in enumerate(texts)], [simhash.shingle_set(t.encode(), 5).tolist() for t in texts]
+
+
+def kept_of(ids, sets, least=0.8):
+    number = {h: k for k, h in enumerate({h for s in sets for h in s})}
+    bits = [sum(1 << number[h] for h in s) for s in sets]
+
+    def near(i, j):
+        both = (bits[i] & bits[j]).bit_count()
+        return both >= least * (len(sets[i]) + len(sets[j]) - both)
+
+    return set(plain_components(ids, near))
+
+
+def test_similar_pairs_in_a_family_below_the_threshold(spark):
+    rows, sets = family(2000, 100)
+    got = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == kept_of([r[0] for r in rows], sets)
