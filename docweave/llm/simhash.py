@@ -12,6 +12,7 @@ similar: they make families, in which all texts of different groups are compared
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,8 +73,11 @@ class Ball:
         return mix(parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1))
 
 
-#: The contract of op9, and the ball for five-word shingles at a similarity of 0.8: expected distance 0.15 a bit.
-EXACT, SIMILAR = Ball(), Ball(words=5, blocks=13, width=24, half=1, radius=62)
+#: The contract of op9, and the ball for five-word shingles at a similarity of 0.8: expected distance 48 bits, spread 6.4;
+#: a block of 20 is at most two bits apart with 40 %, one of 16 blocks with 99.97 %. Unrelated texts have 160, spread 9.
+EXACT, SIMILAR = Ball(), Ball(words=5, blocks=16, width=20, half=1, radius=88)
+#: Texts of up to so many shingles have few for a fingerprint; they become candidates by the shingles themselves.
+SHORT = 64
 
 
 def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
@@ -97,6 +101,12 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.concatenate([*shingle_hashes(text, size), np.zeros(0, _U)]))
 
 
+def prefix(shingles: np.ndarray, least: float) -> np.ndarray:
+    """The least shingle hashes of a set, of which any two sets of at least this similarity share one."""
+    n = len(shingles)
+    return shingles[: n - math.ceil(least * n - 1e-9) + 1] if n else shingles
+
+
 def simhash(text: bytes, size: int, words: int, repeats: bool = True) -> np.ndarray:
     """A bit is 1 if it is set in over half of the shingle hashes; further words are of hashes mixed anew. No words: zero."""
     total, n = np.zeros(words * 64, np.int64), 0
@@ -109,17 +119,47 @@ def simhash(text: bytes, size: int, words: int, repeats: bool = True) -> np.ndar
     return np.packbits(total * 2 > n, bitorder="little").view("<u8") if n else np.zeros(words, "<u8")
 
 
-def fingerprints(docs: DataFrame, size: int, ball: Ball, repeats: bool = True) -> DataFrame:
-    """(doc_id, text_hash, fp binary) of whole texts; null text counts as empty."""
+def fingerprints(docs: DataFrame, size: int, ball: Ball, repeats: bool = True, least: float | None = None) -> DataFrame:
+    """(doc_id, text_hash, fp binary) of whole texts; null text counts as empty. least: and short, prefixes of short texts.
+
+    Texts of up to SHORT / least shingles have one, so those of up to SHORT and all that are similar to them do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [simhash(t.as_py(), size, ball.words, repeats).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], names=["doc_id", "text_hash", "fp"])
+            fps, short = [], []
+            for t in b.column(2):
+                t = t.as_py()
+                fps.append(simhash(t, size, ball.words, repeats).tobytes())
+                if least is not None:
+                    short.append(short_prefix(t, size, least))
+            columns = {"doc_id": b.column(0), "text_hash": b.column(1), "fp": pa.array(fps, pa.binary())}
+            if least is not None:
+                columns["short"] = pa.array(short, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
             trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("text_hash"), text_bytes().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary" + (", short array<long>" if least is not None else ""))
+
+
+def short_prefix(text: bytes, size: int, least: float) -> np.ndarray | None:
+    most = int(SHORT / least)
+    found: list[np.ndarray] = []
+    n = 0
+    for h in shingle_hashes(text, size):  # a text of many words may repeat few shingles
+        found = [np.unique(np.concatenate([*found, h]))]
+        n = len(found[0])
+        if n > most:
+            return None
+    return prefix(found[0], least).view(np.int64) if n else None
+
+
+def short_links(distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) from the least node of each shingle in (node, short) to its other nodes."""
+    owners = written(distinct.where("short IS NOT NULL").select("node", F.explode("short").alias("shingle")))
+    least = owners.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("shingle", "a")
+    return owners.join(least, "shingle").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
 def links(distinct: DataFrame, ball: Ball) -> DataFrame:
@@ -217,18 +257,19 @@ def grouped(docs: DataFrame, size: int, ball: Ball, repeats: bool = True, verify
     fingerprints give them. Rows with null doc_id are grouped too, but name no component. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    fps = written(fingerprints(docs, size, ball, repeats))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "text_hash")).alias("x")
+    fps = written(fingerprints(docs, size, ball, repeats, verify))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "text_hash", *(["short"] if verify is not None else []))).alias("x")
     distinct = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("doc"), first).withColumn("node", F.xxhash64("fp"))
-    distinct = written(distinct.select("fp", "doc", "node", "x.id", "x.text_hash") if verify is not None else distinct.select("fp", "doc", "node"))
+    distinct = written(distinct.select("fp", "doc", "node", "x.id", "x.text_hash", "x.short") if verify is not None else distinct.select("fp", "doc", "node"))
     edges = links(distinct.select("fp", "doc", "node"), ball)
     if verify is not None:
-        edges = written(similar(docs, distinct, written(edges), size, verify))
+        edges = written(edges.unionByName(short_links(distinct)))
+        edges = written(similar(docs, distinct, edges, size, verify))
     root = components(edges)
     named = distinct.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = named.join(least, "root").select("fp", "root", F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"))
-    return fps.join(named, "fp")
+    return fps.select("doc_id", "text_hash", "fp").join(named, "fp")
 
 
 def joined(label: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -392,8 +433,8 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of similar texts, that of the least doc_id; all columns kept.
 
-    Candidates are fingerprints of distinct shingles that share a variant; a link stands if the sets of shingles have
-    at least this similarity. Equal rows count as copies; rows of one doc_id with texts that are not similar all stay.
+    Candidates are fingerprints of distinct shingles that share a variant, and short texts that share a shingle of their
+    prefixes; a link stands if the sets of shingles have at least this similarity. Equal rows count as copies; rows of one doc_id with texts that are not similar all stay.
     Null doc_ids come after all others.
     """
     groups = written(grouped(docs, size, SIMILAR, False, similarity).select("doc_id", "text_hash", "root"))

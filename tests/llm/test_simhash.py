@@ -164,3 +164,16 @@ def test_similar_pairs_in_a_family_below_the_threshold(spark):
     rows, sets = family(2000, 100)
     got = {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == kept_of([r[0] for r in rows], sets)
+
+
+@pytest.mark.parametrize(("n", "cut"), [(4, 1), (12, 3), (40, 10), (100, 25), (300, 75)])
+def test_pairs_at_the_threshold_are_found(spark, n, cut):
+    """Texts of n + 4 words, and the same with words more: n of n + cut shingles, a similarity of 0.8."""
+    rng = random.Random(n)
+    rows = []
+    for i in range(250):
+        w = [f"{rng.getrandbits(40):x}" for _ in range(n + cut + 4)]
+        rows += [(2 * i, " ".join(w[: n + 4])), (2 * i + 1, " ".join(w))]
+    df = spark.createDataFrame([(*r, "en", "s", 1, "x", "y") for r in rows], SCHEMA)
+    missed = sum(r.doc_id % 2 for r in simhash.deduplicated(df).collect())
+    assert missed <= (0 if n <= simhash.SHORT else 1)
