@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries and rows of a block in a search of many.
+QUERY_BLOCK, ROW_BLOCK = 256, 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -28,10 +31,17 @@ def search(vectors: DataFrame, query: list[float], k: int, threshold: float | No
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k most similar rows to each of a few queries (query_id, query): their count is checked, and they are broadcast."""
-    if queries.limit(1025).count() > 1024:
-        raise ValueError("over 1024 query vectors: search in batches")
-    each = vectors.join(F.broadcast(queries)).withColumn("score", cosine(F.col(vector), F.col("query"))).where(F.col("score").isNotNull())
+    """The k most similar rows to each of any number of queries (query_id, query).
+
+    Queries and rows are dealt into blocks, and each pair of blocks is joined on its own; of a query's rows, a task passes
+    on k at most.
+    """
+    blocks = (max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // ROW_BLOCK)))
+    block = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "query", block(["query_id"], blocks[0]).alias("__q"), span(blocks[1]).alias("__v"))
+    v = vectors.select("*", block([row_id, vector], blocks[1]).alias("__v"), span(blocks[0]).alias("__q"))
+    each = v.join(q, ["__q", "__v"]).drop("__q", "__v").withColumn("score", cosine(F.col(vector), F.col("query"))).where(F.col("score").isNotNull())
     each = each if threshold is None else each.where(F.col("score") >= threshold)
     over = Window.partitionBy("query_id").orderBy(F.desc("score"), row_id)
     return each.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("query")

@@ -61,6 +61,18 @@ def vector_search_many(spark, sf):
     return vector.search_many(e, q, 5).select("query_id", "vec_id", "rank")
 
 
+@query(f"""
+WITH v AS (SELECT vec_id, {_D} AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))) AS score FROM v, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def vector_search_hundredths(spark, sf):
+    """The five rows most similar to every row whose vec_id is divisible by 100, of all rows."""
+    e = table(spark, sf, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.search_many(e, q, 5).select("query_id", "vec_id", "rank")
+
+
 @query(f"SELECT len(embedding) AS dims, label, round(avg(sqrt(list_dot_product({_D}, {_D}))), 6) AS norm, count(*) AS n FROM embeddings GROUP BY 1, 2")
 def vector_norms(spark, sf):
     """Dimensions and mean length of vectors by label."""

@@ -304,3 +304,18 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / f"in/{name}.txt").write_text(text)
     ingest.follow(store, f"{tmp_path}/in", answers, f"{tmp_path}/check").awaitTermination()
     assert {r.content for r in store.tables()["docs"].collect()} == {"Alpha text", "Beta text"}
+
+
+def test_search_of_any_number_of_queries(spark, monkeypatch):
+    rows = [(i, [float(i * 37 % 101 - 50), float(i * 53 % 89 - 40), 1.0]) for i in range(1100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 500)
+    monkeypatch.setattr(vector, "ROW_BLOCK", 400)
+    q = df.selectExpr("vec_id AS query_id", "embedding AS query")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vector.search_many(df, q, 2).collect()}
+    unit = [[x / sum(y * y for y in v) ** 0.5 for x in v] for _, v in rows]
+    assert len(got) == 2200
+    for i in range(0, 1100, 50):
+        score = [sum(a * b for a, b in zip(unit[i], u, strict=True)) for u in unit]
+        best = sorted(score, reverse=True)[:2]
+        assert [round(score[got[i, n]], 9) for n in (1, 2)] == [round(x, 9) for x in best]
