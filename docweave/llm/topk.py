@@ -86,8 +86,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query over all other rows.
 
     vectors and queries: (vec_id, v array<long>). Ties go to the smaller vec_id; fewer candidates give fewer rows.
-    A query is compared with vectors of its own length only. An id that repeats stands for one row: repeated vectors of
-    an id keep their best score.
+    A query is compared with vectors of its own length only. As in the SQL every row counts: an id that repeats takes as
+    many places as it has rows, and the rows of a repeated query_id share k places.
     """
     spark = vectors.sparkSession
     marks = spark.sparkContext.broadcast(grid(vectors))
@@ -116,7 +116,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return pa.table(found, schema=pa.schema([(x, pa.int64()) for x in found]))
 
     near = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(pair, "query_id long, vec_id long, score long")
-    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

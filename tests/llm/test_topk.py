@@ -46,3 +46,19 @@ def test_few_and_none(spark, as_table):
 def test_large_numbers(spark, as_table):
     rows = [(i, [float(2**k), float(-(2**k))]) for i, k in enumerate(range(20))]
     assert run(spark, as_table, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("candidate_block", [16384, 40])
+def test_repeated_ids_count_by_rows(spark, as_table, monkeypatch, candidate_block):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", candidate_block)
+    rng = random.Random(6)
+    vector = lambda: [rng.randrange(-64, 64) / 64 for _ in range(4)]
+    rows = [(i, vector()) for i in range(1, 130)]
+    rows += [(7, [1.0 * x for x in (1, 1, 1, 1)])] * 8 + [(9, [1.0, 1.0, 1.0, (40 - i) / 64]) for i in range(30)]  # over 20 of an id
+    rows += [(20, [1.0, 1.0, 1.0, 1.0]), (40, vector()), (40, vector())]  # repeated queries
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for q in {i for i, _ in whole if i % 20 == 0}:
+        found = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), j) for i, x in whole if i == q for j, v in whole if j != q)[:20]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    assert run(spark, as_table, rows) == sorted(want)
