@@ -177,3 +177,15 @@ def test_pairs_at_the_threshold_are_found(spark, n, cut):
     df = spark.createDataFrame([(*r, "en", "s", 1, "x", "y") for r in rows], SCHEMA)
     missed = sum(r.doc_id % 2 for r in simhash.deduplicated(df).collect())
     assert missed <= (0 if n <= simhash.SHORT else 1)
+
+
+def test_near_copies_under_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    texts = [words(rng, 150) for _ in range(4)]
+    near = [t + " zebra" for t in texts]
+    rows = [(None, texts[0]), (None, near[0]), (None, texts[1]), (None, near[1])]
+    rows += [(5, texts[2]), (5, texts[3]), (6, near[2]), (7, near[3])]  # one id, two texts
+    df = spark.createDataFrame([(*r, "en", "s", 1, "x", "y") for r in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in simhash.deduplicated(df).collect()]
+    assert sum(t in (texts[0], near[0]) for i, t in got if i is None) == sum(t in (texts[1], near[1]) for i, t in got if i is None) == 1
+    assert sorted(x for x in got if x[0] is not None) == sorted(rows[4:6]) and len(got) == 4
