@@ -4,13 +4,13 @@ A document is a bag of passages of PASSAGE bytes. Each passage is encoded as a v
 under a square root, and shares of character classes. A learned layer maps it to h; gated attention
 a = softmax(w . (tanh(V h) * sigmoid(U h))) weighs the passages, z = sum a h is the document, and the score is
 sigmoid(c . z + b). All weights are learned from document labels by Adam on a bounded, documented sample of labelled
-rows (SAMPLE of each class, of each at most SAMPLE_PASSAGES passages, spread over the text); every document is scored
-over all its passages.
+rows (SAMPLE of each class). In learning as in scoring a document has all its passages, however many: attention sums
+over PART passages at a time, so memory does not grow with a text's length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_bytes, trim
 
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 512, 512, 32, 16
-SAMPLE, SAMPLE_PASSAGES, EPOCHS, BATCH, RATE, DECAY, SEED = 2000, 24, 12, 64, 4e-3, 1e-4, 7
+SAMPLE, EPOCHS, BATCH, RATE, DECAY, SEED = 2000, 12, 64, 4e-3, 1e-4, 7
 THRESHOLD, HELD_OUT = 0.7, 2
-#: Bytes of text whose passages are encoded at once.
-STEP = 1 << 20
+#: Passages that are in memory at once, and bytes of encoded passages of the sample that learning keeps from epoch to epoch.
+PART, KEPT_BYTES = 2048, 256 << 20
 CLASSES = 12
 
 
@@ -40,22 +40,51 @@ _CLASS = byte_classes()
 FEATURES = BUCKETS + CLASSES
 
 
-def passages(text: bytes) -> np.ndarray:
-    """A row a passage, FEATURES wide; an empty text is one passage of zeros."""
+def passages(text: bytes) -> Iterator[np.ndarray]:
+    """A row a passage, FEATURES wide, up to PART of them at a time; an empty text is one passage of zeros."""
     if not text:
-        return np.zeros((1, FEATURES), np.float32)
-    out = []
-    for first in range(0, len(text), STEP):
-        b = np.frombuffer(text[first : first + STEP], np.uint8)
+        yield np.zeros((1, FEATURES), np.float32)
+    for first in range(0, len(text), PART * PASSAGE):
+        b = np.frombuffer(text[first : first + PART * PASSAGE], np.uint8)
         n = -(-len(b) // PASSAGE)
         at = np.arange(len(b)) // PASSAGE
-        wide = b.astype(np.uint32)
-        tri = (wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA77) ^ wide[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(23) if len(b) > 2 else np.zeros(0, np.uint32)
+        wide = np.frombuffer(text[first : first + PART * PASSAGE + 2], np.uint8).astype(np.uint32)
+        tri = (wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA77) ^ wide[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(23) if len(wide) > 2 else np.zeros(0, np.uint32)
         size = np.bincount(at, minlength=n).astype(np.float32)[:, None]
         grams = np.bincount(at[: len(tri)] * BUCKETS + tri, minlength=n * BUCKETS).reshape(n, BUCKETS) / size
         kinds = np.bincount(at * CLASSES + _CLASS[b], minlength=n * CLASSES).reshape(n, CLASSES) / size
-        out.append(np.concatenate([np.sqrt(grams), np.sqrt(kinds) * 2], axis=1).astype(np.float32))
-    return np.concatenate(out)
+        yield np.concatenate([np.sqrt(grams), np.sqrt(kinds) * 2], axis=1).astype(np.float32)
+
+
+class Bags:
+    """The passages of texts, encoded when they are asked for; the first KEPT_BYTES of them stay encoded."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.kept, self.room = texts, {}, KEPT_BYTES
+
+    def _of(self, k: int) -> Iterable[np.ndarray]:
+        if k in self.kept:
+            return self.kept[k]
+        size = max(1, -(-len(self.texts[k]) // PASSAGE)) * FEATURES * 4
+        if size > self.room:
+            return passages(self.texts[k])
+        self.room -= size
+        self.kept[k] = list(passages(self.texts[k]))
+        return self.kept[k]
+
+    def parts(self, some: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passages, the bag of each, as a place in `some`), about PART passages at a time."""
+        held, of, size = [], [], 0
+        for i, k in enumerate(some):
+            for x in self._of(k):
+                held.append(x)
+                of.append(np.full(len(x), i))
+                size += len(x)
+                if size >= PART:
+                    yield np.concatenate(held), np.concatenate(of)
+                    held, of, size = [], [], 0
+        if held:
+            yield np.concatenate(held), np.concatenate(of)
 
 
 class Model:
@@ -71,40 +100,51 @@ class Model:
         scale = {"W": 0.5, "V": 0.3, "U": 0.3, "w": 0.3, "c": 0.3}
         return cls({k: (rng.normal(0, scale[k], s) if k in scale else np.zeros(s)).astype(np.float32) for k, s in shapes.items()})
 
-    def forward(self, x: np.ndarray, of: np.ndarray, bags: int) -> tuple:
+    def attended(self, x: np.ndarray) -> tuple:
         w = self.w
         h = np.tanh(x @ w["W"] + w["a"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
-        e = (t * s) @ w["w"]  # bounded by the sum of |w|, so exp needs no shift
-        e = np.exp(e)
-        a = e / np.bincount(of, e, bags)[of]
-        z = np.zeros((bags, HIDDEN), np.float64)
-        np.add.at(z, of, a[:, None] * h)
-        y = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["b"], -30, 30)))
-        return h, t, s, a, z, y
-
-    def gradients(self, x: np.ndarray, of: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        return h, t, s, np.exp((t * s) @ w["w"])  # bounded by the sum of |w|, so exp needs no shift
+
+    def forward(self, parts: Iterable, bags: int) -> tuple:
+        """The sum of each bag's attention, its representation and its score."""
+        total, z = np.zeros(bags), np.zeros((bags, HIDDEN))
+        for x, of in parts:
+            h, _, _, e = self.attended(x)
+            total += np.bincount(of, e, bags)
+            np.add.at(z, of, e[:, None] * h)
+        z /= total[:, None]
+        return total, z, 1 / (1 + np.exp(-np.clip(z @ self.w["c"] + self.w["b"], -30, 30)))
+
+    def gradients(self, parts: Callable[[], Iterable], target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted log loss. parts() gives the passages, twice: for the bags' sums, then for each passage's share."""
         w = self.w
-        h, t, s, a, z, y = self.forward(x, of, len(target))
+        total, z, y = self.forward(parts(), len(target))
         d = (y - target) * weight / weight.sum()
         dz = d[:, None] * w["c"]
-        back = (dz[of] * h).sum(1)
-        de = a * (back - np.bincount(of, a * back, len(target))[of])
-        dt, ds = de[:, None] * w["w"] * s * (1 - t * t), de[:, None] * w["w"] * t * s * (1 - s)
-        dh = (a[:, None] * dz[of] + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
-        return {"W": x.T @ dh, "a": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ d, "b": d.sum(keepdims=True)}
-
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray) -> Model:
+        level = (dz * z).sum(1)
+        g = {k: np.zeros(v.shape) for k, v in w.items()} | {"c": z.T @ d, "b": d.sum(keepdims=True)}
+        for x, of in parts():
+            h, t, s, e = self.attended(x)
+            a = e / total[of]
+            de = a * ((dz[of] * h).sum(1) - level[of])
+            dt, ds = de[:, None] * w["w"] * s * (1 - t * t), de[:, None] * w["w"] * t * s * (1 - s)
+            dh = (a[:, None] * dz[of] + dt @ w["V"].T + ds @ w["U"].T) * (1 - h * h)
+            for k, v in (("W", x.T @ dh), ("a", dh.sum(0)), ("V", h.T @ dt), ("U", h.T @ ds), ("w", (t * s).T @ de)):
+                g[k] += v
+        return g
+
+    def fit(self, texts: list[bytes], labels: np.ndarray) -> Model:
+        bags = Bags(texts)
         rng = np.random.default_rng(SEED)
         first, second, step = {k: 0 * v for k, v in self.w.items()}, {k: 0 * v for k, v in self.w.items()}, 0
         share = np.array([max(1, (labels == k).sum()) for k in (0, 1)]) / max(1, len(labels))
         weights = 0.5 / share[labels.astype(int)]
         for _ in range(EPOCHS):
-            order = rng.permutation(len(bags))
+            order = rng.permutation(len(texts))
             for i in range(0, len(order), BATCH):
                 some = order[i : i + BATCH]
-                of = np.repeat(np.arange(len(some)), [len(bags[k]) for k in some])
-                g = self.gradients(np.concatenate([bags[k] for k in some]), of, labels[some], weights[some])
+                g = self.gradients(lambda some=some: bags.parts(some), labels[some], weights[some])
                 step += 1
                 for k, v in g.items():
                     v = v + DECAY * self.w[k]
@@ -114,19 +154,9 @@ class Model:
         return self
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        out, bags, size = [], [], 0
-        for t in texts:
-            bags.append(passages(t))
-            size += len(bags[-1])
-            if size >= 4096:
-                out.append(self._score(bags))
-                bags, size = [], 0
-        out += [self._score(bags)] if bags else []
-        return np.concatenate(out) if out else np.zeros(0)
-
-    def _score(self, bags: list[np.ndarray]) -> np.ndarray:
-        of = np.repeat(np.arange(len(bags)), [len(x) for x in bags])
-        return self.forward(np.concatenate(bags), of, len(bags))[-1]
+        bags = Bags(texts)
+        bags.room = 0
+        return self.forward(bags.parts(range(len(texts))), len(texts))[-1]
 
 
 def held_out() -> F.Column:
@@ -140,28 +170,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     the label that most of its rows give (1 at a tie); null labels and labels of no document don't count.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("__q")).where(~held_out())
-    known = known.select("doc_id", (F.col("__q") >= 0.5).cast("int").alias("__label"), F.md5(F.col("doc_id").cast("string")).alias("__o"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = [r for k in (0, 1) for r in known.where(F.col("__label") == k).orderBy("__o").select("doc_id", "__label").limit(sample).collect()]
+    known = known.select(F.col("doc_id").cast("string").alias("__id"), (F.col("__q") >= 0.5).cast("int").alias("__label")).withColumn("__o", F.md5("__id"))
+    known = known.join(docs.select(F.col("doc_id").cast("string").alias("__id")).distinct(), "__id", "left_semi")
+    chosen = [r for k in (0, 1) for r in known.where(F.col("__label") == k).orderBy("__o").select("__id", "__label").limit(sample).collect()]
     if not chosen:
         return None
-    spark = docs.sparkSession
-    few = spark.createDataFrame(chosen, "doc_id long, __label int")  # at most 2 * sample rows
-    rows = docs.join(F.broadcast(few), "doc_id").select("doc_id", "__label", text_bytes().alias("text"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                x = passages(b.column(2)[i].as_py())
-                if len(x) > SAMPLE_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([x.astype(np.float16).tobytes()])], names=["doc_id", "label", "x"])
-
-    found = rows.mapInArrow(encode, "doc_id long, label int, x binary")
-    found = found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).collect()  # repeated ids: one bag
-    found.sort(key=lambda r: r.doc_id)
-    bags = [np.frombuffer(bytes(r.x), np.float16).reshape(-1, FEATURES).astype(np.float32) for r in found]
-    return Model.new().fit(bags, np.array([r.label for r in found], np.float64))
+    few = docs.sparkSession.createDataFrame(chosen, "__id string, __label int")  # at most 2 * sample rows
+    rows = docs.select(F.col("doc_id").cast("string").alias("__id"), text_bytes().alias("__text")).join(F.broadcast(few), "__id")
+    found = rows.groupBy("__id").agg(F.max("__label").alias("label"), F.min("__text").alias("text")).collect()  # repeated ids: one bag
+    found.sort(key=lambda r: r["__id"])
+    return Model.new().fit([bytes(r.text) for r in found], np.array([r.label for r in found], np.float64))
 
 
 def scored(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -194,7 +212,11 @@ def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents scored for quality; empty and null texts get the score of an empty passage, repeated rows the same."""
+    """All documents scored for quality.
+
+    Empty and null texts get the score of an empty passage, rows with equal texts equal scores; null doc_ids are in the
+    fold of the empty id. Without any label that may be learned from every score is 0.5. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     df = scored(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ["doc_id"])
     return df.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -131,14 +131,15 @@ def test_classifier_gradients():
     rng = np.random.default_rng(0)
     model = quality.Model.new()
     x, of = rng.random((7, quality.FEATURES)).astype(np.float32), np.array([0, 0, 0, 1, 2, 2, 2])
+    parts = lambda: iter([(x[:2], of[:2]), (x[2:6], of[2:6]), (x[6:], of[6:])])
     y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
     model.w = {k: v.astype(np.float64) + (0.1 * rng.normal(size=v.shape) if k != "W" else 0) for k, v in model.w.items()}
 
     def loss():
-        p = model.forward(x, of, 3)[-1]
+        p = model.forward(parts(), 3)[-1]
         return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum()
 
-    g = model.gradients(x, of, y, weight)
+    g = model.gradients(parts, y, weight)
     for k, v in model.w.items():
         at = tuple(int(i) for i in rng.integers(0, v.shape))
         before = v[at]
@@ -148,3 +149,48 @@ def test_classifier_gradients():
         down = loss()
         v[at] = before
         assert g[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), k
+
+
+def plain_scores(w, texts):
+    """Scores one passage at a time, by the formulas."""
+    out = []
+    for t in texts:
+        data = (t or "").encode()
+        e, h = [], []
+        for k in range(max(1, -(-len(data) // quality.PASSAGE))):
+            p = data[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]
+            x = np.zeros(quality.FEATURES)
+            for i in range(max(0, min(len(p), len(data) - k * quality.PASSAGE - 2))):
+                a, b, c = data[k * quality.PASSAGE + i : k * quality.PASSAGE + i + 3]
+                x[((a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) % 2**32 * 0x27D4EB2F % 2**32) >> 23] += 1
+            for c in p:
+                x[quality.BUCKETS + int(quality._CLASS[c])] += 1
+            x = np.sqrt(x / max(1, len(p)))
+            x[quality.BUCKETS :] *= 2
+            h.append(np.tanh(x @ w["W"] + w["a"]))
+            e.append(np.exp((np.tanh(h[-1] @ w["V"]) / (1 + np.exp(-h[-1] @ w["U"]))) @ w["w"]))
+        z = sum(a * b for a, b in zip(e, h, strict=True)) / sum(e)
+        out.append(1 / (1 + np.exp(-(z @ w["c"] + w["b"][0]))))
+    return out
+
+
+@pytest.mark.parametrize("part", [2048, 3])
+def test_classifier_query_against_plain_formulas(spark, odd, odd_rows, empty, as_table, monkeypatch, part):
+    monkeypatch.setattr(quality, "PART", part)  # passages of a long text come in parts
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 99)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    where = as_table(documents=odd, labels=labels)
+    got = quality.op3_quality_scores(spark, where).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.predicted == int(r.score >= 0.7)) for r in got) == sorted((str(r[0]), zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 4 == 2, True) for r in odd_rows)
+    w = quality.learn(odd, labels).w
+    want = Counter((r[0], round(float(p), 4)) for r, p in zip(odd_rows, plain_scores(w, [r[1] for r in odd_rows]), strict=True))
+    near = Counter((r.doc_id, round(r.score, 4)) for r in got)
+    assert sum((want - near).values()) <= 1  # rounding
+    assert quality.op3_quality_scores(spark, as_table(documents=empty, labels=labels)).count() == 0
+    assert {r.score for r in quality.op3_quality_scores(spark, as_table(documents=odd, labels=labels.where("false"))).collect()} == {0.5}
+
+
+def test_classifier_takes_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", "good text here" if i % 2 else "|| | ||") for i in range(200)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(200)], "doc_id string, quality int")
+    got = quality.accept(docs, labels).collect()
+    assert got and all(int(r.doc_id[1:]) % 2 for r in got)
