@@ -62,3 +62,27 @@ def test_repeated_ids_count_by_rows(spark, as_table, monkeypatch, candidate_bloc
         found = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), j) for i, x in whole if i == q for j, v in whole if j != q)[:20]
         want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(found)]
     assert run(spark, as_table, rows) == sorted(want)
+
+
+def test_few_exact_vectors_are_read(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(-2000, 2000) for _ in range(16)]) for i in range(3000)]  # cells of 16 numbers
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    q = v.where("vec_id % 100 = 0")
+    best, one, two = topk.search(v, q, 10)
+    want = sorted((i, r + 1, j, -s) for i, x in rows[::100] for r, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in rows if j != i)[:10]))
+    assert sorted(map(tuple, best.collect())) == want
+    assert one.count() == 300 and one.count() + two.count() < 30 * 3000 / 10
+
+
+def test_bounds_hold():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for size in (50, 5000, 10**7):
+        exact, q = rng.integers(-size, size, (200, 12)), rng.integers(-size, size, (9, 12))
+        grid, cells = topk.approximated(exact)
+        least, more = topk.bounds(q, grid, cells)
+        score = q @ exact.T
+        assert (least <= score).all() and (least + more[:, None] >= score).all()
+        assert size > 100 or (least == score).all()
