@@ -90,4 +90,5 @@ def shared(table: pa.Table) -> pa.Table:
     every.sort()
     twice = repeated(every)
     kept = [pack_sorted(np.unique(x[among(x, twice)])) for x in runs]
-    return pa.table({"run": table.column("run"), "data": pa.array(kept, pa.binary())})
+    asked = np.array([bool(x) for x in kept])
+    return pa.table({"run": table.column("run"), "data": pa.array(kept, pa.binary())}).filter(pa.array(asked))

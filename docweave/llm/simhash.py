@@ -27,8 +27,9 @@ from .components import components
 from .runs import among, mix, pack_sorted, shared, unpack_sorted
 
 _U = np.uint64
-#: Bytes of variant keys that a run makes, and variants that meet in a bucket, about.
-RUN_BYTES, BUCKET_KEYS = 16 << 20, 1 << 20
+#: Bytes of variant keys that a run makes, and variants that meet in a bucket, about. Both are large, as a run sends a
+#: row to each bucket.
+RUN_BYTES, BUCKET_KEYS = 24 << 20, 3 << 20
 STEP = 1 << 15
 #: Texts of a family that are compared in one task, and shingles that are counted at a time there.
 BLOCK, COLUMNS = 512, 2048
@@ -185,8 +186,8 @@ def links(distinct: DataFrame, ball: Ball) -> DataFrame:
         h = keys.reshape(-1) >> shift
         h.sort()
         cuts = np.searchsorted(h, np.arange(1, 1 << few, dtype=_U) << _U(bits - few)) if few else []
-        runs = [pack_sorted(x) for x in np.split(h, cuts)]
-        return pa.table({"bucket": pa.array(range(len(runs)), pa.int32()), "run": pa.array([table.column("run")[0].as_py()] * len(runs), pa.int32()), "data": pa.array(runs, pa.binary())})
+        runs = [(k, pack_sorted(x)) for k, x in enumerate(np.split(h, cuts)) if len(x)]
+        return pa.table({"bucket": pa.array([k for k, _ in runs], pa.int32()), "run": pa.array([table.column("run")[0].as_py()] * len(runs), pa.int32()), "data": pa.array([x for _, x in runs], pa.binary())})
 
     def owners(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[str, list] = {"bucket": [], "keys": [], "at": [], "node": [], "doc": [], "fp": []}

@@ -19,7 +19,7 @@ W = K - S + 1
 assert W % 3 == 0
 BLOCK = 2048
 #: Documents that lie together in a range of ids, about, and the most ranges.
-RANGE_ROWS, MAX_RANGES, FAN = 1000, 4096, 64
+RANGE_ROWS, MAX_RANGES, FAN = 1000, 65536, 256
 LEAST = -(2**63)
 
 
@@ -111,7 +111,12 @@ def with_next(rows: DataFrame, add) -> DataFrame:
 
 
 def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, and how alike they are to each other and to the next document's."""
+    """Fingerprints of all documents and of their edited texts, and how alike they are to each other and to the next document's.
+
+    Null text: empty. Null doc_ids come last in the descending order, equal ids in the order of their texts; rows that
+    repeat keep a row each. A single document is its own next one; an empty table gives no rows. Texts without an anchor
+    have the fingerprint of the whole text, empty ones an empty fingerprint.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text_bytes().alias("data"))
     df = with_next(docs, lambda d: d.withColumn("anchors", anchors(F.col("data"))).withColumn("sketch", sketch(low(F.col("anchors")), F.col("data"))))
     text = F.col("data").cast("string")
