@@ -14,6 +14,10 @@ sparse suffix array does, of the suffixes that start at anchors:
    parts; with their left parts, the least doc_id of each window.
 4. What is covered comes back to the documents as intervals.
 
+An anchor that over HOT documents have (a line that most pages share, in differing surroundings) would make one bucket
+as long as the corpus. Its windows are taken apart instead: each group sends the hashes of their LENGTH bytes, each once
+with the least doc_id, to buckets by hash, and gets back the least doc_id of all groups.
+
 Copies of whole texts are found first, by hash, and take no part but for the first of them. Texts are shuffled once.
 """
 
@@ -28,13 +32,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_bytes, tidy, tidy2
-from .runs import among, mix, pack_sorted, shared, unpack_sorted
+from .runs import among, mix, pack_sorted, repeated, unpack_sorted
 
 _U = np.uint64
 LENGTH, K = 50, 24
 W = LENGTH - K + 1
-#: Bytes of text worked on at once; documents of a group; anchors and suffixes that meet in a bucket, about.
-STEP, GROUP_ROWS, BUCKET_ANCHORS, BUCKET_BYTES = 1 << 18, 1000, 1 << 21, 4 << 20
+#: Bytes of text worked on at once; documents and bytes of a group; anchors and suffixes that meet in a bucket, about.
+STEP, GROUP_ROWS, GROUP_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 1 << 18, 1000, 8 << 20, 1 << 21, 4 << 20
+#: Documents (by estimate, at most twice as many) from which an anchor's windows are dealt by themselves.
+HOT = 8192
+#: Kinds of what goes along with a group's rows: copies, anchors that recur, intervals, hot anchors, hot windows.
+COPY, ANCHORS, SPANS, HOT_ANCHORS, HOT_WINDOWS = range(5)
 _LOW = _U((1 << 24) - 1)
 NO_ID = 2**63 - 1
 
@@ -53,16 +61,16 @@ def chunks(texts: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, int, byte
         yield out
 
 
-def substring_hashes(b: np.ndarray) -> np.ndarray:
-    """The mixed hash of each K bytes, by doubling."""
+def substring_hashes(b: np.ndarray, size: int = K) -> np.ndarray:
+    """The mixed hash of each `size` bytes, by doubling."""
     h, power, length = b.astype(_U) + _U(1), _U(0x9E3779B97F4A7C15), 1
-    total, done, n = None, 0, len(b) - K + 1
+    total, done, n = None, 0, len(b) - size + 1
     while True:
-        if K & length:
+        if size & length:
             part = h[done : done + n]
             total = part.copy() if total is None else total * power + part
             done += length
-        if length * 2 > K:
+        if length * 2 > size:
             return mix(total)
         h = h[:-length] * power + h[length:]
         power, length = power * power, length * 2
@@ -84,13 +92,7 @@ def anchored(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     if span < W:
         least = np.minimum(least[: len(least) - (W - span)], least[W - span :])
     at = (least & _LOW).astype(np.int64)
-    sizes = np.array([len(x) for _, _, x in parts])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    wide = sizes >= LENGTH
-    mark = np.zeros(len(at) + 1, np.int32)
-    mark[starts[wide]] += 1
-    mark[starts[wide] + sizes[wide] - LENGTH + 1] -= 1
-    inside = np.cumsum(mark)[:-1] > 0
+    inside, starts = in_parts(parts)
     change = np.concatenate([[True], (at[1:] != at[:-1]) | (inside[1:] != inside[:-1])])
     first = np.flatnonzero(change)
     last = np.concatenate([first[1:], [len(at)]]) - 1
@@ -100,9 +102,112 @@ def anchored(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     return first, last, anchor, h[anchor], np.searchsorted(starts, first, "right") - 1, buffer
 
 
+def in_parts(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of the joined bytes, whether it lies in one part; where each part starts."""
+    sizes = np.array([len(x) for _, _, x in parts])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    wide = sizes >= LENGTH
+    mark = np.zeros(max(0, int(sizes.sum()) - LENGTH + 1) + 1, np.int32)
+    mark[starts[wide]] += 1
+    mark[starts[wide] + sizes[wide] - LENGTH + 1] -= 1
+    return np.cumsum(mark)[:-1] > 0, starts
+
+
+def tallied(hashes: np.ndarray) -> np.ndarray:
+    """Ascending hashes with as many copies as documents, cut to 1 + ceil(log2(documents)) copies each."""
+    values, counts = np.unique(hashes, return_counts=True)
+    return np.repeat(values, 1 + np.ceil(np.log2(counts)).astype(np.int64))
+
+
+def recurring(table: pa.Table, hot: int) -> pa.Table:
+    """Of a bucket's tallied runs (run, data), each run's anchors that more than one document has: those of `hot` documents apart."""
+    runs = [np.unique(unpack_sorted(x), return_counts=True) for x in table.column("data").to_pylist()]
+    every = np.concatenate([v for v, _ in runs])
+    order = np.argsort(every, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0]))
+    documents = np.add.reduceat(np.concatenate([np.int64(1) << (c - 1) for _, c in runs])[order], head)
+    values = every[order][head]
+    out: dict[str, list] = {"run": [], "kind": [], "data": []}
+    for kind, known in ((ANCHORS, values[(documents > 1) & (documents < hot)]), (HOT_ANCHORS, values[documents >= hot])):
+        for run, (v, _) in zip(table.column("run").to_pylist(), runs, strict=True):
+            if len(found := v[among(v, known)]):
+                for c, x in (("run", run), ("kind", kind), ("data", pack_sorted(found))):
+                    out[c].append(x)
+    return pa.table(out, schema=pa.schema([("run", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())]))
+
+
+def window_blob(keys: np.ndarray, least: np.ndarray) -> bytes:
+    packed = pack_sorted(keys)
+    return len(packed).to_bytes(8, "little") + packed + least.astype("<i8").tobytes()
+
+
+def window_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    end = 8 + int.from_bytes(blob[:8], "little")
+    return unpack_sorted(blob[8:end]), np.frombuffer(blob, "<i8", offset=end)
+
+
+def hot_runs(keys: np.ndarray, docs: np.ndarray, few: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of a group's hot windows: ascending keys, twice if more than one document has them, and the least doc_id of each."""
+    order = np.lexsort((docs, keys))
+    keys, docs = keys[order], docs[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    several = np.maximum.reduceat(docs, head) > docs[head]
+    values, least = keys[head], docs[head]
+    of = (values >> _U(64 - few)).astype(np.int64) if few else np.zeros(len(values), np.int64)
+    for some in np.split(np.arange(len(values)), np.flatnonzero(np.diff(of)) + 1):
+        yield int(of[some[0]]), window_blob(np.repeat(values[some], 1 + several[some]), least[some])
+
+
+def least_documents(table: pa.Table) -> pa.Table:
+    """Of a bucket's hot windows, each group's that more than one document has, with the least doc_id of all groups."""
+    runs = [window_keys(x) for x in table.column("rests").to_pylist()]
+    values = [np.unique(k) for k, _ in runs]
+    every, least = np.concatenate([k for k, _ in runs]), np.concatenate(values)
+    twice = repeated(np.sort(every))
+    order = np.argsort(least, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(least[order]) != 0]))
+    docs = np.minimum.reduceat(np.concatenate([d for _, d in runs])[order], head)
+    known = least[order][head]
+    out: dict[str, list] = {"group": [], "kind": [], "data": []}
+    for group, v in zip(table.column("group").to_pylist(), values, strict=True):
+        if len(found := v[among(v, twice)]):
+            out["group"].append(group)
+            out["kind"].append(HOT_WINDOWS)
+            out["data"].append(window_blob(found, docs[np.searchsorted(known, found)]))
+    return pa.table(out, schema=TOLD)
+
+
+def hot_spans(rows: list[tuple[int, bytes]], docs: np.ndarray, blobs: list[bytes]) -> dict[int, list[np.ndarray]]:
+    """By row the hot windows that a smaller doc_id has too, as (first, end)."""
+    out: dict[int, list[np.ndarray]] = {}
+    if not blobs:
+        return out
+    found = [window_keys(x) for x in blobs]
+    keys, least = np.concatenate([k for k, _ in found]), np.concatenate([d for _, d in found])
+    order = np.argsort(keys)
+    keys, least = keys[order], least[order]
+    for parts in chunks(rows):
+        buffer = np.frombuffer(b"".join(x for _, _, x in parts), np.uint8)
+        if len(buffer) < LENGTH:
+            continue
+        inside, starts = in_parts(parts)
+        with np.errstate(over="ignore"):
+            h = substring_hashes(buffer, LENGTH)
+        at = np.flatnonzero(among(h, keys) & inside)
+        part = np.searchsorted(starts, at, "right") - 1
+        row = np.array([p[0] for p in parts], np.int64)[part]
+        later = docs[row] > least[np.searchsorted(keys, h[at])]
+        first = (at - starts[part] + np.array([p[1] for p in parts], np.int64)[part])[later]
+        row = row[later]
+        for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1):
+            if len(some):
+                out.setdefault(int(row[some[0]]), []).append(np.stack([first[some], first[some] + LENGTH], axis=1))
+    return out
+
+
 def texts_of(table: pa.Table, side: pa.Table) -> list[tuple[int, bytes]]:
     """(row, text) of those long enough that are no copies of an earlier document's text."""
-    copies = {(d, h) for d, h, kind in zip(side.column("doc_id").to_pylist(), side.column("text_hash").to_pylist(), side.column("kind").to_pylist(), strict=True) if kind == 0}
+    copies = {(d, h) for d, h, kind in zip(side.column("doc_id").to_pylist(), side.column("text_hash").to_pylist(), side.column("kind").to_pylist(), strict=True) if kind == COPY}
     rows = zip(table.column("doc_id").to_pylist(), table.column("text_hash").to_pylist(), table.column("text"), strict=True)
     return [(i, t.as_py()) for i, (d, h, t) in enumerate(rows) if (d, h) not in copies]
 
@@ -198,18 +303,28 @@ def merge(runs: list[list[bytes]], lcps: list[list[int]]) -> tuple[list[int], li
 
 
 RECORDS = ("doc", "text_hash", "at", "right", "left", "sizes", "lcp", "rests", "lefts")
+TOLD = pa.schema([("group", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 SUFFIX_SCHEMA = "bucket int, group int, " + ", ".join(f"{c} binary" for c in RECORDS) + ", known binary"
 
 
 def suffix_runs(table: pa.Table, side: pa.Table, shift: int, few: int) -> pa.Table:
-    """A group's suffixes at anchors that occur in other documents, a sorted front-coded run a bucket; and known repeats."""
+    """A group's suffixes at anchors that occur in other documents, a sorted front-coded run a bucket; and known repeats.
+
+    Buckets of hot windows have numbers below zero, and the windows as `rests`.
+    """
     rows = texts_of(table, side)
     docs, hashes = table.column("doc_id").to_numpy(), table.column("text_hash").to_numpy()
-    blobs = [x for x, kind in zip(side.column("data").to_pylist(), side.column("kind").to_pylist(), strict=True) if kind == 1]
-    known = np.sort(np.concatenate([*map(unpack_sorted, blobs), np.zeros(0, _U)]))
+    told = list(zip(side.column("data").to_pylist(), side.column("kind").to_pylist(), strict=True))
+    known, hot = (np.sort(np.concatenate([*(unpack_sorted(x) for x, kind in told if kind == k), np.zeros(0, _U)])) for k in (ANCHORS, HOT_ANCHORS))
+    windows: list[tuple[np.ndarray, np.ndarray]] = []
     found: dict[str, list] = {c: [] for c in ("row", "at", "right", "left", "hash", "r", "l")}
     for parts in chunks(rows):
         first, last, anchor, h, part, buffer = anchored(parts)
+        if len(hot) and (keep := among(h >> _U(shift), hot)).any():
+            spans = last[keep] - first[keep] + 1
+            at = np.repeat(first[keep] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+            with np.errstate(over="ignore"):
+                windows.append((substring_hashes(buffer, LENGTH)[at], docs[np.array([p[0] for p in parts], np.int64)[np.repeat(part[keep], spans)]]))
         keep = among(h >> _U(shift), known)
         first, last, anchor, h, part = (x[keep] for x in (first, last, anchor, h, part))
         starts = np.concatenate([[0], np.cumsum([len(x) for _, _, x in parts])])
@@ -234,6 +349,11 @@ def suffix_runs(table: pa.Table, side: pa.Table, shift: int, few: int) -> pa.Tab
                 out["bucket"].append(int(of[some[0]]))
                 for c, x in coded({c: v[some] for c, v in f.items()}, docs, hashes).items():
                     out[c].append(x)
+    if windows:
+        for bucket, blob in hot_runs(*map(np.concatenate, zip(*windows, strict=True)), few):
+            for c in out:
+                out[c].append(b"")
+            out["bucket"][-1], out["rests"][-1] = -1 - bucket, blob
     types = [("bucket", pa.int32()), ("group", pa.int32()), *((c, pa.binary()) for c in (*RECORDS, "known"))]
     group = [int(table.column("group")[0].as_py()) if table.num_rows else 0] * len(out["bucket"])
     return pa.table({"bucket": out["bucket"], "group": group, **{c: out[c] for c in (*RECORDS, "known")}}, schema=pa.schema(types))
@@ -269,6 +389,8 @@ def coded(f: dict[str, np.ndarray], docs: np.ndarray, hashes: np.ndarray) -> dic
 
 def covered(table: pa.Table) -> pa.Table:
     """Merges a bucket's runs and tells each group what is covered: doc_id, text hash, first byte, end, as a blob."""
+    if table.column("bucket")[0].as_py() < 0:
+        return least_documents(table)
     c = table.to_pydict()
     runs = [decoded(*x) for x in zip(c["lcp"], c["sizes"], c["rests"], strict=True)]
     order, shares = merge(runs, [list(x) for x in c["lcp"]])
@@ -316,7 +438,7 @@ def covered(table: pa.Table) -> pa.Table:
         data.append(intervals(doc[own], joined["text_hash"][own], first[own], last[own]))
     groups = np.repeat(c["group"], 2)
     keep = [i for i, x in enumerate(data) if x]
-    return pa.table({"group": pa.array(groups[keep], pa.int32()), "data": pa.array([data[i] for i in keep], pa.binary())})
+    return pa.table({"group": pa.array(groups[keep], pa.int32()), "kind": pa.array([SPANS] * len(keep), pa.int32()), "data": pa.array([data[i] for i in keep], pa.binary())})
 
 
 def united(spans: np.ndarray) -> np.ndarray:
@@ -338,14 +460,14 @@ def spans_of(docs: DataFrame, extra: list[str], cut, schema):
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     facts = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     count, size = facts[0], facts[1] or 0
-    groups = max(1, -(-count // GROUP_ROWS))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    groups = max(1, -(-count // GROUP_ROWS), -(-size // GROUP_BYTES))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(groups)).cast("int"))
     # Copies: rows whose text is in a document before them, by two hashes and the size.
     keys = rows.select("doc_id", "text_hash", "group", F.md5("text").alias("md5"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
     firsts = keys.groupBy("md5", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = keys.join(firsts, ["md5", "size"]).where("doc_id > first").select("group", "doc_id", "text_hash")
     none = F.lit(None).cast("binary").alias("data")
-    side = copies.select(*(F.col(c).alias(c) for c in ("group", "doc_id", "text_hash"))).select("group", F.lit(0).alias("kind"), "doc_id", "text_hash", none)
+    side = copies.select(*(F.col(c).alias(c) for c in ("group", "doc_id", "text_hash"))).select("group", F.lit(COPY).alias("kind"), "doc_id", "text_hash", none)
 
     anchors = max(1, size * 2 // (W + 1))
     bits = min(64, anchors.bit_length() + 16)
@@ -366,6 +488,7 @@ def spans_of(docs: DataFrame, extra: list[str], cut, schema):
             h = np.unique(np.concatenate([*found, np.zeros(0, _U)])) >> _U(24)
         else:
             h = np.sort(np.concatenate([*(x[0] for x in found), np.zeros(0, _U)]))
+        h = tallied(h)
         cuts = np.searchsorted(h, np.arange(1, 1 << few, dtype=_U) << _U(bits - few)) if few else []
         runs = [(k, pack_sorted(x)) for k, x in enumerate(np.split(h, cuts)) if len(x)]
         group = table.column("group")[0].as_py() if table.num_rows else 0
@@ -373,26 +496,29 @@ def spans_of(docs: DataFrame, extra: list[str], cut, schema):
 
     by_group = rows.groupBy("group")
     one = by_group.cogroup(side.groupBy("group")).applyInArrow(tidy2(first), "bucket int, run int, data binary")
-    two = one.groupBy("bucket").applyInArrow(tidy(shared), "run int, data binary")
-    asked = side.unionByName(two.select(F.col("run").alias("group"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), "data"))
+    hot = HOT
+    two = one.groupBy("bucket").applyInArrow(tidy(lambda t: recurring(t, hot)), "run int, kind int, data binary")
+    asked = side.unionByName(two.select(F.col("run").alias("group"), "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), "data"))
     three = by_group.cogroup(asked.groupBy("group")).applyInArrow(tidy2(lambda t, s: suffix_runs(t, s, shift, spread)), SUFFIX_SCHEMA)
-    four = three.groupBy("bucket").applyInArrow(tidy(covered), "group int, data binary")
-    told = side.unionByName(four.select("group", F.lit(2).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), "data"))
+    four = three.groupBy("bucket").applyInArrow(tidy(covered), "group int, kind int, data binary")
+    told = side.unionByName(four.select("group", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), "data"))
 
     def last(table: pa.Table, side: pa.Table) -> pa.Table:
         kinds = side.column("kind").to_pylist()
-        copies = {(d, h) for d, h, k in zip(side.column("doc_id").to_pylist(), side.column("text_hash").to_pylist(), kinds, strict=True) if k == 0}
-        blobs = [np.frombuffer(x, "<i8").reshape(4, -1) for x, k in zip(side.column("data").to_pylist(), kinds, strict=True) if k == 2]
+        copies = {(d, h) for d, h, k in zip(side.column("doc_id").to_pylist(), side.column("text_hash").to_pylist(), kinds, strict=True) if k == COPY}
+        told = list(zip(side.column("data").to_pylist(), kinds, strict=True))
+        blobs = [np.frombuffer(x, "<i8").reshape(4, -1) for x, k in told if k == SPANS]
+        hot = hot_spans(texts_of(table, side), table.column("doc_id").to_numpy(), [x for x, k in told if k == HOT_WINDOWS])
         every = np.concatenate([*blobs, np.zeros((4, 0), np.int64)], axis=1)
         every = every[:, np.lexsort((every[1], every[0]))]
         edge = np.flatnonzero((np.diff(every[0]) != 0) | (np.diff(every[1]) != 0)) + 1
         by = {(int(x[0, 0]), int(x[1, 0])): x[2:].T for x in np.split(every, edge, axis=1) if x.shape[1]}
         spans = []
-        for d, h, t in zip(table.column("doc_id").to_pylist(), table.column("text_hash").to_pylist(), table.column("text"), strict=True):
+        for i, (d, h, t) in enumerate(zip(table.column("doc_id").to_pylist(), table.column("text_hash").to_pylist(), table.column("text"), strict=True)):
             if (d, h) in copies:
                 spans.append(np.array([[0, len(t.as_buffer())]]))
-            elif (d, h) in by:
-                spans.append(united(by[d, h]))
+            elif found := [*([by[d, h]] if (d, h) in by else []), *hot.get(i, [])]:
+                spans.append(united(np.concatenate(found)))
             else:
                 spans.append(np.zeros((0, 2), np.int64))
         return cut(table, spans)

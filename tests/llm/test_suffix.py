@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -61,7 +63,9 @@ def test_odd_rows(spark, odd, odd_rows, as_table):
     assert rows_of(suffix.op8_repeated_bytes(spark, as_table(documents=odd))) == brute([(r[0], r[1]) for r in odd_rows])
 
 
-def test_planted_passages(spark, as_table, monkeypatch):
+@pytest.mark.parametrize("hot", [8192, 2, 20])
+def test_planted_passages(spark, as_table, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)  # 2: all windows that recur are dealt by themselves
     monkeypatch.setattr(suffix, "GROUP_ROWS", 7)
     monkeypatch.setattr(suffix, "BUCKET_ANCHORS", 500)
     monkeypatch.setattr(suffix, "BUCKET_BYTES", 5000)
@@ -82,5 +86,30 @@ def test_planted_passages(spark, as_table, monkeypatch):
     assert rows_of(suffix.op8_repeated_bytes(spark, as_table(documents=df))) == brute(rows)
 
 
+def test_a_line_in_all_documents_is_split(spark, as_table, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 64)
+    monkeypatch.setattr(suffix, "GROUP_BYTES", 5000)
+    met = spark.sparkContext.accumulator(0)
+    plain = suffix.covered
+
+    def covered(table):
+        if table.column("bucket")[0].as_py() >= 0:
+            met.add(sum(len(x) for x in table.column("right").to_pylist()))
+        return plain(table)
+
+    monkeypatch.setattr(suffix, "covered", covered)
+    rng = random.Random(3)
+    line = words(rng, 14)
+    rows = [(i, words(rng, 9) + line + words(rng, 9)) for i in range(400)]
+    df = spark.createDataFrame([(d, t, None, None, None, None, None) for d, t in rows], SCHEMA)
+    assert rows_of(suffix.op8_repeated_bytes(spark, as_table(documents=df))) == brute(rows)
+    assert met.value < 400  # suffixes at the line's anchors did not meet in a bucket
+
+
+def test_tallies():
+    h = np.sort(np.repeat(np.arange(6, dtype=np.uint64), [1, 2, 3, 4, 5, 1000]))
+    assert np.unique(suffix.tallied(h), return_counts=True)[1].tolist() == [1, 2, 3, 3, 4, 11]
+
+
 def test_empty(spark, empty, as_table):
     assert suffix.op8_repeated_bytes(spark, as_table(documents=empty)).count() == 0
