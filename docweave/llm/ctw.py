@@ -9,7 +9,9 @@ and ends with one, a byte that UTF-8 never has, so probabilities of all texts su
 
 1. Training grams (context and byte) and words are counted by Spark: sorted runs of keys with counts a part of a task,
    summed by bucket. A bucket holds all contexts with some two last bytes, so it builds its nodes of two bytes and more
-   alone; of the nodes above, 256 * 255 at most, buckets give their shares of the sums.
+   alone; of the nodes above buckets give their shares of the sums. Two bytes that over a share of the corpus ends in
+   (by a sample, which decides places only, not results) are split by the byte before, and so on, so no bucket is much
+   larger than others; such contexts, at most 1 / SHARE a length, are nodes above.
 2. Groups of documents ask the buckets for the keys they have and get one number a key back. The model is never in one
    place, and grows with the corpus.
 
@@ -33,8 +35,11 @@ from .runs import mix, pack_sorted, unpack_sorted
 _U = np.uint64
 DEPTH, END, FOLDS, HELD_OUT = 5, 0xFF, 5, 1
 WORDS, GRAMS, TOP = 0, 1, 2
-#: Bytes of text counted at once; documents of a group; bytes of text for each bucket, about.
-COUNT_STEP, SCORE_STEP, GROUP_ROWS, BUCKET_BYTES = 8 << 20, 2 << 20, 4000, 16 << 20
+#: Bytes of text counted at once; documents and bytes of a group; bytes of text for each bucket, about.
+COUNT_STEP, SCORE_STEP, GROUP_ROWS, GROUP_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20, 4000, 16 << 20, 16 << 20
+#: A context is split if it has so many times a bucket's even share, but not for a smaller share of all bytes than SHARE;
+#: documents of the sample that tells, about.
+UNEVEN, SHARE, SAMPLE = 4, 1 / 2048, 4096
 HALF = np.log(0.5)
 
 
@@ -64,8 +69,57 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], starts
 
 
-def gram_bucket(keys: np.ndarray, few: int) -> np.ndarray:
-    return (mix(keys >> _U(8 * (DEPTH - 1))) >> _U(64 - few)).astype(np.int64) if few else np.zeros(len(keys), np.int64)
+def context(keys: np.ndarray, d: int) -> np.ndarray:
+    """The last d bytes before, the very last in the highest place."""
+    return keys >> _U(8 * (DEPTH + 1 - d))
+
+
+class Split:
+    """Which bucket a gram belongs to: by its last two bytes or, where these are common, as many more as it takes."""
+
+    def __init__(self, common: dict[int, np.ndarray], few: int):
+        """common: by length, from 2 to DEPTH - 1, ascending contexts that are split. 2^few buckets."""
+        self.common, self.few = common, few
+
+    def depth(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), 2)
+        for d in range(2, DEPTH):
+            if len(self.common.get(d, ())):
+                at = np.flatnonzero(out == d)
+                out[at[np.isin(context(keys[at], d), self.common[d])]] += 1
+        return out
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        if not self.few:
+            return np.zeros(len(keys), np.int64)
+        d = self.depth(keys)
+        own = keys >> (8 * (DEPTH + 1 - d)).astype(_U)
+        return (mix(own * _U(8) + d.astype(_U)) >> _U(64 - self.few)).astype(np.int64)
+
+    def above(self, d: int) -> np.ndarray:
+        """The contexts of d bytes whose nodes lie over several buckets, ascending."""
+        return self.common.get(d, np.zeros(0, _U)) if d > 1 else np.arange(256**d, dtype=_U)
+
+    @classmethod
+    def of(cls, rows: DataFrame, n: int, few: int) -> Split:
+        least = max(SHARE, UNEVEN / (1 << few))
+        if least >= 1:
+            return cls({}, few)
+
+        def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for some in in_steps([t.as_py() for t in b.column(0)], COUNT_STEP):
+                    k, c = np.unique(context(grams(some)[0], DEPTH - 1), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([pack_sorted(k)]), pa.array([packed_counts(c)])], names=["keys", "counts"])
+
+        some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+        found = some.mapInArrow(counts, "keys binary, counts binary").collect()
+        k, c = summed([unpack_sorted(bytes(r[0])) for r in found], [unpacked_counts(bytes(r[1])) for r in found])
+        common = {}
+        for d in range(2, DEPTH):
+            ctx, n_ = summed([k >> _U(8 * (DEPTH - 1 - d))], [c])
+            common[d] = ctx[n_ > least * c.sum()]
+        return cls(common, few)
 
 
 def word_hashes(words) -> np.ndarray:
@@ -89,9 +143,9 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[head], np.add.reduceat(c, head) if len(head) else c
 
 
-def by_bucket(keys: np.ndarray, kind: int, few: int) -> Iterator[tuple[int, np.ndarray]]:
+def by_bucket(keys: np.ndarray, kind: int, split: Split) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, positions) of ascending keys; positions ascend."""
-    of = gram_bucket(keys, few) if kind == GRAMS else (keys >> _U(64 - few)).astype(np.int64) if few else np.zeros(len(keys), np.int64)
+    of = split.bucket(keys) if kind == GRAMS else (keys >> _U(64 - split.few)).astype(np.int64) if split.few else np.zeros(len(keys), np.int64)
     order = np.argsort(of, kind="stable")
     for some in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
         if len(some):
@@ -134,22 +188,23 @@ def decisions(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """The nodes of contexts of `top` to DEPTH bytes, from ascending keys and their counts."""
+    """The nodes of a bucket's contexts, from ascending keys and their counts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int = 2):
-        self.top, self.contexts, self.nodes, self.bits = top, {}, {}, {}
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, split: Split):
+        self.contexts, self.nodes, self.bits, self.roots = {}, {}, {}, []
+        least = split.depth(keys)
         decision, bit = decisions(keys & _U(255))
         weight = np.repeat(counts[:, None], 8, axis=1)
-        self.weighted = {}
         child = None
-        for d in range(DEPTH, top - 1, -1):
-            ctx = keys >> _U(8 * (DEPTH + 1 - d))
+        for d in range(DEPTH, 1, -1):
+            own_ = least <= d
+            ctx = context(keys[own_], d)
             head = np.concatenate([[True], ctx[1:] != ctx[:-1]])[: len(ctx)]
             self.contexts[d] = ctx[head]
-            node = ((np.cumsum(head) - 1)[:, None] * 256 + decision).ravel()
+            node = ((np.cumsum(head) - 1)[:, None] * 256 + decision[own_]).ravel()
             names, index = np.unique(node, return_inverse=True)
-            ones = np.bincount(index, (weight * bit).ravel(), len(names))
-            zeros = np.bincount(index, weight.ravel(), len(names)) - ones
+            ones = np.bincount(index, (weight[own_] * bit[own_]).ravel(), len(names))
+            zeros = np.bincount(index, weight[own_].ravel(), len(names)) - ones
             own = estimated(zeros, ones)
             if child is None:
                 whole, stay = own, np.ones(len(names))
@@ -159,24 +214,23 @@ class Tree:
                 below = np.bincount(np.searchsorted(names, parent), total, len(names))
                 whole = np.logaddexp(HALF + own, HALF + below)
                 stay = np.exp(HALF + own - whole)
-            child = names, whole
             self.nodes[d], self.bits[d] = names, (zeros, ones, stay)
-        self.weighted = child
-
-    def roots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the topmost nodes: context, decision and weighted ln probability; zeros and ones."""
-        names, whole = self.weighted
-        zeros, ones, _ = self.bits[self.top]
-        return self.contexts[self.top][names >> 8], names & 255, whole, np.stack([zeros, ones])
+            # The topmost nodes here hang on nodes of d - 1 bytes that lie over several buckets; the others have a parent.
+            top = (least[own_][head] == d)[names >> 8]
+            if top.any():
+                above = np.searchsorted(split.above(d - 1), self.contexts[d][names[top] >> 8] >> _U(8))
+                name, index = np.unique(above * 256 + (names[top] & 255), return_inverse=True)
+                self.roots.append((d - 1, name, np.stack([np.bincount(index, x[top], len(name)) for x in (zeros, ones, whole)])))
+            child = names[~top], whole[~top]
 
     def probabilities(self, keys: np.ndarray) -> np.ndarray:
-        """(keys, 8): the mixed probability of each bit of the keys' bytes; nan where no node from `top` on has seen the decision."""
+        """(keys, 8): the mixed probability of each bit of the keys' bytes; nan where no node of the bucket has seen the decision."""
         decision, bit = decisions(keys & _U(255))
         p = np.full(decision.shape, np.nan)
-        for d in range(DEPTH, self.top - 1, -1):
+        for d in range(DEPTH, 1, -1):
             if not len(self.contexts[d]):
                 continue
-            ctx = keys >> _U(8 * (DEPTH + 1 - d))
+            ctx = context(keys, d)
             at = np.minimum(np.searchsorted(self.contexts[d], ctx), len(self.contexts[d]) - 1)
             name = at[:, None] * 256 + decision
             node = np.minimum(np.searchsorted(self.nodes[d], name), len(self.nodes[d]) - 1)
@@ -192,25 +246,30 @@ def mixed(below: np.ndarray, seen: np.ndarray, zeros: np.ndarray, ones: np.ndarr
 
 
 class Top:
-    """The nodes of no context and of one byte, from what buckets give of the nodes below: sums by (byte, decision)."""
-
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
-        self.levels = []
-        own = estimated(zeros, ones)
-        whole = np.where(zeros + ones > 0, np.logaddexp(HALF + own, HALF + below), 0.0)
-        self.levels.append((zeros, ones, np.exp(HALF + own - whole)))
-        z, o, under = zeros.sum(0), ones.sum(0), whole.sum(0)
-        own = estimated(z, o)
-        whole = np.logaddexp(HALF + own, HALF + under)
-        self.levels.append((z, o, np.exp(HALF + own - whole)))
+    """The nodes above the buckets', from no context on, by sums[d] (3, contexts, 256): zeros, ones, and what lies below."""
+
+    def __init__(self, split: Split, sums: dict[int, np.ndarray]):
+        self.split, self.levels = split, {}
+        for d in sorted(sums, reverse=True):
+            zeros, ones, below = sums[d]
+            own = estimated(zeros, ones)
+            whole = np.where(zeros + ones > 0, np.logaddexp(HALF + own, HALF + below), 0.0)
+            self.levels[d] = zeros, ones, np.exp(HALF + own - whole)
+            if d:
+                parent = np.searchsorted(split.above(d - 1), split.above(d) >> _U(8))
+                for k, x in enumerate((zeros, ones, whole)):
+                    np.add.at(sums[d - 1][k], parent, x)
 
     def log10(self, keys: np.ndarray, p: np.ndarray) -> np.ndarray:
         """log10 of the probability of the keys' bytes, p the mixtures of the nodes below."""
         decision, bit = decisions(keys & _U(255))
-        before = (keys >> _U(8 * DEPTH)).astype(np.int64)[:, None]
-        for (zeros, ones, stay), at in zip(self.levels, ((before, decision), (decision,)), strict=True):
-            z, o = zeros[at], ones[at]
-            p = mixed(p, z + o > 0, z, o, stay[at], bit)
+        for d, (zeros, ones, stay) in self.levels.items():
+            above, ctx = self.split.above(d), context(keys, d)
+            if len(above):
+                at = np.minimum(np.searchsorted(above, ctx), len(above) - 1)
+                here, at = (above[at] == ctx)[:, None], (at[:, None], decision)
+                z, o = zeros[at], ones[at]
+                p = mixed(p, here & (z + o > 0), z, o, stay[at], bit)
         return np.log10(np.where(np.isnan(p), 0.5, p)).sum(1)
 
 
@@ -220,8 +279,8 @@ COUNTED = "kind int, bucket int, keys binary, counts binary"
 MODEL = "kind int, bucket int, keys binary, counts binary, total long, n_distinct long"
 
 
-def count(rows: DataFrame, few: int) -> DataFrame:
-    """The model: sums of words and grams by bucket, and what each bucket gives to the nodes above it (kind TOP)."""
+def count(rows: DataFrame, split: Split) -> DataFrame:
+    """The model: sums of words and grams by bucket, and what each bucket gives to the nodes above it (kind TOP, total: their depth)."""
 
     def part(texts: list[bytes]) -> pa.RecordBatch:
         out: list[tuple] = []
@@ -236,7 +295,7 @@ def count(rows: DataFrame, few: int) -> DataFrame:
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sets.append((GRAMS, key[head], np.diff(np.append(head, len(key)))))
         for kind, k, c in sets:
-            out += [(kind, b, pack_sorted(k[at]), packed_counts(c[at])) for b, at in by_bucket(k, kind, few)]
+            out += [(kind, b, pack_sorted(k[at]), packed_counts(c[at])) for b, at in by_bucket(k, kind, split)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "keys", "counts"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,23 +315,20 @@ def count(rows: DataFrame, few: int) -> DataFrame:
         keys, counts = summed([unpack_sorted(x) for x in table.column("keys").to_pylist()], [unpacked_counts(x) for x in table.column("counts").to_pylist()])
         out = [(kind, bucket, pack_sorted(keys), packed_counts(counts), int(counts.sum()), len(keys))]
         if kind == GRAMS:
-            ctx, decision, whole, bits = Tree(keys, counts).roots()
-            name = (ctx >> _U(8)).astype(np.int64) * 256 + decision
-            at, index = np.unique(name, return_inverse=True)
-            sums = [np.bincount(index, x, len(at)) for x in (*bits, whole)]
-            out.append((TOP, bucket, at.astype("<i8").tobytes(), np.stack(sums).astype("<f8").tobytes(), 0, 0))
+            for d, name, sums in Tree(keys, counts, split).roots:
+                out.append((TOP, bucket, name.astype("<i8").tobytes(), sums.astype("<f8").tobytes(), d, 0))
         return pa.table({c: list(v) for c, v in zip(("kind", "bucket", "keys", "counts", "total", "n_distinct"), zip(*out, strict=True), strict=True)}, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), ("n_distinct", pa.int64())]))
 
     train = rows.where("not held_out").select("text")
     return train.mapInArrow(runs, COUNTED).groupBy("kind", "bucket").applyInArrow(tidy(add), MODEL)
 
 
-def top_of(model: DataFrame) -> Top:
-    """The topmost nodes: 3 * 256 * 256 numbers, whatever the corpus."""
-    sums = np.zeros((3, 65536))
-    for r in model.where(F.col("kind") == TOP).select("keys", "counts").toLocalIterator():
-        sums[:, np.frombuffer(bytes(r[0]), "<i8")] += np.frombuffer(bytes(r[1]), "<f8").reshape(3, -1)
-    return Top(*sums.reshape(3, 256, 256))
+def top_of(model: DataFrame, split: Split) -> Top:
+    """The topmost nodes. A node below belongs to one bucket, so what comes here is bounded by SHARE, whatever the corpus."""
+    sums = {d: np.zeros((3, len(split.above(d)) * 256)) for d in range(DEPTH)}
+    for r in model.where(F.col("kind") == TOP).select("keys", "counts", "total").toLocalIterator():
+        sums[r[2]][:, np.frombuffer(bytes(r[0]), "<i8")] += np.frombuffer(bytes(r[1]), "<f8").reshape(3, -1)
+    return Top(split, {d: x.reshape(3, -1, 256) for d, x in sums.items()})
 
 
 # Scoring
@@ -330,19 +386,20 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_bytes().alias("text"))
     n, size, ends = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0))).first()
     few = max(2, (size // BUCKET_BYTES).bit_length())
-    model = written(count(rows, few))
+    split = Split.of(rows, n, few)
+    model = written(count(rows, split))
     totals = model.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
     tokens, vocabulary = totals[0] + ends, totals[1] + (1 if ends else 0)
-    top = spark.sparkContext.broadcast(top_of(model))
-    groups = max(1, -(-n // GROUP_ROWS))
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int"))
+    top = spark.sparkContext.broadcast(top_of(model, split))
+    groups = max(1, -(-n // GROUP_ROWS), -(-size // GROUP_BYTES))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     by_group = rows.groupBy("group")
 
     def ask(table: pa.Table) -> pa.Table:
         _, hashes, found = distinct_keys([t.as_py() for t in table.column("text")])
         group, out = table.column("group")[0].as_py(), []
         for kind, keys in ((WORDS, np.sort(hashes)), (GRAMS, found)):
-            out += [(kind, b, group, pack_sorted(keys[at])) for b, at in by_bucket(keys, kind, few)]
+            out += [(kind, b, group, pack_sorted(keys[at])) for b, at in by_bucket(keys, kind, split)]
         return pa.table({c: list(v) for c, v in zip(("kind", "bucket", "group", "keys"), zip(*out, strict=True), strict=True)}, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("group", pa.int32()), ("keys", pa.binary())]))
 
     def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
@@ -360,7 +417,7 @@ def score(docs: DataFrame) -> DataFrame:
             data = [packed_counts(value[np.searchsorted(every, x)]) for x in runs]
         else:
             value = np.empty(len(every), "<f4")
-            tree = Tree(keys, counts)
+            tree = Tree(keys, counts, split)
             for i in range(0, len(every), 1 << 16):
                 some = every[i : i + (1 << 16)]
                 value[i : i + len(some)] = top.value.log10(some, tree.probabilities(some))
@@ -372,11 +429,11 @@ def score(docs: DataFrame) -> DataFrame:
         names, hashes, found = distinct_keys(texts)
         data = {(k, b): d for k, b, d in zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("data").to_pylist(), strict=True)}
         values = np.empty(len(found), np.float32)
-        for b, at in by_bucket(found, GRAMS, few):
+        for b, at in by_bucket(found, GRAMS, split):
             values[at] = np.frombuffer(data[GRAMS, b], "<f4")
         order = np.argsort(hashes)
         counts = np.empty(len(hashes), np.int64)
-        for b, at in by_bucket(hashes[order], WORDS, few):
+        for b, at in by_bucket(hashes[order], WORDS, split):
             counts[order[at]] = unpacked_counts(data[WORDS, b])
         floor = tokens + 0.5 * (vocabulary + 1)
         logs = dict(zip(names, np.log10((counts + 0.5) / floor).tolist(), strict=True))

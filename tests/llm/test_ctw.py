@@ -92,7 +92,10 @@ def test_odd_rows(spark, odd_rows, as_table):
     check(df, [(r[0], r[1]) for r in rows])
 
 
-def test_small_steps(spark, monkeypatch):
+@pytest.mark.parametrize("uneven", [4, 0.5, 0.001])
+def test_small_steps(spark, monkeypatch, uneven):
+    monkeypatch.setattr(ctw, "UNEVEN", uneven)  # few, some or all contexts are split
+    monkeypatch.setattr(ctw, "SHARE", 0.0)
     monkeypatch.setattr(ctw, "COUNT_STEP", 700)
     monkeypatch.setattr(ctw, "SCORE_STEP", 300)
     monkeypatch.setattr(ctw, "GROUP_ROWS", 5)
@@ -109,21 +112,36 @@ def test_no_training_rows_and_no_rows(spark, empty):
     assert ctw.score(empty).count() == 0
 
 
-def test_probabilities_of_bytes_sum_to_one():
+@pytest.mark.parametrize("least", [2.0, 0.02, 0.0])
+def test_probabilities_of_bytes_sum_to_one(least):
     rng = random.Random(6)
     text = words(rng, 300).encode()
     keys, _ = ctw.grams([text])
     k, n = np.unique(keys, return_counts=True)
-    tree = ctw.Tree(k, n)
-    ctx, decision, whole, bits = tree.roots()
-    sums = np.zeros((3, 65536))
-    name = (ctx >> np.uint64(8)).astype(int) * 256 + decision
-    for row, x in zip(sums, (*bits, whole), strict=True):
-        np.add.at(row, name, x)
-    top = ctw.Top(*sums.reshape(3, 256, 256))
+    common = {}
+    for d in (2, 3, 4):
+        c, m = np.unique(ctw.context(keys, d), return_counts=True)
+        common[d] = c[m > least * len(keys)]
+    split = ctw.Split(common, 3)
+    of = split.bucket(k)
+    trees = {b: ctw.Tree(k[of == b], n[of == b], split) for b in np.unique(of)}
+    sums = {d: np.zeros((3, len(split.above(d)) * 256)) for d in range(5)}
+    for t in trees.values():
+        for d, name, x in t.roots:
+            sums[d][:, name] += x
+    top = ctw.Top(split, {d: x.reshape(3, -1, 256) for d, x in sums.items()})
     for context in (keys[50], keys[7], np.uint64(0x123456789A00)):
         every = (context & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
-        assert (10 ** top.log10(every, tree.probabilities(every))).sum() == pytest.approx(1)
+        b = int(split.bucket(every)[0])
+        p = trees[b].probabilities(every) if b in trees else np.full((256, 8), np.nan)
+        assert (10 ** top.log10(every, p)).sum() == pytest.approx(1)
+
+
+def test_common_contexts_are_split():
+    keys, _ = ctw.grams([b"aaaaaaaab" * 200])
+    plain, split = ctw.Split({}, 4), ctw.Split({d: np.unique(ctw.context(keys, d)) for d in (2, 3)}, 4)
+    assert set(split.depth(keys)) == {4} and set(plain.depth(keys)) == {2}
+    assert len(np.unique(split.bucket(keys))) > len(np.unique(plain.bucket(keys)))
 
 
 def test_lgamma():
