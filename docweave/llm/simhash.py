@@ -4,21 +4,24 @@ Every distinct fingerprint emits all variants within half the radius; two finger
 variant, and two that share one are within it, so owners of a variant are linked to the first of them and no pairs are
 made. Variants are exchanged twice: first as sorted runs of their hashes alone, cut to a few more bits than their number
 has, which shows the hashes that occur more than once; then only variants with such a hash, whole and with their owners,
-are brought together and verified. A wide fingerprint is cut into blocks, each ball-hashed in itself, and pairs are
-verified over all bits; for texts that are similar rather than almost equal. There links only say which texts may be
-similar: they make families, in which all texts of different groups are compared by their shingles.
+are brought together and verified.
+
+For texts that are similar rather than almost equal a wide fingerprint is cut into blocks, each ball-hashed in itself. As
+blocks are short, unrelated texts of a large corpus have equal ones; so a block's variants are shuffled together with
+the least shingle of one part of the hash range, which two texts have in common as likely as they are similar. Pairs are
+verified over all bits. There links only say which texts may be similar: they make families, in which all texts of
+different groups are compared by their shingles.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -37,13 +40,17 @@ BLOCK, COLUMNS = 512, 2048
 
 @dataclass(frozen=True)
 class Ball:
-    """words: of 64 bits; blocks of width bits with variants of up to half changed bits; links at radius bits at most."""
+    """words: of 64 bits; blocks of width bits with variants of up to half changed bits; links at radius bits at most.
+
+    salted: each block's keys go with a number of 32 bits that comes behind the words of the fingerprint.
+    """
 
     words: int = 1
     blocks: int = 1
     width: int = 64
     half: int = 2
     radius: int = 4
+    salted: bool = False
 
     @property
     def masks(self) -> np.ndarray:
@@ -59,7 +66,13 @@ class Ball:
     def variants(self) -> int:
         return self.blocks * len(self.masks)
 
-    def keys(self, fps: np.ndarray) -> np.ndarray:
+    def parsed(self, fingerprints: list[bytes]) -> tuple[np.ndarray, np.ndarray | None]:
+        """(fingerprints, words), and (fingerprints, blocks) salts."""
+        both = np.frombuffer(b"".join(fingerprints), np.uint8).reshape(len(fingerprints), 8 * self.words + 4 * self.blocks * self.salted)
+        fps = np.ascontiguousarray(both[:, : 8 * self.words]).view("<u8")
+        return fps, np.ascontiguousarray(both[:, 8 * self.words :]).view("<u4") if self.salted else None
+
+    def keys(self, fps: np.ndarray, salts: np.ndarray | None = None) -> np.ndarray:
         """(fingerprints, variants): mixed keys of all variants of all blocks. A block's number is part of its keys."""
         parts = []
         for k in range(self.blocks):
@@ -70,15 +83,19 @@ class Ball:
             if self.width < 64:
                 v = v & _U((1 << self.width) - 1)
             v = v[:, None] ^ self.masks[None, :]
-            parts.append(v if self.blocks == 1 else v | _U(k << self.width))
+            v = v if self.blocks == 1 else v | _U(k << self.width)
+            parts.append(v if salts is None else v | salts[:, k : k + 1].astype(_U) << _U(32))
         return mix(parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1))
 
 
 #: The contract of op9, and the ball for five-word shingles at a similarity of 0.8: expected distance 48 bits, spread 6.4;
-#: a block of 20 is at most two bits apart with 40 %, one of 16 blocks with 99.97 %. Unrelated texts have 160, spread 9.
-EXACT, SIMILAR = Ball(), Ball(words=5, blocks=16, width=20, half=1, radius=88)
+#: a block of 16 is at most two bits apart with 56 %, and has an equal salt with 80 %; one of 20 blocks with 99.999 %.
+#: Unrelated texts have a distance of 160, spread 9.
+EXACT, SIMILAR = Ball(), Ball(words=5, blocks=20, width=16, half=1, radius=76, salted=True)
 #: Texts of up to so many shingles have few for a fingerprint; they become candidates by the shingles themselves.
 SHORT = 64
+#: Bytes of text whose words are hashed at once.
+PIECE = 1 << 20
 
 
 def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
@@ -98,21 +115,117 @@ def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
         yield np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts[:n].tolist(), ends[size - 1 :].tolist(), strict=True)], _U)
 
 
+def byte_table() -> np.ndarray:
+    """A random word for each byte, that of capitals A-Z the small letters'."""
+    table = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+    table[65:91] = table[97:123]
+    return table
+
+
+_TABLE = byte_table()
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+
+
+class Powers:
+    """Powers of the base and of its inverse, as many as the longest piece so far has needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, _U)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, _U), np.full(2 * n, base, _U)]), dtype=_U) for base in (_BASE, _INVERSE))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = Powers()
+
+
+def word_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the bytes start, and their hashes: sums of byte numbers times powers of their place."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], ~_SPACE[b], [False]]).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    up, down = _POWERS(len(b) + 1)
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_TABLE[b] * up[: len(b)], dtype=_U)])
+    return start, mix((sums[end] - sums[start]) * down[start])
+
+
+def joined_words(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each `size` words that follow each other."""
+    h = np.zeros(max(0, len(words) - size + 1), _U)
+    for k in range(size):
+        h = mix(h * _U(31) + words[k : k + len(h)])
+    return h
+
+
+def few_words(words: np.ndarray, size: int) -> np.ndarray:
+    """The only shingle of a text of fewer than `size` words; none without a word."""
+    return mix(joined_words(words, len(words)) + _U(len(words))) if 0 < len(words) < size else np.zeros(0, _U)
+
+
+def long_shingle_set(text: bytes, size: int) -> np.ndarray:
+    """As shingle_sets, of one text, a piece at a time; a piece ends with a word."""
+    parts, before, first = [], np.zeros(0, _U), 0
+    while first < len(text):
+        reach, cut = PIECE, len(text)
+        while first + reach < len(text):
+            space = np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8, reach, first)])
+            if len(space):
+                cut = first + int(space[-1]) + 1
+                break
+            reach *= 2
+        words = np.concatenate([before, word_hashes(np.frombuffer(text, np.uint8, cut - first, first))[1]])
+        parts.append(np.unique(joined_words(words, size)))
+        before, first = words[max(0, len(words) - size + 1) :], cut
+    found = np.unique(np.concatenate([*parts, np.zeros(0, _U)]))
+    return found if len(found) else few_words(before, size)
+
+
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of `size` words of each text, ASCII-lower-cased, as ascending hashes; fewer words are one shingle."""
+    held: list[bytes] = []
+    room = PIECE
+    for t in texts:
+        if held and len(t) > room:
+            yield from short_sets(held, size)
+            held, room = [], PIECE
+        if len(t) > PIECE:
+            yield long_shingle_set(t, size)
+        else:
+            held.append(t)
+            room -= len(t) + 1
+    if held:
+        yield from short_sets(held, size)
+
+
+def short_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    start, words = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
+    ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    shingles, first = joined_words(words, size), 0
+    for end in ends.tolist():
+        yield np.unique(shingles[first : end - size + 1]) if end - first >= size else few_words(words[first:end], size)
+        first = end
+
+
 def shingle_set(text: bytes, size: int) -> np.ndarray:
-    return np.unique(np.concatenate([*shingle_hashes(text, size), np.zeros(0, _U)]))
+    return next(shingle_sets([text], size))
 
 
-def prefix(shingles: np.ndarray, least: float) -> np.ndarray:
-    """The least shingle hashes of a set, of which any two sets of at least this similarity share one."""
-    n = len(shingles)
-    return shingles[: n - math.ceil(least * n - 1e-9) + 1] if n else shingles
+def salts(shingles: np.ndarray, blocks: int) -> np.ndarray:
+    """The least shingle in each of equal parts of the hash range, 32 bits of it; 0 where there is none."""
+    bounds = np.array([(1 << 64) // blocks * k for k in range(blocks)], _U)
+    at = np.searchsorted(shingles, bounds)
+    end = np.append(at[1:], len(shingles))
+    return np.where(at < end, np.append(shingles, _U(0))[at], _U(0)).astype("<u4")
 
 
-def simhash(text: bytes, size: int, words: int, repeats: bool = True) -> np.ndarray:
-    """A bit is 1 if it is set in over half of the shingle hashes; further words are of hashes mixed anew. No words: zero."""
+def majority(hashes: Iterable[np.ndarray], words: int) -> np.ndarray:
+    """A bit is 1 if it is set in over half of the hashes; with several words each is of hashes mixed anew. No hashes: zero."""
     total, n = np.zeros(words * 64, np.int64), 0
-    for h in shingle_hashes(text, size) if repeats else np.split(x := shingle_set(text, size), range(STEP, len(x), STEP)):
-        h = h[:, None] if words == 1 else np.stack([h, *(mix(h + _U(0x9E3779B97F4A7C15 * k % 2**64)) for k in range(1, words))], axis=1)
+    for h in hashes:
+        h = h[:, None] if words == 1 else mix(h[:, None] + _U(_BASE) * np.arange(1, words + 1, dtype=_U))
         n += len(h)
         bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8), bitorder="little").view(_U).reshape(len(h), words * 8)
         for i in range(0, len(bits), 255):  # eight one-byte counters a word
@@ -120,47 +233,45 @@ def simhash(text: bytes, size: int, words: int, repeats: bool = True) -> np.ndar
     return np.packbits(total * 2 > n, bitorder="little").view("<u8") if n else np.zeros(words, "<u8")
 
 
-def fingerprints(docs: DataFrame, size: int, ball: Ball, repeats: bool = True, least: float | None = None) -> DataFrame:
-    """(doc_id, text_hash, fp binary) of whole texts; null text counts as empty. least: and short, prefixes of short texts.
+def fingerprints(docs: DataFrame, size: int, ball: Ball, sets: float | None = None) -> DataFrame:
+    """(doc_id, text_hash, fp binary) of whole texts; null text counts as empty.
 
-    Texts of up to SHORT / least shingles have one, so those of up to SHORT and all that are similar to them do.
+    sets: None for fingerprints of all XXH64 shingles, repeats included; a similarity for fingerprints of distinct
+    shingles, and for `short`, the shingles of texts of up to SHORT / sets of them, so all that are similar to a text of
+    up to SHORT have theirs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, short = [], []
-            for t in b.column(2):
-                t = t.as_py()
-                fps.append(simhash(t, size, ball.words, repeats).tobytes())
-                if least is not None:
-                    short.append(short_prefix(t, size, least))
+            texts = [t.as_py() for t in b.column(2)]
+            if sets is None:
+                fps = [majority(shingle_hashes(t, size), ball.words).tobytes() for t in texts]
+            for s in shingle_sets(texts, size) if sets is not None else ():
+                fp = majority(np.split(s, range(STEP, len(s), STEP)), ball.words) if len(s) else np.zeros(ball.words, "<u8")
+                fps.append(fp.tobytes() + (salts(s, ball.blocks).tobytes() if ball.salted else b""))
+                short.append(s.view(np.int64) if 0 < len(s) <= SHORT / sets else None)
             columns = {"doc_id": b.column(0), "text_hash": b.column(1), "fp": pa.array(fps, pa.binary())}
-            if least is not None:
+            if sets is not None:
                 columns["short"] = pa.array(short, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
             trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_bytes()).alias("text_hash"), text_bytes().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary" + (", short array<long>" if least is not None else ""))
-
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp binary" + (", short array<long>" if sets is not None else ""))
 
-def short_prefix(text: bytes, size: int, least: float) -> np.ndarray | None:
-    most = int(SHORT / least)
-    found: list[np.ndarray] = []
-    n = 0
-    for h in shingle_hashes(text, size):  # a text of many words may repeat few shingles
-        found = [np.unique(np.concatenate([*found, h]))]
-        n = len(found[0])
-        if n > most:
-            return None
-    return prefix(found[0], least).view(np.int64) if n else None
 
+def short_links(distinct: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) between (node, short) that may be similar: from the least node of a shingle to all others of its texts.
 
-def short_links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) from the least node of each shingle in (node, short) to its other nodes."""
-    owners = written(distinct.where("short IS NOT NULL").select("node", F.explode("short").alias("shingle")))
-    least = owners.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("shingle", "a")
-    return owners.join(least, "shingle").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    Of n shingles the rarest n - ceil(least n) + 1 count: two sets of at least this similarity share one of them, and
+    shingles that many texts have are hardly ever among them.
+    """
+    owners = written(distinct.where("short IS NOT NULL").select("node", F.size("short").alias("n"), F.explode("short").alias("shingle")))
+    often = owners.groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("a")).where("times > 1")
+    ranked = owners.join(often, "shingle", "left").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(1)), "shingle")))
+    rare = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1)
+    return rare.where("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
 def links(distinct: DataFrame, ball: Ball) -> DataFrame:
@@ -178,8 +289,8 @@ def links(distinct: DataFrame, ball: Ball) -> DataFrame:
     shift = _U(64 - bits)
 
     def hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), "<u8").reshape(-1, ball.words)
-        return fps, ball.keys(fps)
+        fps, salt = ball.parsed(table.column("fp").to_pylist())
+        return fps, ball.keys(fps, salt)
 
     def first(table: pa.Table) -> pa.Table:
         _, keys = hashes(table)
@@ -251,20 +362,20 @@ def links(distinct: DataFrame, ball: Ball) -> DataFrame:
     return three.groupBy("bucket").applyInArrow(tidy(meet), "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame, size: int, ball: Ball, repeats: bool = True, verify: float | None = None) -> DataFrame:
+def grouped(docs: DataFrame, size: int, ball: Ball, verify: float | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id): component_id is the least doc_id reachable over links. A row of docs, a row.
 
     verify: the least Jaccard similarity of the sets of shingles of two texts that are linked; None: links stand as the
     fingerprints give them. Rows with null doc_id are grouped too, but name no component. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    fps = written(fingerprints(docs, size, ball, repeats, verify))
+    fps = written(fingerprints(docs, size, ball, verify))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), "text_hash", *(["short"] if verify is not None else []))).alias("x")
     distinct = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("doc"), first).withColumn("node", F.xxhash64("fp"))
     distinct = written(distinct.select("fp", "doc", "node", "x.id", "x.text_hash", "x.short") if verify is not None else distinct.select("fp", "doc", "node"))
     edges = links(distinct.select("fp", "doc", "node"), ball)
     if verify is not None:
-        edges = written(edges.unionByName(short_links(distinct)))
+        edges = written(edges.unionByName(short_links(distinct, verify)))
         edges = written(similar(docs, distinct, edges, size, verify))
     root = components(edges)
     named = distinct.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -361,7 +472,7 @@ def similar(docs: DataFrame, distinct: DataFrame, edges: DataFrame, size: int, l
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t.as_py(), size).tobytes() for t in b.column(1)]
+            found = [s.tobytes() for s in shingle_sets([t.as_py() for t in b.column(1)], size)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "hashes"])
             trim()
 
@@ -434,11 +545,11 @@ def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of similar texts, that of the least doc_id; all columns kept.
 
-    Candidates are fingerprints of distinct shingles that share a variant, and short texts that share a shingle of their
-    prefixes; a link stands if the sets of shingles have at least this similarity. Equal rows count as copies; rows of one doc_id with texts that are not similar all stay.
+    Candidates are fingerprints of distinct shingles that share a variant and its salt, and short texts that share one of
+    their rarest shingles; a link stands if the sets of shingles have at least this similarity. Equal rows count as copies; rows of one doc_id with texts that are not similar all stay.
     Null doc_ids come after all others.
     """
-    groups = written(grouped(docs, size, SIMILAR, False, similarity).select("doc_id", "text_hash", "root"))
+    groups = written(grouped(docs, size, SIMILAR, similarity).select("doc_id", "text_hash", "root"))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("x"))
     first = first.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text_bytes()).alias("__hash"))

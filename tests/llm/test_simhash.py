@@ -179,6 +179,30 @@ def test_pairs_at_the_threshold_are_found(spark, n, cut):
     assert missed <= (0 if n <= simhash.SHORT else 1)
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 40])
+def test_shingle_sets(monkeypatch, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)  # 40: texts in several pieces, words over a piece
+    rng = random.Random(12)
+    texts = ["", " \t\n", "One", "one", "one two three four", "one two three FOUR five", "a" * 300 + " b", *(words(rng, rng.randint(1, 90)).replace(" ", rng.choice([" ", "  ", "\n"])) for _ in range(60))]
+    for size in (1, 5):
+        names, plain = {}, []
+        for t in texts:
+            w = t.encode().lower().split()
+            plain.append({b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+        for found, want in zip(simhash.shingle_sets([t.encode() for t in texts], size), plain, strict=True):
+            assert len(found) == len(want) and found.tolist() == sorted(found.tolist())
+            for x in want:
+                names.setdefault(x, []).append(set(found.tolist()))
+        seen = [set.intersection(*v) for v in names.values()]
+        assert all(seen)  # equal shingles have equal hashes
+
+
+def test_salts():
+    x = np.sort(np.array([3, 2**60, 2**63, 2**63 + 5, 2**64 - 1], np.uint64))
+    assert simhash.salts(x, 4).tolist() == [3, 0, 0, 2**32 - 1]
+    assert simhash.salts(x[:0], 3).tolist() == [0, 0, 0]
+
+
 def test_near_copies_under_null_and_repeated_ids(spark):
     rng = random.Random(4)
     texts = [words(rng, 150) for _ in range(4)]
