@@ -96,6 +96,18 @@ def is_float(c: Column) -> Column:
     return c.rlike(r"^[-+]?[0-9]*\.?[0-9]+$")
 
 
+def json_string(c: Column) -> Column:
+    """A string as JSON writes it, non-ASCII as it is; null stays null."""
+    whole = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
+
+
+def json_line(**fields: Column) -> Column:
+    """A line of JSON with a space behind commas and colons; numbers as they are, nulls as null."""
+    parts = [F.concat(F.lit(f'"{name}": '), F.coalesce(c, F.lit("null"))) for name, c in ((n, json_string(c)) for n, c in fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
 def content_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.md5(F.encode(F.concat(*parts), "UTF-8")))
 

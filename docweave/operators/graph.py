@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.fixed_values import BELONGS_TO_KEYWORDS, BELONGS_TO_WEIGHT, MAX_SOURCE_IDS
+from docweave.functions.fixed_values import BELONGS_TO_KEYWORDS, BELONGS_TO_WEIGHT, MAX_FILE_PATHS, MAX_SOURCE_IDS
 
-from .provenance import limit_ids, merge_paths
+from .components import components
+from .provenance import limit_ids, truncation_mark
+from .ranking import numbered
+from .scratch import written
 
 
 def canonical(df: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
@@ -35,6 +35,20 @@ def with_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(degrees(edges), "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
+def with_degrees_of(some: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with entity_id and the degree of it, zero without an edge; only the edges of these nodes are counted."""
+    d = both_ways(edges.select("src", "tgt")).join(some.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("degree"))
+    return some.join(d, "entity_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def edge_degrees_of(some: DataFrame, edges: DataFrame) -> DataFrame:
+    """As edge_degrees, of some of the edges."""
+    ends = some.select(F.explode(F.array("src", "tgt")).alias("entity_id")).distinct()
+    d = with_degrees_of(ends, edges)
+    a, b = (d.select(F.col("entity_id").alias(c), F.col("degree").alias(f"__{c}")) for c in ("src", "tgt"))
+    return some.join(a, "src").join(b, "tgt").withColumn("degree", F.col("__src") + F.col("__tgt")).drop("__src", "__tgt")
+
+
 def edge_degrees(edges: DataFrame) -> DataFrame:
     """Edges with the sum of their ends' degrees."""
     d = degrees(edges)
@@ -42,36 +56,63 @@ def edge_degrees(edges: DataFrame) -> DataFrame:
     return edges.join(a, "src", "left").join(b, "tgt", "left").withColumn("degree", F.coalesce("__a", F.lit(0)) + F.coalesce("__b", F.lit(0))).drop("__a", "__b")
 
 
-def _ordered(value: Column, *order: Column) -> Column:
-    """The values of a group in order, first occurrences only."""
-    return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(*order, value.alias("__v")))), lambda x: x["__v"]))
+def _first_values(records: DataFrame, keys: list[str], value: str, limit: int, method: str, out: str, known: DataFrame | None = None) -> DataFrame:
+    """The distinct values of each key in the order they are first seen, cut to `limit` before they meet; and their number.
+
+    The newest are kept (FIFO) or the oldest. known: (keys, value), values that are there already and don't count.
+    """
+    first = records.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys, value).agg(F.min("seq").alias("seq"))
+    if known is not None:
+        first = first.join(known, [*keys, value], "left_anti")
+    counts = first.groupBy(*keys).agg(F.count("*").alias(f"__n_{out}"))
+    order = F.col("seq").asc() if method.upper() == "KEEP" else F.col("seq").desc()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, value))
+    kept = first.withColumn("__r", rank).where(F.col("__r") <= limit)
+    lists = kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", value))), lambda x: x[value]).alias(out))
+    return counts.join(lists, keys)
+
+
+def described(records: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct descriptions of each key, a row each: by time, then longest first, then as seen (`position` from 1)."""
+    first = records.groupBy(*keys, "description").agg(F.min(F.struct("seq", "ts")).alias("x")).select(*keys, "description", "x.ts", "x.seq")
+    over = Window.partitionBy(*keys).orderBy("ts", F.desc(F.length("description")), "seq", "description")
+    return first.withColumn("position", F.row_number().over(over)).select(*keys, "description", "position")
+
+
+def _merged_lists(records: DataFrame, keys: list[str], existing: DataFrame | None, limit: int, method: str) -> DataFrame:
+    """source_ids, file_paths and descriptions of each key, those of `existing` first, up to the limits."""
+    none = F.array().cast("array<string>")
+    out = records.select(*keys).distinct() if existing is None else records.select(*keys).unionByName(existing.select(*keys)).distinct()
+    for value, name, most in (("source_id", "source_ids", limit), ("file_path", "file_paths", MAX_FILE_PATHS)):
+        known = existing and existing.select(*keys, F.explode(name).alias(value))
+        out = out.join(_first_values(records, keys, value, max(most, 0), method, name, known), keys, "left")
+    texts = described(records, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "description"))), lambda x: x["description"]).alias("descriptions"))
+    out = out.join(texts, keys, "left")
+    if existing is not None:
+        out = out.join(existing.select(*keys, F.col("source_ids").alias("__s"), F.col("file_paths").alias("__p"), F.col("descriptions").alias("__d")), keys, "left")
+        for old, new in (("__s", "source_ids"), ("__p", "file_paths")):
+            out = out.withColumn(new, F.array_distinct(F.concat(F.coalesce(old, none), F.coalesce(new, none)))).withColumn(f"__n_{new}", F.coalesce(f"__n_{new}", F.lit(0)) + F.size(F.coalesce(old, none)))
+        out = out.withColumn("descriptions", F.concat(F.coalesce("__d", none), F.coalesce("descriptions", none))).drop("__s", "__p", "__d")
+    out = out.withColumn("source_ids", limit_ids(F.coalesce("source_ids", none), limit, method))
+    paths = limit_ids(F.coalesce("file_paths", none), MAX_FILE_PATHS, method)
+    more = F.coalesce("__n_file_paths", F.lit(0)) > MAX_FILE_PATHS
+    out = out.withColumn("file_paths", F.when(more, F.concat(paths, F.array(F.lit(truncation_mark(method))))).otherwise(paths))
+    return out.withColumn("descriptions", F.coalesce("descriptions", none)).drop("__n_source_ids", "__n_file_paths")
 
 
 def merge_nodes(records: DataFrame, existing: DataFrame | None = None, limit: int = MAX_SOURCE_IDS, method: str = "FIFO", by: str = "entity_id") -> DataFrame:
     """Extracted records (entity_id, entity_type, description, source_id, file_path, ts, seq) merged by entity.
 
-    Sources and paths in order of seq, existing ones first, up to the limits. The type is the most frequent, of those
-    tied the first seen; an existing node's type counts as seen after the new ones. New descriptions, each once, by time
-    and then longest first, come after the existing ones, which stay as they are.
+    Sources and paths in order of seq, existing ones first, up to the limits, which cut before a hub's values meet. The
+    type is the most frequent, of those tied the first seen; an existing node's type counts as seen after the new ones.
+    New descriptions, each once, by time and then longest first, come after the existing ones, which stay as they are.
     """
-    types = records.select(by, "entity_type", F.col("seq").alias("__o"))
+    types = records.select(by, "entity_type", F.lit(0).alias("__late"), F.col("seq").alias("__o"))
     if existing is not None:
-        types = types.unionByName(existing.select(by, "entity_type", F.lit(2**62).alias("__o")))
-    types = types.groupBy(by, "entity_type").agg(F.count("*").alias("__n"), F.min("__o").alias("__f"))
+        types = types.unionByName(existing.select(by, "entity_type", F.lit(1).alias("__late"), F.lit(None).cast(records.schema["seq"].dataType).alias("__o")))
+    types = types.groupBy(by, "entity_type").agg(F.count("*").alias("__n"), F.min(F.struct("__late", "__o")).alias("__f"))
     types = types.groupBy(by).agg(F.min_by("entity_type", F.struct(-F.col("__n"), "__f")).alias("entity_type"))
-    first = records.groupBy(by, "description").agg(F.min(F.struct("seq", "ts")).alias("__x")).select(by, "description", F.col("__x.ts").alias("ts"), F.col("__x.seq").alias("seq"))
-    described = first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", -F.length("description"), "seq", "description"))), lambda x: x["description"]).alias("descriptions"))
-    lists = records.groupBy(by).agg(_ordered(F.col("source_id"), F.col("seq")).alias("source_ids"), _ordered(F.col("file_path"), F.col("seq")).alias("file_paths"))
-    out = lists.join(described, by)
-    if existing is not None:
-        e = existing.select(by, F.col("source_ids").alias("__s"), F.col("file_paths").alias("__p"), F.col("descriptions").alias("__d"))
-        none = F.array().cast("array<string>")
-        out = out.join(e, by, "full")
-        for old, new in (("__s", "source_ids"), ("__p", "file_paths")):
-            out = out.withColumn(new, F.array_distinct(F.concat(F.coalesce(old, none), F.coalesce(new, none))))
-        out = out.withColumn("descriptions", F.concat(F.coalesce("__d", none), F.coalesce("descriptions", none))).drop("__s", "__p", "__d")
-    out = out.withColumn("source_ids", limit_ids(F.col("source_ids"), limit, method)).withColumn("file_paths", merge_paths(F.col("file_paths"), method=method))
-    return out.join(types, by)
+    return _merged_lists(records, [by], existing, limit, method).join(types, by)
 
 
 def keyword_tokens(keywords: Column) -> Column:
@@ -80,17 +121,18 @@ def keyword_tokens(keywords: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
-def merge_edges(records: DataFrame, limit: int = MAX_SOURCE_IDS, method: str = "FIFO") -> DataFrame:
-    """Extracted relations (src, tgt, weight, keywords, description, source_id, file_path, ts, seq) merged by pair: weights add up."""
+def merge_edges(records: DataFrame, existing: DataFrame | None = None, limit: int = MAX_SOURCE_IDS, method: str = "FIFO") -> DataFrame:
+    """Extracted relations (src, tgt, weight, keywords, description, source_id, file_path, ts, seq) merged by pair.
+
+    Weights add up, also to that of an existing edge; keywords are the sorted words of all. Lists as in merge_nodes.
+    """
     r = canonical(records)
-    first = r.groupBy("src", "tgt", "description").agg(F.min(F.struct("seq", "ts")).alias("__x"))
-    described = first.groupBy("src", "tgt").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__x.ts"), -F.length("description"), F.col("__x.seq"), "description"))), lambda x: x["description"]).alias("descriptions"))
-    out = r.groupBy("src", "tgt").agg(
-        F.sum("weight").alias("weight"), F.array_join(keyword_tokens(F.collect_set("keywords")), ",").alias("keywords"),
-        _ordered(F.col("source_id"), F.col("seq")).alias("source_ids"), _ordered(F.col("file_path"), F.col("seq")).alias("file_paths"),
-    )
-    out = out.withColumn("source_ids", limit_ids(F.col("source_ids"), limit, method)).withColumn("file_paths", merge_paths(F.col("file_paths"), method=method))
-    return out.join(described, ["src", "tgt"])
+    sums = r.select("src", "tgt", "weight", "keywords")
+    if existing is not None:
+        existing = canonical(existing)
+        sums = sums.unionByName(existing.select("src", "tgt", "weight", "keywords"))
+    words = sums.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.array_join(keyword_tokens(F.collect_set("keywords")), ",").alias("keywords"))
+    return words.join(_merged_lists(r, ["src", "tgt"], existing, limit, method), ["src", "tgt"])
 
 
 def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,12 +141,13 @@ def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit("UNKNOWN").alias("entity_type"), "description")
 
 
-def rank_edges(edges: DataFrame, scores: DataFrame) -> DataFrame:
-    """Edges of scored nodes, best first: greatest score of an end, weight, degree; `rank` from 1. `edges` has degree."""
-    s = scores.select("entity_id", "score")
-    e = edges.join(s.select(F.col("entity_id").alias("src"), F.col("score").alias("__a")), "src", "left").join(s.select(F.col("entity_id").alias("tgt"), F.col("score").alias("__b")), "tgt", "left")
+def rank_edges(edges: DataFrame, scores: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Edges of scored nodes, best first: greatest score of an end, weight, degree; `rank` from 1 (in each group of `by`). `edges` has degree."""
+    s = scores.select(*by, "entity_id", "score")
+    end = lambda c, name: s.select(*by, F.col("entity_id").alias(c), F.col("score").alias(name))
+    e = edges.join(end("src", "__a"), [*by, "src"], "left").join(end("tgt", "__b"), [*by, "tgt"], "left")
     e = e.withColumn("relevance", F.greatest("__a", "__b")).where(F.col("relevance").isNotNull()).drop("__a", "__b")
-    return e.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("relevance"), F.desc("weight"), F.desc("degree"), "src", "tgt")))
+    return numbered(e, [F.desc("relevance"), F.desc("weight"), F.desc("degree"), F.col("src"), F.col("tgt")], "rank", by)
 
 
 def popular_labels(edges: DataFrame, limit: int = 300) -> DataFrame:
@@ -132,28 +175,30 @@ def top_subgraph(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> tuple[
     return top, induced(edges, top)
 
 
-def neighbourhood(nodes: DataFrame, edges: DataFrame, label: str, depth: int = 3, most: int = 1000) -> tuple[DataFrame, DataFrame, bool]:
-    """Nodes reached from a label level by level, those of higher degree first, up to `most`; edges between; whether cut short.
+def neighbourhood(nodes: DataFrame, edges: DataFrame, label: str, depth: int = 3, most: int | None = 1000) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes reached from a label level by level (entity_id, level), those of higher degree first, up to `most`; edges between; whether cut short.
 
-    At most `most` nodes are held on the driver, and each level is one join of the edges with the frontier.
+    Frontiers are tables; degrees are counted for the nodes found only. most=None: no bound.
     """
-    degree = with_degree(nodes, edges)
-    seen = [r.entity_id for r in nodes.where(F.col("entity_id") == label).select("entity_id").distinct().collect()]
-    frontier, cut, spark, level = list(seen), False, nodes.sparkSession, dict.fromkeys(seen, 0)
-    around = both_ways(edges.select("src", "tgt"))
+    around = both_ways(edges.select("src", "tgt").distinct())
+    seen = written(nodes.where(F.col("entity_id") == label).select("entity_id").distinct().withColumn("level", F.lit(0)))
+    frontier, cut, count = seen, False, seen.count()
     for step in range(1, depth + 1):
-        if not frontier or cut:
+        found = around.join(frontier.select("entity_id"), "entity_id", "left_semi").select(F.col("other").alias("entity_id")).distinct()
+        found = found.join(seen, "entity_id", "left_anti").join(nodes.select("entity_id").distinct(), "entity_id", "left_semi")
+        frontier = written(found.withColumn("level", F.lit(step)))
+        n = frontier.count()
+        if not n or count == most:
+            cut = n > 0
+            break
+        if most is not None and count + n > most:
+            degree = around.join(frontier, "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("degree"))
+            frontier = written(frontier.join(degree, "entity_id").orderBy(F.desc("degree"), "entity_id").limit(most - count).drop("degree"))
+            cut, n = True, most - count
+        seen, count = written(seen.unionByName(frontier)), count + n
+        if cut:
             break
-        here = spark.createDataFrame([(x,) for x in frontier], "entity_id string")
-        known = spark.createDataFrame([(x,) for x in level], "entity_id string")
-        found = around.join(F.broadcast(here), "entity_id", "left_semi").select(F.col("other").alias("entity_id")).distinct()
-        found = found.join(F.broadcast(known), "entity_id", "left_anti").join(degree, "entity_id", "inner")
-        room = most - len(level)
-        got = [r.entity_id for r in found.orderBy(F.desc("degree"), "entity_id").limit(room + 1).collect()]
-        cut, frontier = len(got) > room, got[:room]
-        level.update(dict.fromkeys(frontier, step))
-    kept = spark.createDataFrame(list(level.items()), "entity_id string, level int")
-    return kept, induced(edges, F.broadcast(kept)), cut
+    return seen, induced(edges, seen), cut
 
 
 def rename(nodes: DataFrame, edges: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
@@ -216,36 +261,24 @@ def belongs_to(entities: DataFrame, main: DataFrame) -> DataFrame:
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """(entity_id, component): the least id of those connected, by minima over neighbours and labels, level by level."""
-    spark = edges.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweave-")
+    """(entity_id, component): a number for each component, for every node of an edge."""
+    ids = both_ways(edges.select("src", "tgt")).select("entity_id").distinct().withColumn("node", F.xxhash64("entity_id"))
+    root = components(edges.select(F.xxhash64("src").alias("a"), F.xxhash64("tgt").alias("b")))
+    return ids.join(root, "node", "left").select("entity_id", F.coalesce("root", "node").alias("component"))
 
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
-    around = kept(both_ways(edges.select("src", "tgt").distinct()))
-    label = kept(around.groupBy("entity_id").agg(F.least(F.first("entity_id"), F.min("other")).alias("component")))
-    while True:
-        near = around.join(label.select(F.col("entity_id").alias("other"), "component"), "other").groupBy("entity_id").agg(F.min("component").alias("c"))
-        step = label.join(near, "entity_id").select("entity_id", F.least("component", "c").alias("c"), F.col("component").alias("was"))
-        jump = step.join(label.select(F.col("entity_id").alias("c"), F.col("component").alias("further")), "c").select("entity_id", F.least("c", "further").alias("component"), "was")
-        jump = kept(jump)
-        label = jump.select("entity_id", "component")
-        if not jump.where("component != was").limit(1).count():
-            return label
-
-
-def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row of measures of the graph: sizes, degrees, density, components and clustering.
+def metrics(nodes: DataFrame, edges: DataFrame, with_diameter: bool = True) -> DataFrame:
+    """One row of twenty measures of the graph: sizes, degrees, density, components, clustering, diameter.
 
+    Means of component sizes leave isolated nodes out; the trimmed one the least and the greatest size too. The mean
+    clustering is over nodes of two edges or more. The diameter of a graph of several components is infinite; of a
+    connected one it takes nodes * nodes / 64 rows, so it can be left out (null).
     Triangles are counted over edges directed from the lower degree to the higher, which bounds what a hub gives rise to.
     """
-    e = canonical(edges.select("src", "tgt")).distinct()
-    d = with_degree(nodes.select("entity_id").distinct(), e)
+    e = written(canonical(edges.select("src", "tgt")).distinct())
+    d = written(with_degree(nodes.select("entity_id").distinct(), e))
     comp = _components(e)
-    sizes = d.join(comp, "entity_id", "left").groupBy(F.coalesce("component", "entity_id").alias("component")).agg(F.count("*").alias("size"))
+    sizes = written(d.join(comp, "entity_id", "left").groupBy(F.coalesce("component", F.xxhash64("entity_id")).alias("component")).agg(F.count("*").alias("size")))
     a, b = d.select(F.col("entity_id").alias("src"), F.col("degree").alias("da")), d.select(F.col("entity_id").alias("tgt"), F.col("degree").alias("db"))
     directed = e.join(a, "src").join(b, "tgt")
     forward = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("src") < F.col("tgt")))
@@ -253,18 +286,50 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     wedge = directed.join(directed.withColumnRenamed("y", "z"), "x").where("y < z")
     closed = wedge.join(e.withColumnsRenamed({"src": "y", "tgt": "z"}), ["y", "z"])
     triangles = closed.select(F.explode(F.array("x", "y", "z")).alias("entity_id")).groupBy("entity_id").agg(F.count("*").alias("triangles"))
-    local = d.join(triangles, "entity_id", "left").withColumn("local", F.when(F.col("degree") > 1, 2 * F.coalesce("triangles", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0))
+    wedges = F.col("degree") * (F.col("degree") - 1)
+    local = d.join(triangles, "entity_id", "left").withColumn("local", F.when(F.col("degree") > 1, 2 * F.coalesce("triangles", F.lit(0)) / wedges))
     nodes_row = local.agg(
-        F.count("*").alias("num_nodes"), (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long").alias("num_edges"), F.avg("degree").alias("average_degree"), F.avg("local").alias("average_clustering"),
-        F.count_if(F.col("degree") == 0).alias("isolated"), *(F.count_if(F.col("degree") > k).alias(f"degree_over_{k}") for k in (1, 2, 3)),
+        F.count("*").alias("num_nodes"), (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long").alias("num_edges"), F.coalesce(F.avg("degree"), F.lit(0.0)).alias("average_degree"),
+        F.avg("local").alias("average_clustering"), F.count_if(F.col("degree") == 0).alias("isolated"), F.count_if(F.col("degree") > 0).alias("num_nodes_excluding_isolated"),
+        *(F.count_if(F.col("degree") > k).alias(f"degree_over_{k}") for k in (1, 2, 3)),
     )
+    real = F.when(F.col("size") > 1, F.col("size"))
     sizes_row = sizes.agg(
-        F.count("*").alias("num_components"), F.max("size").alias("giant_size"), F.avg("size").alias("mean_size"), F.median("size").alias("median_size"),
-        F.exp(F.avg(F.log("size"))).alias("geometric_mean_size"), (F.count("*") / F.sum(1 / F.col("size"))).alias("harmonic_mean_size"),
+        F.count("*").alias("num_components"), F.coalesce(F.max("size"), F.lit(0)).alias("giant_size"), F.count(real).alias("num_components_excluding_isolated"), F.avg(real).alias("mean_size"), F.median(real).alias("median_size"),
+        F.try_divide(F.sum(real) - F.max(real) - F.min(real), F.count(real) - 2).alias("__trimmed"), F.exp(F.avg(F.log(real))).alias("geometric_mean_size"), F.try_divide(F.count(real), F.sum(1 / real)).alias("harmonic_mean_size"),
     )
-    row = nodes_row.join(F.broadcast(sizes_row))
+    trimmed = F.when(F.col("num_components_excluding_isolated") > 2, F.col("__trimmed")).otherwise(F.col("mean_size"))
+    sizes_row = sizes_row.withColumn("trimmed_mean_size", trimmed).drop("__trimmed")
+    for c in ("mean_size", "median_size", "trimmed_mean_size", "geometric_mean_size", "harmonic_mean_size"):
+        sizes_row = sizes_row.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
+    sizes_row = written(sizes_row)  # one row
+    above = sizes.join(F.broadcast(sizes_row.select("mean_size"))).agg(F.count_if((F.col("size") > 1) & (F.col("size") > F.col("mean_size"))).alias("num_components_above_mean"))
+    row = nodes_row.join(F.broadcast(sizes_row)).join(F.broadcast(above))
     n = F.col("num_nodes")
-    return row.withColumn("density", F.when(n > 1, 2 * F.col("num_edges") / (n * (n - 1))).otherwise(0.0))
+    connected = sizes_row.first()["num_components"] == 1
+    far = F.lit(float(diameter(e)) if connected else float("inf")) if with_diameter or not connected else F.lit(None).cast("double")
+    return row.withColumn("density", F.when(n > 1, 2 * F.col("num_edges") / (n * (n - 1))).otherwise(0.0)).withColumn("diameter", far)
+
+
+def diameter(edges: DataFrame) -> int:
+    """The longest of the shortest paths of a connected graph, by a search from all nodes at once, 64 of them in the bits of a number."""
+    around = both_ways(edges.select("src", "tgt").distinct())
+    names = written(numbered(around.select("entity_id").distinct(), [F.col("entity_id")], "n"))
+    link = written(around.join(names.select("entity_id", F.col("n").alias("u")), "entity_id").join(names.select(F.col("entity_id").alias("other"), F.col("n").alias("v")), "other").select("u", "v"))
+    at = F.col("n") - 1
+    seen = written(names.select(F.col("n").alias("v"), F.floor(at / 64).alias("part"), F.expr("shiftleft(1L, cast((n - 1) % 64 as int))").alias("bits")))
+    steps = 0
+    while True:
+        moved = seen.withColumnRenamed("v", "u").join(link, "u").groupBy("part", "v").agg(F.bit_or("bits").alias("more"))
+        joined = written(seen.join(moved, ["part", "v"], "full").select("part", "v", F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce("more", F.lit(0)).alias("more")))
+        if not joined.where("more & ~bits <> 0").limit(1).count():
+            return steps
+        seen, steps = joined.select("part", "v", F.col("bits").bitwiseOR(F.col("more")).alias("bits")), steps + 1
+
+
+def mean_metrics(measures: DataFrame, columns: list[str]) -> DataFrame:
+    """The mean of each measure over graphs (a row each); an infinite one makes its mean infinite."""
+    return measures.agg(F.count("*").alias("graphs"), *(F.avg(F.col(c).cast("double")).alias(c) for c in columns))
 
 
 def export_pairs(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docweave.functions.fixed_values import MAX_FILE_PATHS
 
+from .ranking import numbered, running
+
 
 def merge_ids(old: Column, new: Column) -> Column:
     """Both lists in order, each id once, no blanks."""
@@ -37,15 +39,17 @@ def incremental_ids(full: Column, old: Column, new: Column) -> Column:
 def merge_paths(paths: Column, limit: int = MAX_FILE_PATHS, method: str = "FIFO") -> Column:
     """Distinct paths up to the limit; a marker tells that some are gone."""
     paths = F.array_distinct(F.filter(paths, lambda x: x != ""))
-    mark = f"...truncated...({'FIFO' if method.upper() == 'FIFO' else 'KEEP Old'})"
-    return F.when(F.size(paths) > limit, F.concat(limit_ids(paths, limit, method), F.array(F.lit(mark)))).otherwise(paths)
+    return F.when(F.size(paths) > limit, F.concat(limit_ids(paths, limit, method), F.array(F.lit(truncation_mark(method))))).otherwise(paths)
+
+
+def truncation_mark(method: str) -> str:
+    return f"...truncated...({'FIFO' if method.upper() == 'FIFO' else 'KEEP Old'})"
 
 
 def within_budget(df: DataFrame, cost: Column, order: list[Column], budget: int | Column, by: list[str] = ()) -> DataFrame:
     """The rows before the first that takes the running cost over the budget; costs are not negative."""
-    over = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     limit = F.lit(budget) if isinstance(budget, int) else budget
-    return df.withColumn("__used", F.sum(cost).over(over)).where((F.col("__used") <= limit) & (limit > 0)).drop("__used")
+    return running(df, cost, order, "__used", by).where((F.col("__used") <= limit) & (limit > 0)).drop("__used")
 
 
 def round_robin(lists: list[DataFrame], key: str, rank: str = "rank", by: list[str] = ()) -> DataFrame:
@@ -56,7 +60,7 @@ def round_robin(lists: list[DataFrame], key: str, rank: str = "rank", by: list[s
         every = df if every is None else every.unionByName(df, allowMissingColumns=True)
     first = Window.partitionBy(*by, key).orderBy(rank, "list_no")
     every = every.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return every.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(rank, "list_no", key)))
+    return numbered(every, [F.col(rank), F.col("list_no"), F.col(key)], "position", by)
 
 
 def occurrences(df: DataFrame, item: str, position: str, chunk: str, by: list[str] = ()) -> DataFrame:
@@ -71,24 +75,27 @@ def weighted_polling(df: DataFrame, item: str, position: str, chunk: str, most:
     item is the rank from 0. Each item gives as many chunks as its quota; what quotas leave unused goes, in the order of
     items, to chunks left over. Adds `pick` from 1: quota picks first, in the order of items and positions.
     """
-    n = F.size(F.collect_set(item).over(Window.partitionBy(*by)))
-    quota = F.when(n == 1, F.lit(most)).otherwise(F.bround(most - F.col(item) / (n - 1) * (most - least)).cast("int"))
-    df = df.withColumn("__q", quota).withColumn("__k", F.row_number().over(Window.partitionBy(*by, item).orderBy(position, chunk)))
-    whole = Window.partitionBy(*by)
-    used = F.sum(F.when(F.col("__k") <= F.col("__q"), 1).otherwise(0)).over(whole)
-    # Quotas of all items, each once.
-    total = F.sum(F.when(F.col("__k") == 1, F.col("__q")).otherwise(0)).over(whole)
-    df = df.withColumn("__late", (F.col("__k") > F.col("__q")).cast("int")).withColumn("__spare", total - used)
-    order = Window.partitionBy(*by, "__late").orderBy(item, position, chunk)
-    df = df.withColumn("__n", F.row_number().over(order)).where((F.col("__late") == 0) | (F.col("__n") <= F.col("__spare")))
-    return df.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy("__late", item, position, chunk))).drop("__q", "__k", "__late", "__spare", "__n")
+    items = df.groupBy(*by, item).agg(F.count("*").alias("__c"))
+    n = items.groupBy(*by).agg(F.count("*").alias("__n"))
+    items = items.join(n, list(by)) if by else items.join(F.broadcast(n))
+    quota = F.when(F.col("__n") == 1, F.lit(most)).otherwise(F.bround(most - F.col(item) / (F.col("__n") - 1) * (most - least)).cast("int"))
+    items = items.withColumn("__q", quota)
+    # What quotas leave unused, over all items.
+    spare = items.groupBy(*by).agg(F.sum(F.col("__q") - F.least("__q", "__c")).alias("__spare"))
+    df = df.join(items.select(*by, item, "__q"), [*by, item])
+    df = df.join(spare, list(by)) if by else df.join(F.broadcast(spare))
+    df = df.withColumn("__k", F.row_number().over(Window.partitionBy(*by, item).orderBy(position, chunk)))
+    df = df.withColumn("__late", (F.col("__k") > F.col("__q")).cast("int")).drop("__k", "__q")
+    order = [F.col(item), F.col(position), F.col(chunk)]
+    df = running(df, F.col("__late"), [F.col("__late"), *order], "__n", by).where((F.col("__late") == 0) | (F.col("__n") <= F.col("__spare")))
+    return numbered(df, [F.col("__late"), *order], "pick", by).drop("__late", "__spare", "__n")
 
 
 def reference_list(df: DataFrame, path: str, position: str, by: list[str] = ()) -> DataFrame:
     """File paths with ids "1", "2", ... by how often they occur, then by where first; unknown sources have none."""
     seen = df.where((F.col(path) != "") & (F.col(path) != "unknown_source")).groupBy(*by, path).agg(F.count("*").alias("n"), F.min(position).alias("__f"))
-    over = Window.partitionBy(*by).orderBy(F.desc("n"), "__f", path)
-    return seen.select(*by, path, "n", F.row_number().over(over).cast("string").alias("reference_id"))
+    ranked = numbered(seen, [F.desc("n"), F.col("__f"), F.col(path)], "__r", by)
+    return ranked.select(*by, path, "n", F.col("__r").cast("string").alias("reference_id"))
 
 
 def rerank_scores(df: DataFrame, doc: str, position: str, score: str, how: str = "max") -> DataFrame:

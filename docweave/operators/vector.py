@@ -23,11 +23,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(same, F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
-def search(vectors: DataFrame, query: list[float], k: int, threshold: float | None = None, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k most similar rows to one query vector, with `score`; at least the threshold. Only k rows a task are kept."""
-    q = F.array(*(F.lit(float(x)) for x in query))
+def search(vectors: DataFrame, query: list[float], k: int | None = None, threshold: float | None = None, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The k most similar rows to one query vector, with `score`; at least the threshold. Only k rows a task are kept; without k all."""
+    q = F.array(*(F.lit(float(x)) for x in query)).cast("array<double>")
     df = vectors.withColumn("score", cosine(F.col(vector), q)).where(F.col("score").isNotNull())
-    return (df if threshold is None else df.where(F.col("score") >= threshold)).orderBy(F.desc("score"), row_id).limit(k)
+    df = df if threshold is None else df.where(F.col("score") >= threshold)
+    return df if k is None else df.orderBy(F.desc("score"), row_id).limit(k)
+
+
+def by_ids(vectors: DataFrame, ids: DataFrame, row_id: str = "vec_id") -> DataFrame:
+    """The vectors of the ids (a column of the same name) that have one."""
+    return vectors.join(ids.select(row_id).distinct(), row_id, "left_semi")
 
 
 def search_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.operators import graph, provenance, retrieval
+from docweave.operators.scratch import written
 
 from .base import registry, table
 
@@ -100,9 +101,9 @@ SELECT src, tgt, CAST(row_number() OVER (ORDER BY score DESC, weight DESC, degre
 def kg_edge_rank(spark, sf):
     """Edges of scored nodes by score, weight and degree."""
     s = table(spark, sf, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_id"), F.round("s_acctbal", 1).alias("score"))
-    e = _edges(spark, sf)
+    e = written(_edges(spark, sf))
     near = e.join(s.select(F.col("entity_id").alias("tgt")), "tgt", "left_semi")
-    return graph.rank_edges(graph.edge_degrees(e).join(near.select("src", "tgt"), ["src", "tgt"], "left_semi"), s).select("src", "tgt", "rank")
+    return graph.rank_edges(graph.edge_degrees_of(near, e), s).select("src", "tgt", "rank")
 
 
 @query(f"WITH {_EDGES}, {_DEGREES} SELECT entity_id, degree FROM d ORDER BY degree DESC, entity_id LIMIT 300")
@@ -112,28 +113,32 @@ def kg_popular_labels(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT p_name AS entity_id, lower(p_name) AS low FROM part WHERE contains(lower(p_name), 'part 1'))
-SELECT entity_id, CASE WHEN low = 'part 1' THEN 1000 WHEN starts_with(low, 'part 1') THEN 500
-  ELSE 100 - length(entity_id) + CASE WHEN contains(low, ' part 1') OR contains(low, '_part 1') THEN 50 ELSE 0 END END AS score
-FROM s ORDER BY score DESC, entity_id LIMIT 50""".replace("part 1", "1"))
+WITH l AS (SELECT p_name AS entity_id FROM part UNION SELECT s_name FROM supplier), s AS (SELECT entity_id, lower(entity_id) AS low FROM l WHERE contains(lower(entity_id), 'er'))
+SELECT entity_id, CASE WHEN low = 'er' THEN 1000 WHEN starts_with(low, 'er') THEN 500
+  ELSE 100 - length(entity_id) + CASE WHEN contains(low, ' er') OR contains(low, '_er') THEN 50 ELSE 0 END END AS score
+FROM s ORDER BY score DESC, entity_id LIMIT 50""")
 def kg_search_labels(spark, sf):
-    """Labels that hold a string, best first."""
-    n = table(spark, sf, "part").select(F.col("p_name").alias("entity_id")).distinct()
-    return graph.search_labels(n, "1").withColumn("score", F.col("score").cast("int"))
+    """Labels of parts and suppliers that hold a string, best first."""
+    return graph.search_labels(_labels(spark, sf), "er").withColumn("score", F.col("score").cast("int"))
+
+
+def _labels(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_name").alias("entity_id")).unionByName(table(spark, sf, "supplier").select(F.col("s_name").alias("entity_id"))).distinct()
 
 
-@query("SELECT DISTINCT p_name AS entity_id FROM part ORDER BY 1")
+@query("SELECT p_name AS entity_id FROM part UNION SELECT s_name FROM supplier ORDER BY 1")
 def kg_all_labels(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_name").alias("entity_id")).distinct().orderBy("entity_id")
+    return _labels(spark, sf).orderBy("entity_id")
 
 
 @query(f"""
 WITH {_EDGES}, {_NODES}, {_DEGREES},
-t AS (SELECT n.entity_id FROM n LEFT JOIN d USING (entity_id) ORDER BY coalesce(degree, 0) DESC, entity_id LIMIT 100)
+t AS (SELECT n.entity_id FROM n LEFT JOIN d USING (entity_id) ORDER BY coalesce(degree, 0) DESC, entity_id LIMIT (SELECT count(*) + 50 FROM supplier))
 SELECT src, tgt, weight FROM e WHERE src IN (SELECT entity_id FROM t) AND tgt IN (SELECT entity_id FROM t)""")
 def kg_star_subgraph(spark, sf):
-    """Edges between the hundred nodes of highest degree."""
-    return graph.top_subgraph(_nodes(spark, sf), _edges(spark, sf), 100)[1].select("src", "tgt", "weight")
+    """Edges between the nodes of highest degree, fifty more than there are suppliers, so that parts are among them."""
+    most = table(spark, sf, "supplier").count() + 50
+    return graph.top_subgraph(_nodes(spark, sf), written(_edges(spark, sf)), most)[1].select("src", "tgt", "weight")
 
 
 @query(f"""
@@ -144,7 +149,7 @@ l2 AS (SELECT DISTINCT y AS entity_id FROM b WHERE x IN (SELECT entity_id FROM l
 SELECT 'S1' AS entity_id, 0 AS level UNION ALL SELECT entity_id, 1 FROM l1 UNION ALL SELECT entity_id, 2 FROM l2""")
 def kg_bfs_2hop(spark, sf):
     """Nodes within two steps of a supplier, by level."""
-    return graph.neighbourhood(_nodes(spark, sf), _edges(spark, sf), "S1", 2, 100_000)[0]
+    return graph.neighbourhood(_nodes(spark, sf), written(_edges(spark, sf)), "S1", 2, None)[0]
 
 
 @query(f"""
@@ -242,7 +247,7 @@ SELECT src, tgt, weight, a.degree + b.degree AS degree, CAST(row_number() OVER (
 FROM e JOIN h ON tgt = h.entity_id JOIN d a ON src = a.entity_id JOIN d b ON tgt = b.entity_id""")
 def local_retrieval(spark, sf):
     """Edges of entity hits, ranked."""
-    return retrieval.local(_hits(spark, sf), _nodes(spark, sf), _edges(spark, sf))[1].select("src", "tgt", "weight", "degree", "rank")
+    return retrieval.local(_hits(spark, sf), _nodes(spark, sf), written(_edges(spark, sf)))[1].select("src", "tgt", "weight", "degree", "rank")
 
 
 @query(f"""

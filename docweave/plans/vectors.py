@@ -17,7 +17,8 @@ s AS (SELECT vec_id, label, list_dot_product(e, qe) / (sqrt(list_dot_product(e,
 
 
 def _query_vector(spark, sf):
-    return list(table(spark, sf, "embeddings").where("vec_id = 7").first().embedding)
+    row = table(spark, sf, "embeddings").where("vec_id = 7").first()
+    return list(row.embedding) if row else []
 
 
 @query(f"WITH {_SIM} SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20")
@@ -30,7 +31,7 @@ def vector_topk(spark, sf):
 def vector_threshold(spark, sf):
     """How many rows are at least so similar, by label."""
     e = table(spark, sf, "embeddings")
-    return vector.search(e, _query_vector(spark, sf), 10**6, 0.2).groupBy("label").agg(F.count("*").alias("n"))
+    return vector.search(e, _query_vector(spark, sf), threshold=0.2).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -42,11 +43,26 @@ def vector_pick_chunks(spark, sf):
     return vector.pick_chunks(chunks, table(spark, sf, "embeddings"), _query_vector(spark, sf), 10).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT CAST(vec_id AS BIGINT) AS chunk_id, CAST(0.0 AS DOUBLE) AS score FROM embeddings WHERE false")
+@query(f"""
+WITH {_SIM}, c AS (SELECT label % 3 AS part, vec_id - CASE WHEN label % 3 = 0 THEN 1 ELSE 0 END AS chunk_id FROM embeddings),
+k AS (SELECT c.part, s.vec_id, s.score, row_number() OVER (PARTITION BY c.part ORDER BY s.score DESC, s.vec_id) AS n FROM c JOIN s ON s.vec_id = c.chunk_id)
+SELECT part, vec_id AS chunk_id, round(score, 6) AS score FROM k WHERE n <= 10 AND part NOT IN (SELECT c.part FROM c ANTI JOIN s ON s.vec_id = c.chunk_id)""")
 def vector_pick_missing(spark, sf):
-    """No chunk at all if one has no vector."""
-    chunks = table(spark, sf, "embeddings").select((F.col("vec_id") - 1).alias("chunk_id"))
-    return vector.pick_chunks(chunks, table(spark, sf, "embeddings"), _query_vector(spark, sf), 10)
+    """The ten best chunks of each part of the table; none of a part that has a chunk without a vector."""
+    e, q = table(spark, sf, "embeddings"), _query_vector(spark, sf)
+    chunks = e.select((F.col("label") % 3).alias("part"), (F.col("vec_id") - (F.col("label") % 3 == 0).cast("int")).alias("chunk_id"))
+    picked = None
+    for part in range(3):
+        one = vector.pick_chunks(chunks.where(F.col("part") == part), e, q, 10).select(F.lit(part).alias("part"), "chunk_id", F.round("score", 6).alias("score"))
+        picked = one if picked is None else picked.unionByName(one)
+    return picked
+
+
+@query("WITH i AS (SELECT DISTINCT user_id AS vec_id FROM events) SELECT vec_id, len(embedding) AS dims FROM embeddings JOIN i USING (vec_id)")
+def vectors_by_ids(spark, sf):
+    """Vectors of the ids that have one."""
+    ids = table(spark, sf, "events").select(F.col("user_id").alias("vec_id"))
+    return vector.by_ids(table(spark, sf, "embeddings"), ids).select("vec_id", F.size("embedding").cast("long").alias("dims"))
 
 
 @query(f"""

@@ -153,7 +153,9 @@ def test_neighbourhood(small):
 def test_metrics(small):
     m = graph.metrics(*small).first()
     assert (m.num_nodes, m.num_edges, m.num_components, m.giant_size, m.isolated) == (7, 5, 3, 4, 1)
-    assert m.average_clustering == pytest.approx((1 + 1 + 1 / 3) / 7)
+    assert m.average_clustering == pytest.approx((1 + 1 + 1 / 3) / 3)  # over nodes of two edges or more
+    assert (m.diameter, m.mean_size, m.trimmed_mean_size, m.num_components_above_mean, m.num_nodes_excluding_isolated) == (float("inf"), 3, 3, 1, 6)
+    assert graph.metrics(small[0].where("entity_id < 'e'"), small[1].where("src < 'e'")).first().diameter == 2
 
 
 def test_rename_and_delete(small):
