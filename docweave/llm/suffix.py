@@ -38,7 +38,7 @@ _U = np.uint64
 LENGTH, K = 50, 24
 W = LENGTH - K + 1
 #: Bytes of text worked on at once; documents and bytes of a group; anchors and suffixes that meet in a bucket, about.
-STEP, GROUP_ROWS, GROUP_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 1 << 18, 1000, 8 << 20, 1 << 21, 4 << 20
+STEP, GROUP_ROWS, GROUP_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 1 << 18, 1000, 8 << 20, 1 << 20, 4 << 20
 #: Documents (by estimate, at most twice as many) from which an anchor's windows are dealt by themselves.
 HOT = 8192
 #: Kinds of what goes along with a group's rows: copies, anchors that recur, intervals, hot anchors, hot windows.
@@ -121,15 +121,23 @@ def tallied(hashes: np.ndarray) -> np.ndarray:
 
 def recurring(table: pa.Table, hot: int) -> pa.Table:
     """Of a bucket's tallied runs (run, data), each run's anchors that more than one document has: those of `hot` documents apart."""
-    runs = [np.unique(unpack_sorted(x), return_counts=True) for x in table.column("data").to_pylist()]
-    every = np.concatenate([v for v, _ in runs])
-    order = np.argsort(every, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0]))
-    documents = np.add.reduceat(np.concatenate([np.int64(1) << (c - 1) for _, c in runs])[order], head)
-    values = every[order][head]
+    names, blobs = table.column("run").to_pylist(), table.column("data").to_pylist()
+    parts = []
+    for x in blobs:
+        values, counts = np.unique(unpack_sorted(x), return_counts=True)
+        parts.append(values << _U(8) | counts.astype(_U))  # hashes have at most 56 bits
+    every = np.concatenate(parts)
+    del parts
+    every.sort()
+    head = np.flatnonzero(np.concatenate([[True], (every[1:] ^ every[:-1]) >> _U(8) != 0]))
+    documents = np.add.reduceat(np.int64(1) << ((every & _U(255)).astype(np.int8) - 1).astype(np.int64), head)
+    every = every[head] >> _U(8)
+    cool, warm = every[(documents > 1) & (documents < hot)], every[documents >= hot]
+    del every, documents, head
     out: dict[str, list] = {"run": [], "kind": [], "data": []}
-    for kind, known in ((ANCHORS, values[(documents > 1) & (documents < hot)]), (HOT_ANCHORS, values[documents >= hot])):
-        for run, (v, _) in zip(table.column("run").to_pylist(), runs, strict=True):
+    for run, x in zip(names, blobs, strict=True):
+        v = np.unique(unpack_sorted(x))
+        for kind, known in ((ANCHORS, cool), (HOT_ANCHORS, warm)):
             if len(found := v[among(v, known)]):
                 for c, x in (("run", run), ("kind", kind), ("data", pack_sorted(found))):
                     out[c].append(x)
@@ -470,7 +478,7 @@ def spans_of(docs: DataFrame, extra: list[str], cut, schema):
     side = copies.select(*(F.col(c).alias(c) for c in ("group", "doc_id", "text_hash"))).select("group", F.lit(COPY).alias("kind"), "doc_id", "text_hash", none)
 
     anchors = max(1, size * 2 // (W + 1))
-    bits = min(64, anchors.bit_length() + 16)
+    bits = min(56, anchors.bit_length() + 16)
     few, spread = max(0, (anchors // BUCKET_ANCHORS).bit_length()), max(3, (size // BUCKET_BYTES).bit_length())
     shift = 64 - bits
 
