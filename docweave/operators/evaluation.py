@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 #: Groups of question types, and the first file of each domain.
 TYPE_GROUPS = {"text-only": "Txt.", "multimodal-f": "Mm.", "multimodal-t": "Mm.", "meta-data": "Mm.", "una-web": "Una.", "unanswerable": "Una."}
 OFFICIAL_GROUPS = {"text-only": "text", "multimodal-f": "mm", "multimodal-t": "mm", "multimodal": "mm", "meta-data": "meta"}
@@ -51,3 +53,24 @@ def nan_means(df: DataFrame, columns: list[str]) -> DataFrame:
     real = lambda c: F.when(~F.isnan(c) & F.col(c).isNotNull(), F.col(c))
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), real(c).alias("v")) for c in columns))).alias("x"))
     return long.groupBy(F.col("x.measure").alias("measure")).agg(F.round(F.avg("x.v"), 4).alias("mean"), F.min("x.v").alias("least"), F.max("x.v").alias("greatest"), F.count("x.v").alias("n"))
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSON (question, answer, type, evidence) with the file they are of and their line, from 1."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("line", "value"))
+    return lines.select("path", (F.col("line") + 1).alias("line"), F.from_json("value", "question string, answer string, type string, evidence string").alias("q")).select("path", "line", "q.*")
+
+
+def by_line(questions: DataFrame, answers: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Questions and the answers of the same place, by the order of each in its file; those without a partner fall out."""
+    q, a = (numbered(df, [F.col(order)], "line", key).drop(order) for df in (questions, answers))
+    return q.join(a, [*key, "line"])
+
+
+def export_scores(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """Rows of scores as csv or json; numbers that are none are empty."""
+    flat = df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes))
+    if kind == "csv":
+        flat.write.csv(path, header=True, escape='"')
+    else:
+        flat.write.json(path)

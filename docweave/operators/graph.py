@@ -11,6 +11,7 @@ from .components import components
 from .provenance import limit_ids, truncation_mark
 from .ranking import numbered
 from .scratch import written
+from .tables import merge_columns
 
 
 def canonical(df: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
@@ -218,6 +219,74 @@ def merge_entities(edges: DataFrame, names: DataFrame) -> DataFrame:
     return e.groupBy("src", "tgt").agg(F.max("weight").alias("weight"), F.array_join(keyword_tokens(F.collect_set("keywords")), ",").alias("keywords"), F.array_join(F.array_sort(F.collect_set("description")), "<SEP>").alias("description"))
 
 
+def merge_entity_nodes(nodes: DataFrame, names: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """Nodes with sources made one with their targets (source, target), each column by its rule; a target that is a node takes part first."""
+    m = names.select(F.col("source").alias("entity_id"), "target")
+    merged = nodes.join(m, "entity_id", "left").withColumn("__k", F.struct(F.col("target").isNotNull().alias("late"), F.col("entity_id").alias("name"))).withColumn("entity_id", F.coalesce("target", "entity_id"))
+    touched = merged.join(names.select(F.col("target").alias("entity_id")).distinct(), "entity_id", "left_semi")
+    alone = merged.join(names.select(F.col("target").alias("entity_id")).distinct(), "entity_id", "left_anti").select("entity_id", *rules)
+    return merge_attributes(touched, "entity_id", "__k", rules).unionByName(alone)
+
+
+def has_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (entity_id) and whether they are nodes."""
+    return ids.join(nodes.select("entity_id").distinct().withColumn("found", F.lit(True)), "entity_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def get_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The edges of pairs (src, tgt), given in either direction."""
+    return edges.join(canonical(pairs.select("src", "tgt")).distinct(), ["src", "tgt"])
+
+
+def node_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(entity_id, other, ...): the edges of each of the ids."""
+    return both_ways(edges).join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
+def entity_info(nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Nodes with their degree and, if there is one, their vector (vec_id, embedding)."""
+    out = with_degrees_of(nodes, edges)
+    return out if vectors is None else out.join(vectors.select(F.col("vec_id").alias("entity_id"), "embedding"), "entity_id", "left")
+
+
+def relation_info(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Edges and, if there is one, their vector (src, tgt, embedding)."""
+    return edges.join(canonical(vectors).select("src", "tgt", "embedding"), ["src", "tgt"], "left")
+
+
+def create_entities(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes and new ones; fails if one is there already."""
+    there = new.join(nodes.select("entity_id"), "entity_id", "left_semi").select("entity_id").first()
+    if there:
+        raise ValueError(f"{there.entity_id!r} is there already")
+    return nodes.unionByName(new, allowMissingColumns=True)
+
+
+def create_relations(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges and new ones; fails if one is there already or an end is no node."""
+    new = canonical(new)
+    there = new.join(edges.select("src", "tgt"), ["src", "tgt"], "left_semi").first()
+    loose = new.select(F.explode(F.array("src", "tgt")).alias("entity_id")).join(nodes.select("entity_id"), "entity_id", "left_anti").first()
+    if there or loose:
+        raise ValueError(f"{there.src!r} and {there.tgt!r} have a relation already" if there else f"{loose.entity_id!r} is not there")
+    return edges.unionByName(new, allowMissingColumns=True)
+
+
+def edit(rows: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """Nodes or edges with the columns that `changes` gives for their keys; nulls change nothing. Fails if a key is not there."""
+    lost = changes.join(rows.select(*key), key, "left_anti").first()
+    if lost:
+        raise ValueError(f"{[lost[k] for k in key]} is not there")
+    return merge_columns(rows, changes, key)
+
+
+def names_by_doc(records: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """(full_doc_id, names): the entities of each document, those that were added for its relations too."""
+    every = records.select("full_doc_id", "entity_id")
+    every = every if added is None else every.unionByName(added.select("full_doc_id", "entity_id"))
+    return every.distinct().groupBy("full_doc_id").agg(F.array_sort(F.collect_list("entity_id")).alias("names"))
+
+
 def merge_attributes(df: DataFrame, key: str, order: str, rules: dict[str, str]) -> DataFrame:
     """A row a key, each column by its rule: concatenate, keep_first, keep_last, join_unique, join_unique_comma, max."""
     def ordered(c: str) -> Column:

@@ -67,8 +67,9 @@ def related_chunks(items: DataFrame, owned: DataFrame, item: str, most: int, met
 
 
 def chunk_cost(content: Column, file_path: Column, chunk_id: Column) -> Column:
-    """What a chunk takes of a budget with a tokenizer of one token a character: its line of JSON."""
-    return F.length(json_line(content=content, file_path=file_path, chunk_id=chunk_id))
+    """What a chunk takes of a budget with a tokenizer of one token a character: the line of JSON of its whole row, two fields of it as they are without images."""
+    line = json_line(content=content, file_path=file_path, chunk_id=chunk_id)
+    return F.length(line) + len(', "is_multimodal": false, "page_idx": null')
 
 
 def context(chunks: DataFrame, budget: int | Column, top_k: int | None = None, least_score: float = 0.0, by: list[str] = (), cost: Column | None = None) -> DataFrame:

@@ -60,3 +60,48 @@ def to_process(status: DataFrame, contents: DataFrame, row_id: str = "id") -> tu
     has = contents.select(row_id)
     waiting = status.where(F.col("status").isin("pending", "processing", "failed")).join(has, row_id, "left_semi")
     return waiting, status.where(F.col("status") != "failed").join(has, row_id, "left_anti")
+
+
+def queue(lists: list[DataFrame], key: str = "id") -> DataFrame:
+    """The union of lists of one schema; of a key in several the row of the last list."""
+    every = None
+    for k, df in enumerate(lists):
+        df = df.withColumn("__k", F.lit(k))
+        every = df if every is None else every.unionByName(df)
+    rest = [c for c in every.columns if c not in (key, "__k")]
+    return every.groupBy(key).agg(F.max_by(F.struct(*rest), "__k").alias("x")).select(key, "x.*")
+
+
+def tail(df: DataFrame, latest_first: list[Column], by: list[str], keep: int = 5000, over: int = 10000) -> DataFrame:
+    """The last `keep` rows of each group that has more than `over`; all rows of the others."""
+    counts = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    ranked = df.join(counts, by).withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*latest_first)))
+    return ranked.where((F.col("__n") <= over) | (F.col("__r") <= keep)).drop("__n", "__r")
+
+
+def sizes(frames: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the rows of each frame."""
+    out = None
+    for name, df in frames.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def iso_time(c: Column) -> Column:
+    """A time of UTC as ISO-8601."""
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def selected(df: DataFrame, status: str | None = None, track_id: str | None = None, file_path: str | None = None) -> DataFrame:
+    """Documents of a status, a track, a file."""
+    for c, v in (("status", status), ("track_id", track_id), ("file_path", file_path)):
+        df = df if v is None else df.where(F.col(c) == v)
+    return df
+
+
+def extend_cache_lists(chunks: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """chunks with the cache keys of new (chunk_id, cache_key) that their lists lack, behind those they have."""
+    more = new.groupBy(key).agg(F.array_sort(F.collect_set("cache_key")).alias("__m"))
+    none = F.array().cast("array<string>")
+    return chunks.join(more, key, "left").withColumn("llm_cache_list", F.array_distinct(F.concat(F.coalesce("llm_cache_list", none), F.coalesce("__m", none)))).drop("__m")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, graphs, tables, texts, vectors
+from . import answers, documents, graphs, tables, texts, vectors
 
-MODULES = (documents, texts, tables, graphs, vectors)
+MODULES = (documents, texts, tables, graphs, vectors, answers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
