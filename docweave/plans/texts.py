@@ -197,7 +197,9 @@ def normalize_names(spark, sf):
     return table(spark, sf, "documents").groupBy(T.normalize_name(name).alias("name")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: CASE WHEN regexp_matches(w, '^[a-z]{2,5}$') AND NOT regexp_matches(w, '[aeiou]') THEN upper(w)
+  ELSE upper(substring(w, 1, 1)) || substring(w, 2) END), ' ') AS surface FROM part""")
 def surface_forms(spark, sf):
-    """Shown forms of entity names (in Python: compatibility characters and case rules)."""
+    """Shown forms of lower-case names of parts."""
     return table(spark, sf, "part").select("p_partkey", names.surface_form(F.lower("p_name")).alias("surface"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.functions import extraction, names
 from docweave.functions import text as T
 from docweave.operators import chunking, evaluation, graph, multimodal, provenance, retrieval, tables, vector
+from docweave.plans import catalog
 from docweave.sources import files, knowledge
 from docweave.streaming import ingest
 
@@ -47,13 +49,13 @@ def test_inner_quotes(spark):
     ("name", "want"),
     [("kglm", "KGLM"), ("deep_learning", "Deep Learning"), ("Table 7: Results", "Table 7: Results (table)"), ("Fig. 2 - x", "Fig. 2-x (image)"), ("eq 3: y (equation)", "Eq 3: Y (equation)"), ("a  -  b", "A-b"), (None, "")],
 )
-def test_surface(name, want):
-    assert names.surface(name) == want
+def test_surface(spark, name, want):
+    assert spark.createDataFrame([(name,)], "n string").select(names.surface_form(F.col("n"))).first()[0] == want
 
 
-def test_path_keys():
+def test_path_keys(spark):
     text = "Image Path: out/figs_1/my-image.png\nsee /usr/share/some_dir and ~/x/12"
-    assert names.path_keys_of(text) == ["figs 1", "my image", "out", "share", "some dir", "usr", "~"]
+    assert spark.createDataFrame([(text,)], "t string").select(names.path_fragment_keys(F.col("t"))).first()[0] == ["figs 1", "my image", "out", "share", "some dir", "usr", "~"]
 
 
 def test_records(spark):
@@ -321,3 +323,128 @@ def test_search_of_any_number_of_queries(spark, monkeypatch):
         score = [sum(a * b for a, b in zip(unit[i], u, strict=True)) for u in unit]
         best = sorted(score, reverse=True)[:2]
         assert [round(score[got[i, n]], 9) for n in (1, 2)] == [round(x, 9) for x in best]
+
+
+def texts(n, seed):
+    rng = random.Random(seed)
+    bits = ["a", "bb ", "ccc. ", "\n", "\n\n", "d", "e ", ". ", "! ", "? ", "x" * 25]
+    return [("".join(rng.choice(bits) for _ in range(rng.randint(0, 50))), size := rng.randint(2, 50), rng.randint(0, size - 1)) for _ in range(n)]
+
+
+def test_paragraphs_against_a_plain_loop():
+    for text, size, overlap in texts(300, 1):
+        want, held = [], ""
+        for p in filter(None, map(str.strip, text.split("\n\n"))):
+            if held and len(held) + 2 + len(p) <= size:
+                held += "\n\n" + p
+                continue
+            want += [held] if held else []
+            held = p if len(p) <= size else ""
+            want += [] if held else [p[i : i + size].strip() for i in range(0, len(p), size - overlap)]
+        want += [held] if held else []
+        assert [c for _, c in chunking.paragraphs(chunking.CharTokenizer(), text, size, overlap)] == want
+
+
+def test_sentences_against_a_plain_loop():
+    import re
+
+    for text, size, overlap in texts(300, 2):
+        want, held = [], []
+        for s in filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+", text))):
+            if len(s) > size:
+                want += [" ".join(held)] if held else []
+                held = []
+                want += [c for _, c in chunking.recursive(chunking.CharTokenizer(), s, size, overlap)]
+                continue
+            if held and sum(map(len, held)) + len(s) > size:
+                want.append(" ".join(held))
+                while sum(map(len, held)) > overlap:
+                    held.pop(0)
+            held.append(s)
+        want += [" ".join(held)] if held else []
+        assert [c for _, c in chunking.sentences(chunking.CharTokenizer(), text, size, overlap)] == want
+
+
+def test_recursive_chunks_are_longest_spans():
+    for text, size, _ in texts(300, 3):
+        got = [c for _, c in chunking.recursive(chunking.CharTokenizer(), text, size, 0)]
+        assert all(len(c) <= size for c in got)
+        letters = lambda t: [c for c in t if c.isalpha()]
+        assert letters("".join(got)) == letters(text)  # nothing is lost but cuts
+
+
+def test_chunk_queries_are_the_strategies(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    import hashlib
+
+    for name in ("recursive", "sentence", "paragraph", "semantic"):
+        got = sorted(map(tuple, catalog.queries()[f"chunk_{name}"](spark, "/root/testdata/sf0.001").collect()))
+        want = sorted((d, i, n, hashlib.md5(c.encode()).hexdigest()) for d, t in docs.items() for i, (n, c) in enumerate(chunking.STRATEGIES[name](chunking.CharTokenizer(), t or "", 400, 60)))
+        assert got == want, name
+
+
+def test_words_as_tokens():
+    """A tokenizer whose tokens are words: budgets count words."""
+
+    class Words:
+        def encode(self, text):
+            return text.split()
+
+        def decode(self, tokens):
+            return " ".join(tokens)
+
+    text = "one two three. four five. six\n\nseven eight nine ten eleven"
+    for f in chunking.STRATEGIES.values():
+        assert all(n <= 4 and n == len(c.split()) for n, c in f(Words(), text, 4, 1))
+
+
+def test_running_sums_without_a_group(spark):
+    from docweave.operators import ranking
+
+    rows = [(i * 7 % 1000, i % 5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(5)
+    got = ranking.running(df, F.col("v"), [F.desc("k")], "s").orderBy(F.desc("k")).collect()
+    total = 0
+    for r in got:
+        total += r.v
+        assert r.s == total
+    assert [r.n for r in ranking.numbered(df, [F.col("k")], "n").orderBy("k").collect()] == list(range(1, 1001))
+    assert ranking.numbered(df.where("false"), [F.col("k")], "n").count() == 0
+
+
+def test_edit_create_and_lookups(spark, small):
+    nodes, edges = small
+    nodes = nodes.withColumn("description", F.lit("d"))
+    more = graph.create_entities(nodes, spark.createDataFrame([("new", "x")], "entity_id string, description string"))
+    assert more.count() == 8
+    with pytest.raises(ValueError):
+        graph.create_entities(nodes, nodes.limit(1))
+    new = spark.createDataFrame([("g", "a", 3.0)], "src string, tgt string, weight double")
+    assert {(r.src, r.tgt) for r in graph.create_relations(nodes, edges, new).collect()} >= {("a", "g")}
+    for bad in ([("b", "a", 1.0)], [("a", "nowhere", 1.0)]):
+        with pytest.raises(ValueError):
+            graph.create_relations(nodes, edges, spark.createDataFrame(bad, "src string, tgt string, weight double"))
+    changed = graph.edit(nodes, spark.createDataFrame([("a", "other")], "entity_id string, description string"), ["entity_id"])
+    assert {r.entity_id: r.description for r in changed.collect()}["a"] == "other" and changed.count() == 7
+    with pytest.raises(ValueError):
+        graph.edit(nodes, spark.createDataFrame([("zz", "other")], "entity_id string, description string"), ["entity_id"])
+    ids = spark.createDataFrame([("a",), ("zz",)], "entity_id string")
+    assert {(r.entity_id, r.found) for r in graph.has_nodes(nodes, ids).collect()} == {("a", True), ("zz", False)}
+    assert graph.get_edges(edges, spark.createDataFrame([("b", "a")], "src string, tgt string")).count() == 1
+    assert {r.other for r in graph.node_edges(edges, ids).collect()} == {"b", "c"}
+    v = spark.createDataFrame([("b", "a", [1.0])], "src string, tgt string, embedding array<double>")
+    assert graph.relation_info(edges, v).where("embedding is not null").count() == 1
+
+
+def test_merges_cut_before_values_meet(spark):
+    rows = [("hub", "t", f"d{i % 3}", f"c{i:03d}", f"f{i % 150}", i % 7, f"{i:05d}") for i in range(400)]  # seq is a text, as ingest makes it
+    df = spark.createDataFrame(rows, "entity_id string, entity_type string, description string, source_id string, file_path string, ts long, seq string")
+    r = graph.merge_nodes(df, limit=5).first()
+    assert r.source_ids == [f"c{i:03d}" for i in range(395, 400)] and len(r.file_paths) == 101 and r.file_paths[-1] == "...truncated...(FIFO)" and r.file_paths[0] == "f50"
+    assert graph.merge_nodes(df, limit=5, method="KEEP").first().source_ids == [f"c{i:03d}" for i in range(5)]
+    old = graph.merge_nodes(df.where("seq < '00200'"), limit=300)
+    both = graph.merge_nodes(df.where("seq >= '00200'"), old, limit=300).first()
+    assert both.source_ids == graph.merge_nodes(df, limit=300).first().source_ids and both.entity_type == "t"
+    e = spark.createDataFrame([("b", "a", 2.0, "x, y", "d", "c1", "f", 0, 1)], "src string, tgt string, weight double, keywords string, description string, source_id string, file_path string, ts long, seq long")
+    again = graph.merge_edges(e.withColumn("keywords", F.lit("z")).withColumn("source_id", F.lit("c2")), graph.merge_edges(e)).first()
+    assert (again.src, again.weight, again.keywords, again.source_ids) == ("a", 4.0, "x,y,z", ["c1", "c2"])
