@@ -1,53 +1,21 @@
-"""What the operators of this package share: shared-folder scratch tables, bucketed ranks, text columns."""
+"""What the operators of this package share: bucketed ranks, text columns, memory given back."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docweave.operators.scratch import release, written
+
 #: Rows that a bucket of a two-level rank holds on average, and the most buckets there are.
 BUCKET_ROWS, MAX_BUCKETS = 256, 65536
 
 BATCH_ROWS = 1000
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="docweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/docweave-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
-    return path
-
-
-def release(_final: bool = False) -> None:
-    """Deletes the scratch tables written so far. Call it only when no frame that reads them is still to run."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:
-            if not _final:
-                raise
-
-
-atexit.register(release, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Rows of whole texts go to Python a thousand at a time at most: both sides hold a batch or two in memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -55,14 +23,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: it is computed once, and lost executors don't lose it."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(name: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
@@ -127,3 +87,6 @@ def tidy2(f: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa
         return out
 
     return run
+
+
+__all__ = ["bucket_count", "md5_bucket", "prefix", "release", "small_batches", "text_bytes", "text_or_empty", "tidy", "tidy2", "trim", "written"]

@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from docweave.operators.components import components
+
 from .common import small_batches, text_bytes, tidy, tidy2, trim, written
-from .components import components
 from .runs import among, mix, pack_sorted, shared, unpack_sorted
 
 _U = np.uint64

@@ -8,7 +8,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docweave.llm import components, runs, simhash
+from docweave.llm import runs, simhash
+from docweave.operators import components
 
 from .conftest import SCHEMA, words
 
