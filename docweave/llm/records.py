@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, text_bytes
+from docweave.operators.scratch import shared_dir
+
+from .common import small_batches, text_bytes
 from .tokens import TOKENIZER, encoder
 
 END = 1
