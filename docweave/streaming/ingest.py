@@ -1,11 +1,13 @@
-"""Documents from enqueue to chunks and graph: in one batch, or as files arrive.
+"""Documents from enqueue to chunks, vectors and graph: in one batch, or as files arrive.
 
-State is a set of Parquet tables below a root. A run writes a version of what it changes and then names it in one
-pointer file, so readers see all of a run or nothing of it, and a repeated run changes nothing.
+State is a set of tables below a root. A run writes new parts of what it adds and then a list of all parts under the next
+version number; a version is there when its list is, so readers see all of a run or nothing of it, whatever step it
+stops at, and a repeated run changes nothing. Adding rewrites nothing; deleting rewrites what it takes rows from.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,44 +15,85 @@ from pyspark.sql import functions as F
 
 from docweave.functions import extraction
 from docweave.functions.text import content_id, sanitize, summary
-from docweave.operators import chunking, graph
-from docweave.operators.tables import upsert
+from docweave.operators import chunking, graph, models, multimodal
+from docweave.operators.answering import Knowledge
+from docweave.operators.scratch import written
 
-TABLES = ("docs", "chunks", "records")
+#: The tables and their keys. docs is a log: of an id the row of the greatest version counts.
+TABLES = {"contents": ["id"], "docs": ["id"], "chunks": ["full_doc_id", "chunk_order_index"], "records": ["full_doc_id", "chunk_order_index", "record_order"], "vectors": ["vec_id"], "cache": ["cache_key"]}
+WAITING = ("pending", "processing", "failed")
 
 
 class Store:
-    """Versioned tables below a root; `tables()` is a snapshot."""
+    """Tables below a root, in versions; `tables()` is a snapshot."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> str | None:
-        p = self._path(f"{self.root}/current")
-        return self.spark.read.text(f"{self.root}/current").first()[0] if self._fs.exists(p) else None
+    def _names(self, folder: str) -> list[str]:
+        p = self._path(f"{self.root}/{folder}")
+        return [s.getPath().getName() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+
+    def version(self) -> int:
+        """The number of the newest version; 0 for none."""
+        return max((int(n) for n in self._names("versions") if n.isdigit()), default=0)
+
+    def parts(self, version: int | None = None) -> dict[str, list[str]]:
+        v = self.version() if version is None else version
+        return json.loads(self.spark.read.text(f"{self.root}/versions/{v:012d}", wholetext=True).first()[0]) if v else {}
+
+    def table(self, name: str) -> DataFrame | None:
+        found = self.parts().get(name)
+        if not found:
+            return None
+        df = self.spark.read.parquet(*(f"{self.root}/parts/{p}" for p in found))
+        if name != "docs":
+            return df
+        rest = [c for c in df.columns if c != "id"]
+        return df.groupBy("id").agg(F.max_by(F.struct(*rest), "version").alias("d")).select("id", "d.*")
 
     def tables(self) -> dict[str, DataFrame] | None:
-        v = self._pointer()
-        return v and {t: self.spark.read.parquet(f"{self.root}/{v}/{t}") for t in TABLES}
-
-    def publish(self, tables: dict[str, DataFrame]) -> None:
-        """Writes a version, then names it; the version before stays until the next."""
-        v, before = uuid.uuid4().hex, self._pointer()
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{v}/{name}")
-        new = f"{self.root}/.current-{v}"
-        self.spark.createDataFrame([(v,)], "value string").coalesce(1).write.text(new)
-        current, old = self._path(f"{self.root}/current"), self._path(f"{self.root}/.old")
-        self._fs.delete(old, True)
-        if self._fs.exists(current):
-            self._fs.rename(current, old)
-        self._fs.rename(self._path(new), current)
-        self._fs.delete(old, True)
-        for s in self._fs.listStatus(self._path(self.root)):
-            if s.isDirectory() and s.getPath().getName() not in (v, before, "current"):
-                self._fs.delete(s.getPath(), True)
+        found = {t: self.table(t) for t in self.parts()}
+        return {t: df for t, df in found.items() if df is not None} or None
+
+    def publish(self, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None) -> int:
+        """Writes parts, then the list that names them: the tables with what is added, those of `replaced` anew."""
+        v = self.version()
+        parts = self.parts(v)
+        for name, df in [*added.items(), *(replaced or {}).items()]:
+            part = f"{name}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/parts/{part}")
+            parts[name] = [part] if replaced and name in replaced else [*parts.get(name, []), part]
+        self._commit(v + 1, parts)
+        self._tidy(v)
+        return v + 1
+
+    def _commit(self, v: int, parts: dict[str, list[str]]) -> None:
+        new, to = self._path(f"{self.root}/versions/.{v:012d}-{uuid.uuid4().hex}"), self._path(f"{self.root}/versions/{v:012d}")
+        out = self._fs.create(new, True)
+        out.write(bytearray(json.dumps(parts), "utf-8"))
+        out.close()
+        if self._fs.exists(to) or not self._fs.rename(new, to):  # another writer was first
+            self._fs.delete(new, False)
+            raise RuntimeError(f"version {v} is there already")
+
+    def _tidy(self, before: int) -> None:
+        """Deletes parts that neither the newest version nor the one before names, and older lists. Nothing else is touched."""
+        kept = {p for v in (before, before + 1) if v for ps in self.parts(v).values() for p in ps}
+        for p in self._names("parts"):
+            if p not in kept and p.rpartition("-")[0] in TABLES:
+                self._fs.delete(self._path(f"{self.root}/parts/{p}"), True)
+        for n in self._names("versions"):
+            if n.isdigit() and int(n) < before:
+                self._fs.delete(self._path(f"{self.root}/versions/{n}"), False)
+
+    def drop(self) -> None:
+        """An empty version: what was stored goes with the one after."""
+        v = self.version()
+        self._commit(v + 1, {})
+        self._tidy(v)
 
 
 def enqueued(docs: DataFrame) -> DataFrame:
@@ -72,37 +115,108 @@ def chunked(docs: DataFrame, chunks: Column | None = None) -> DataFrame:
     return rows.withColumn("chunk_id", content_id("chunk-", F.col("content")))
 
 
-def ingest(store: Store, docs: DataFrame, extract, chunks: Column | None = None) -> int:
-    """Takes in documents (file_path, text) that are new; returns how many were. extract: text column -> answer column of a model."""
-    old = store.tables()
-    new = enqueued(docs)
-    if old:
-        new = new.join(old["docs"].select("id"), "id", "left_anti")
-    new = new.withColumn("status", F.lit("processed"))
-    cut = chunked(new, chunks)
-    answers = cut.select("chunk_id", "full_doc_id", "file_path", "chunk_order_index", extract(F.col("content")).alias("text"))
-    records = extraction.records(answers)
-    tables = {"docs": new, "chunks": cut, "records": records}
-    if old:
-        tables = {"docs": upsert(old["docs"], new, ["id"]), "chunks": old["chunks"].unionByName(cut), "records": old["records"].unionByName(records)}
-    n = new.count()
+STATUS = {"id": "string", "file_path": "string", "content_summary": "string", "content_length": "int", "status": "string", "error_msg": "string", "track_id": "string"}
+
+
+def _statuses(df: DataFrame, version: int) -> DataFrame:
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in STATUS.items()), F.lit(version).alias("version"))
+
+
+def enqueue(store: Store, docs: DataFrame, track_id: str | None = None) -> int:
+    """Stores documents (file_path, text, error?) that are new as pending, unreadable ones as failed; returns how many were."""
+    old = store.table("docs")
+    new = enqueued(docs if "error" not in docs.columns else docs.where("error is null"))
+    lost = failed(docs.withColumnRenamed("file_path", "path")) if "error" in docs.columns else None
+    if old is not None:
+        new = new.join(old.select("id"), "id", "left_anti")
+        lost = lost and lost.join(old.select("id"), "id", "left_anti")
+    new = written(new)  # what is stored is computed once
+    rows = _statuses(new.withColumn("track_id", F.lit(track_id)), store.version() + 1)
+    rows = rows if lost is None else rows.unionByName(_statuses(lost, store.version() + 1))
+    n = rows.count()
     if n:
-        store.publish(tables)
+        store.publish({"contents": new.select("id", "content"), "docs": rows})
+    return n
+
+
+def process(store: Store, extract, chunks: Column | None = None, embedder: models.Embedder | None = None, dims: int = 0) -> int:
+    """Works on all documents that wait (failed and interrupted ones again); returns how many were processed.
+
+    extract: text column -> answer column of a model; a null answer fails its document, whose rows that are whole stay.
+    """
+    t = store.tables() or {}
+    if "docs" not in t or "contents" not in t:
+        return 0
+    waiting = t["docs"].where(F.col("status").isin(*WAITING)).join(t["contents"], "id")
+    cut = written(chunked(waiting, chunks))
+    fresh = cut if "chunks" not in t else cut.join(t["chunks"].select("full_doc_id", "chunk_order_index"), ["full_doc_id", "chunk_order_index"], "left_anti")
+    answers = written(cut.select("chunk_id", "full_doc_id", "file_path", "chunk_order_index", extract(F.col("content")).alias("text")))  # asked once
+    records = extraction.records(answers.where("text is not null"))
+    if "records" in t:
+        records = records.join(t["records"].select(*TABLES["records"]), TABLES["records"], "left_anti")
+    bad = answers.where("text is null").select(F.col("full_doc_id").alias("id")).distinct().withColumn("bad", F.lit(True))
+    done = waiting.join(bad, "id", "left").withColumn("status", F.when(F.col("bad"), "failed").otherwise("processed")).withColumn("error_msg", F.when(F.col("bad"), "no answer for a chunk"))
+    done = written(_statuses(done, store.version() + 1))
+    n = done.where("status = 'processed'").count()
+    if not done.limit(1).count():
+        return 0
+    added = {"docs": done, "chunks": fresh, "records": records}
+    if embedder is not None:
+        added["vectors"] = _vectors(store, fresh, embedder, dims)
+    store.publish(added)
+    return n
+
+
+def _vectors(store: Store, chunks: DataFrame, embedder: models.Embedder, dims: int) -> DataFrame:
+    new, old = chunks.select(F.col("chunk_id").alias("vec_id"), "content").dropDuplicates(["vec_id"]), store.table("vectors")
+    new = new if old is None else new.join(old.select("vec_id"), "vec_id", "left_anti")
+    return models.embedded(new, F.col("content"), embedder, dims).select("vec_id", "embedding")
+
+
+def ingest(store: Store, docs: DataFrame, extract, chunks: Column | None = None, embedder: models.Embedder | None = None, dims: int = 0) -> int:
+    """Takes in documents (file_path, text, error?) that are new, and those that wait; returns how many were processed."""
+    enqueue(store, docs)
+    return process(store, extract, chunks, embedder, dims)
+
+
+def ingest_blocks(store: Store, blocks: DataFrame, files: DataFrame, extract, describe, embedder: models.Embedder | None = None, dims: int = 0) -> int:
+    """Parsed documents: blocks (doc_id, position, type, text, ...) and files (doc_id, file_path).
+
+    Texts go through ingest; other blocks, described by `describe` (a column of struct<description, entity_name,
+    entity_type, summary>), become chunks behind those of their document, with their entity and its relations.
+    """
+    texts, others = multimodal.separated(blocks)
+    n = ingest(store, texts.join(files, "doc_id").select("file_path", F.col("content").alias("text")), extract, None, embedder, dims)
+    made = written(multimodal.modal_chunks(others.join(files, "doc_id"), describe))
+    ids = store.table("docs").where("status = 'processed'").select("file_path", F.col("id").alias("full_doc_id"))
+    old = store.table("chunks")
+    counts = old.groupBy("full_doc_id").agg((F.max("chunk_order_index") + 1).alias("base"))
+    new = made.join(ids, "file_path").join(counts, "full_doc_id", "left").withColumn("chunk_order_index", (F.coalesce("base", F.lit(0)) + F.col("chunk_order_index")).cast("int"))
+    new = written(new.join(old.select("full_doc_id", "chunk_id"), ["full_doc_id", "chunk_id"], "left_anti"))
+    if not new.limit(1).count():
+        return n
+    answers = written(new.select("chunk_id", "full_doc_id", "file_path", "chunk_order_index", "entity_name", extract(F.col("content")).alias("text")))
+    records = multimodal.with_main_entities(extraction.records(answers.drop("entity_name")), new)
+    added = {"chunks": new.select(*(c for c in old.columns)), "records": records.select(*store.table("records").columns)}
+    if embedder is not None:
+        added["vectors"] = _vectors(store, new, embedder, dims)
+    store.publish(added)
     return n
 
 
 def delete(store: Store, doc_ids: DataFrame) -> None:
-    """Documents (id) taken out with their chunks and records: what is left is as if they had never come."""
-    old, gone = store.tables(), doc_ids.select("id").distinct()
+    """Documents (id) taken out with their chunks, records and vectors: what is left is as if they had never come."""
+    t, gone = store.tables(), written(doc_ids.select("id").distinct())
     by_doc = gone.withColumnRenamed("id", "full_doc_id")
-    store.publish({"docs": old["docs"].join(gone, "id", "left_anti"), "chunks": old["chunks"].join(by_doc, "full_doc_id", "left_anti"), "records": old["records"].join(by_doc, "full_doc_id", "left_anti")})
+    left = {n: t[n].join(gone, "id", "left_anti") for n in ("contents", "docs") if n in t} | {n: t[n].join(by_doc, "full_doc_id", "left_anti") for n in ("chunks", "records") if n in t}
+    if "vectors" in t:
+        left["vectors"] = t["vectors"].join(left["chunks"].select(F.col("chunk_id").alias("vec_id")), "vec_id", "left_semi")
+    store.publish({}, left)
 
 
-def merged(store: Store) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the graph that all records give. A chunk's records are those of its first document."""
-    r = store.tables()["records"]
-    first = r.groupBy("chunk_id").agg(F.min("full_doc_id").alias("full_doc_id"))
-    r = r.join(first, ["chunk_id", "full_doc_id"])
+def _merged(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    first = records.groupBy("chunk_id").agg(F.min("full_doc_id").alias("full_doc_id"))
+    r = records.join(first, ["chunk_id", "full_doc_id"])
     number = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
     seq = F.concat_ws("/", "full_doc_id", number("chunk_order_index"), number("record_order"))
     common = lambda df: df.withColumns({"source_id": F.col("chunk_id"), "ts": F.lit(0), "seq": seq})
@@ -111,6 +225,42 @@ def merged(store: Store) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def merged(store: Store) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the graph that all records give. A chunk's records are those of its first document."""
+    return _merged(store.tables()["records"])
+
+
+def rebuilt(cache: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges from the cached answers of chunks (chunk_id, full_doc_id, file_path, chunk_order_index, llm_cache_list).
+
+    Of a chunk's answers, in the order they were made, a later one takes an entity's place as gleaned() says.
+    """
+    found = models.cache_entries(chunks, cache).join(chunks.select("chunk_id", "full_doc_id", "file_path", "chunk_order_index"), "chunk_id")
+    first = found.where("create_time = earliest")
+    read = lambda df: extraction.records(df.select("chunk_id", "full_doc_id", "file_path", "chunk_order_index", F.col("answer").alias("text")))
+    return _merged(read(first).unionByName(read(found.where("create_time > earliest"))).dropDuplicates(["chunk_id", "fields"]))
+
+
+def knowledge(store: Store, embedder: models.Embedder, dims: int) -> Knowledge:
+    """What the store has, to be searched: graph, chunks, and vectors of all of them."""
+    t = store.tables()
+    nodes, edges = (written(df) for df in merged(store))
+    text = F.array_join("descriptions", "\n")
+    e = models.embedded(nodes.select(F.col("entity_id").alias("vec_id"), F.concat("entity_id", F.lit("\n"), text).alias("t")), F.col("t"), embedder, dims).select("vec_id", "embedding")
+    r = models.embedded(edges.select("src", "tgt", F.concat_ws("\n", "keywords", "src", "tgt", text).alias("t")), F.col("t"), embedder, dims).select("src", "tgt", "embedding")
+    chunks = t["chunks"].dropDuplicates(["chunk_id"]).select("chunk_id", "content", "file_path")
+    c = t["vectors"] if "vectors" in t else models.embedded(chunks.select(F.col("chunk_id").alias("vec_id"), "content"), F.col("content"), embedder, dims).select("vec_id", "embedding")
+    return Knowledge(nodes, edges, chunks, written(e), written(r), written(c))
+
+
+def index_files(store: Store, files: DataFrame, extract, dry_run: bool = False, **more) -> DataFrame:
+    """Files as read (path, text, error) taken in; (status, n) of what became of them. dry_run: of what would be read."""
+    if dry_run:
+        return files.groupBy(F.when(F.col("error").isNull(), "readable").otherwise("failed").alias("status")).agg(F.count("*").alias("n"))
+    ingest(store, files.select(F.col("path").alias("file_path"), "text", "error"), extract, **more)
+    return store.table("docs").join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi").groupBy("status").agg(F.count("*").alias("n"))
+
+
 def follow(store: Store, path: str, extract, checkpoint: str, chunks: Column | None = None):
     """Takes in text files as they arrive below a path, all that are there and then ends; a batch that is repeated adds nothing."""
     files = store.spark.readStream.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))

@@ -307,7 +307,7 @@ def test_stream_equals_batch(spark, tmp_path):
         ingest.follow(store, f"{tmp_path}/in", answers, f"{tmp_path}/check").awaitTermination()
         (tmp_path / f"in/{name}.txt").write_text(text)
     ingest.follow(store, f"{tmp_path}/in", answers, f"{tmp_path}/check").awaitTermination()
-    assert {r.content for r in store.tables()["docs"].collect()} == {"Alpha text", "Beta text"}
+    assert {r.content for r in store.tables()["contents"].collect()} == {"Alpha text", "Beta text"}
 
 
 def test_search_of_any_number_of_queries(spark, monkeypatch):
