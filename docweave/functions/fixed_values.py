@@ -65,3 +65,9 @@ SECTION_PATTERNS = (
     r"^(?:\d+(?:\.\d+)*[.)]?|[IVXLCM]+[.)])\s+[A-Z\u4e00-\u9fff][^\n]{2,100}$",
     r"^[A-Z][A-Z \-]{7,59}$",
 )
+
+# Marks in prompts.
+CONTEXT_MARKER = "---Context---"
+REFERENCE_MARKER = "Reference Document List (Each entry starts with a [reference_id] that corresponds to entries in the Document Chunks):"
+EMPTY_INSTRUCTIONS = ("", "{user_prompt}", "none", "null", "n/a")
+ANSWER_SUFFIXES = ("Please answer based on the context provided.", "Please answer based on the context and images provided.")

@@ -118,7 +118,7 @@ def merge_nodes(records: DataFrame, existing: DataFrame | None = None, limit: in
 
 def keyword_tokens(keywords: Column) -> Column:
     """Distinct comma-separated keywords of a list of keyword strings, sorted."""
-    parts = F.flatten(F.transform(keywords, lambda k: F.transform(F.split(k, ","), F.trim)))
+    parts = F.flatten(F.transform(keywords, lambda k: F.transform(F.split(k, ","), lambda w: F.trim(w))))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
@@ -294,7 +294,7 @@ def merge_attributes(df: DataFrame, key: str, order: str, rules: dict[str, str])
         return F.transform(kept, lambda x: x["v"])
 
     def commas(c: str) -> Column:
-        parts = F.flatten(F.transform(ordered(c), lambda s: F.transform(F.split(s, ","), F.trim)))
+        parts = F.flatten(F.transform(ordered(c), lambda s: F.transform(F.split(s, ","), lambda w: F.trim(w))))
         return F.array_join(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))), ",")
 
     by = {
