@@ -1,17 +1,21 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
 
-from docweave.llm import mixing, quality, sharding, suffix
+from docweave.llm import catalog, mixing, quality, sharding, suffix
 
 from .conftest import SCHEMA, words
+from .test_simhash import plain_components
 from .test_suffix import brute
+from .test_tokens import TOKENIZER
 
 
 def test_stages_are_named_and_keep_the_columns(spark, odd, empty, as_table):
@@ -194,3 +198,112 @@ def test_classifier_takes_text_ids(spark):
     labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(200)], "doc_id string, quality int")
     got = quality.accept(docs, labels).collect()
     assert got and all(int(r.doc_id[1:]) % 2 for r in got)
+
+
+def plain_shards(rows, shards=16):
+    """(doc_id, size, crc, shard, slot) by the definition: ranks in the source, fractional ranks, cuts."""
+    each = []
+    for r in rows:
+        t = (r[1] or "").encode()
+        key = hashlib.md5(f"17:{'' if r[0] is None else r[0]}".encode()).hexdigest()
+        each.append(("" if r[3] is None else f"s{r[3]}", key, r[0], len(t) + 1, zlib.crc32(t)))
+    low = lambda x: (x is not None, x or 0)
+    order = []
+    for s in {e[0] for e in each}:
+        own = sorted((e for e in each if e[0] == s), key=lambda e: (e[1], low(e[2]), e[3], e[4]))
+        order += [((2 * i + 1) / (2 * len(own)), s, e[1], low(e[2]), e[3], e[4], e) for i, e in enumerate(own)]
+    out, n = [], len(each)
+    for g, x in enumerate(sorted(order, key=lambda x: x[:6])):
+        shard = g * shards // n
+        out.append((x[6][2], x[6][3], x[6][4], shard, g - -(-shard * n // shards)))
+    return sorted(out, key=str)
+
+
+def test_shards_and_slots_are_those_of_the_definition(spark, odd, odd_rows, as_table):
+    got = sharding.op2_interleaved_shards(spark, as_table(documents=odd)).collect()
+    assert sorted(((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got), key=str) == plain_shards(odd_rows)
+
+
+def test_the_whole_pipeline_against_plain_versions(spark, as_table):
+    """Passages, near copies and junk are planted; each stage's plain version gives what should come out."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    passage = words(rng, 60)
+    for i in range(260):
+        t = words(rng, rng.randint(20, 200))
+        if i % 9 == 4:
+            t = " | ".join(t.split(" "))  # junk
+        elif i % 7 == 3:
+            t = t + " " + passage
+        elif i % 11 == 5:
+            t = rows[-1][1] + " zebra"  # a near copy
+        rows.append((i, t, "en", f"src{i % 5 // 2}", len(t)))
+        labels.append((i, int(i % 9 != 4), 0))
+    rows += [(300, "", "en", "src0", 0), (301, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    where = as_table(documents=df, labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = corpus_pipeline.run(spark, where).collect()
+
+    w = quality.learn(df, spark.read.parquet(f"{where}/labels.parquet")).w
+    left = [r for r, p in zip(rows, plain_scores(w, [r[1] for r in rows]), strict=True) if p >= 0.7]
+    assert len(left) < len(rows) and all(r[0] % 9 != 4 for r in left if r[0] < 260)
+
+    def shingles(t):
+        x = (t or "").encode().lower().split()
+        return {b" ".join(x[k : k + 5]) for k in range(max(1, len(x) - 4))} if x else set()
+
+    sets = [shingles(r[1]) for r in left]
+    near = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    comp = plain_components(list(range(len(left))), near)
+    first = [r for i, r in enumerate(left) if comp[i] == i]
+    assert len(first) < len(left)
+    texts, seen = {}, set()
+    for d, t, *_ in sorted(first):
+        b = (t or "").encode()
+        cover = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if b[i : i + 50] in seen:
+                cover[i : i + 50] = b"\1" * 50
+        seen |= {b[i : i + 50] for i in range(len(b) - 49)}
+        spans, i = [], 0
+        while i < len(b):
+            j = i
+            while j < len(b) and cover[j]:
+                j += 1
+            spans += [[i, j]] if j > i else []
+            i = max(j, i + 1)
+        texts[d] = suffix.kept(b, suffix.on_characters(b, np.array(spans, np.int64).reshape(-1, 2))).decode()
+    assert sum(len(t or "") for _, t, *_ in first) > sum(map(len, texts.values()))
+    pieces = {}
+    for d, t in texts.items():
+        ids = np.array([*TOKENIZER.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        pieces[d] = [(d, k, k * 2048, len(x), zlib.crc32(x.tobytes())) for k, x in enumerate(ids[a : a + 2048] for a in range(0, len(ids), 2048))]
+    times = Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got)
+    assert set(times) == {p for x in pieces.values() for p in x}  # nothing is lost, nothing else is there
+    assert set(times.values()) <= {1, 2} and 2 in times.values()  # the mixture repeats small sources up to twice
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in by.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:k]) for k in range(len(x))] and sum(n for _, n in x) <= 2048
+
+
+@pytest.mark.parametrize("name", ["op1_temperature_mix", "op7_va_file_topk"])
+def test_queries_against_their_sql(spark, name):
+    where, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
+    found = con.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    got = catalog.queries()[name](spark, where).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, found.fetchall()))
+
+
+def test_mixture_query_on_odd_rows_and_none(spark, odd, odd_rows, empty, as_table):
+    got = mixing.op1_temperature_mix(spark, as_table(documents=odd)).collect()
+    budget, total = plain_mix(odd_rows, 2.0)
+    for s, n in total.items():
+        own = [r for r in got if r.source == s]
+        assert sum(r.tokens for r in own if r.epoch == 0) == n and budget[s] <= sum(r.tokens for r in own) < budget[s] + max(r.tokens for r in own)
+    assert mixing.op1_temperature_mix(spark, as_table(documents=empty)).count() == 0
