@@ -202,6 +202,15 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, label: str, depth: int = 3
     return seen, induced(edges, seen), cut
 
 
+def label_subgraph(nodes: DataFrame, edges: DataFrame, query: str, depth: int = 2, most: int = 1000) -> tuple[DataFrame, DataFrame, bool]:
+    """What lies around the label that matches a query best; for `*`, or if none does, around the nodes of highest degree."""
+    best = None if query.strip() == "*" else search_labels(nodes.select("entity_id"), query, 1).first()
+    if best is None:
+        top, links = top_subgraph(nodes.select("entity_id"), edges, most)
+        return top.select("entity_id", F.lit(0).alias("level")), links, False
+    return neighbourhood(nodes, edges, best.entity_id, depth, most)
+
+
 def rename(nodes: DataFrame, edges: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
     """An entity under another name, in nodes and incident edges; fails if the name is taken or the entity isn't there."""
     taken = {r.entity_id for r in nodes.where(F.col("entity_id").isin(old, new)).select("entity_id").collect()}

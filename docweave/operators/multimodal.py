@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,22 @@ def described(kind: Column, path: Column, captions: Column, footnotes: Column, b
     return F.when(kind == "image", image).when(kind == "table", table).when(kind == "equation", equation).otherwise(other)
 
 
+def described_by(models: dict[str, Callable[[str], str]], content: Column, kind: Column | None = None) -> Column:
+    """What the model of a block's kind answers about its content; kinds without one have that of `generic`, if there is one."""
+    kind = F.col("type") if kind is None else kind
+
+    def asked(model: Callable[[str], str]):
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(model, na_action="ignore")
+
+        return F.pandas_udf(run, "string")
+
+    out = F.lit(None).cast("string")
+    if "generic" in models:
+        out = asked(models["generic"])(F.when(~kind.isin(*(k for k in models if k != "generic")), content))
+    return F.coalesce(*(asked(m)(F.when(kind == k, content)) for k, m in models.items() if k != "generic"), out)
+
+
 def modal_chunks(blocks: DataFrame, describe: Column) -> DataFrame:
     """Blocks (file_path, position, type, ...) as chunks: content by template, ids, order from 0 in their file, and their entity.
 

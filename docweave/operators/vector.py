@@ -53,6 +53,32 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     return each.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("query")
 
 
+def inverted_lists(vectors: DataFrame, lists: int, sample: int = 10_000, seed: int = 7, row_id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, list[list[float]]]:
+    """Vectors with `list_no`, that of the nearest of `lists` centres, and the centres.
+
+    Centres are those of a k-means over a bounded sample of unit vectors (the first `sample` by a hash of their id); every
+    row is in a list. Null and zero vectors are left out, as nothing is similar to them.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = vectors.withColumn("__n", norm(F.col(vector))).where("__n > 0").withColumn("__u", F.transform(vector, lambda x: x.cast("double") / F.col("__n")))
+    some = unit.orderBy(F.xxhash64(row_id), row_id).limit(sample).select(array_to_vector("__u").alias("features"))
+    model = KMeans(k=lists, seed=seed, maxIter=10).fit(some)
+    listed = model.setPredictionCol("list_no").transform(unit.withColumn("features", array_to_vector("__u")))
+    return listed.drop("__n", "__u", "features"), [c.tolist() for c in model.clusterCenters()]
+
+
+def search_lists(listed: DataFrame, centres: list[list[float]], queries: DataFrame, k: int, probes: int, threshold: float | None = None, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """As search_many, in the `probes` lists whose centres are nearest to each query (query_id, query): approximate."""
+    near = F.array(*(F.struct(-dot(F.col("query"), F.array(*map(F.lit, c))).alias("d"), F.lit(i).alias("list_no")) for i, c in enumerate(centres)))
+    asked = queries.select("query_id", "query", F.explode(F.slice(F.array_sort(near), 1, probes)).alias("x")).select("query_id", "query", "x.list_no")
+    each = listed.join(asked, "list_no").withColumn("score", cosine(F.col(vector), F.col("query"))).where(F.col("score").isNotNull())
+    each = each if threshold is None else each.where(F.col("score") >= threshold)
+    over = Window.partitionBy("query_id").orderBy(F.desc("score"), row_id)
+    return each.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("query", "list_no")
+
+
 def pick_chunks(chunks: DataFrame, vectors: DataFrame, query: list[float], k: int, chunk: str = "chunk_id", row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k distinct chunks most similar to the query; none at all if a chunk has no vector, so that the caller falls back."""
     ids = chunks.select(F.col(chunk).alias("__id")).distinct()

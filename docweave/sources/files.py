@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -74,10 +75,15 @@ def xlsx_text(data: bytes) -> str:
     z = zipfile.ZipFile(io.BytesIO(data))
     names = z.namelist()
     strings = ["".join(t.text or "" for t in s.iter() if local_name(t) == "t") for s in part_xml(z, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
-    titles = [e.get("name") for e in part_xml(z, "xl/workbook.xml").iter() if local_name(e) == "sheet"]
-    sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+    book = "xl/_rels/workbook.xml.rels"
+    targets = {e.get("Id"): e.get("Target").lstrip("/").removeprefix("xl/") for e in part_xml(z, book)} if book in names else {}
+    numbered = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
     out = []
-    for title, name in zip(titles, sheets, strict=False):
+    for k, sheet in enumerate(e for e in part_xml(z, "xl/workbook.xml").iter() if local_name(e) == "sheet"):
+        title, to = sheet.get("name"), targets.get(next((v for a, v in sheet.attrib.items() if a.rpartition("}")[2] == "id"), None))
+        name = f"xl/{to}" if to else numbered[k] if k < len(numbered) else None
+        if name not in names:  # a chart, or a part that is lost
+            continue
         rows: dict[int, dict[int, str]] = {}
         for c in (e for e in part_xml(z, name).iter() if local_name(e) == "c"):
             letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
@@ -107,10 +113,13 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {**dict.fromkeys(TEXT_EXTENSIONS
 
 
 def find_files(spark: SparkSession, path: str, known: DataFrame | None = None, extensions: tuple[str, ...] = (*TEXT_EXTENSIONS, *OFFICE_EXTENSIONS)) -> DataFrame:
-    """Supported files below a path, contents not read, without those in known (path)."""
+    """Supported files below a path, contents not read, without those in known (path, status?): all, or those that are processed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
     files = files.where(F.lower(F.substring_index("path", ".", -1)).isin(*extensions))
-    return files if known is None else files.join(known.select("path"), "path", "left_anti")
+    if known is None:
+        return files
+    done = known.where("status = 'processed'") if "status" in known.columns else known
+    return files.join(done.select("path"), "path", "left_anti")
 
 
 def read_files(spark: SparkSession, path: str, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
@@ -135,6 +144,23 @@ def read_files(spark: SparkSession, path: str, extractors: dict[str, Callable[[b
     return files.mapInPandas(run, "path string, text string, error string")
 
 
+def parse_files(spark: SparkSession, path: str, parser: Callable[[str, bytes], list[dict]]) -> DataFrame:
+    """(path, modificationTime, json, error): each file's content list by a parser of blocks that the caller gives, in the form content lists are read in."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for p, at, data in zip(f.path, f.modificationTime, f.content, strict=True):
+                try:
+                    rows.append((f"{p}_content_list.json", at, json.dumps(parser(p, data), ensure_ascii=False), None))
+                except Exception as e:  # a broken file is a row of its own
+                    rows.append((p, at, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "modificationTime", "json", "error"])
+
+    return files.mapInPandas(run, "path string, modificationTime timestamp, json string, error string")
+
+
 def latest_output(files: DataFrame, document: str = "document") -> DataFrame:
     """Of each document's parser outputs the newest."""
     return files.groupBy(document).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))

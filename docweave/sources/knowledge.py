@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,19 @@ def read_json_kv(spark: SparkSession, path: str, value_schema: str) -> DataFrame
     return whole.select(F.explode("m").alias("id", "v")).select("id", "v.*")
 
 
+def read_vector_json(spark: SparkSession, path: str) -> DataFrame:
+    """(vec_id, embedding, row): a vector file of JSON: `data` rows with `__id__`, and `matrix`, their vectors as base64 of 32-bit floats."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "embedding_dim int, data array<map<string,string>>, matrix string").alias("m"))
+
+    @F.pandas_udf("array<array<float>>")
+    def rows(dims: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(bytes(x), "<f4").reshape(-1, d).tolist() for d, x in zip(dims, data, strict=True)])
+
+    zipped = whole.select(F.col("m.data").alias("row"), rows("m.embedding_dim", F.unbase64("m.matrix")).alias("embedding"))
+    each = zipped.select(F.explode(F.arrays_zip("row", "embedding")).alias("x"))
+    return each.select(F.col("x.row")["__id__"].alias("vec_id"), "x.embedding", "x.row")
+
+
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (entity_id, attributes) and edges (src, tgt, attributes) of a GraphML file; attributes by the names of their keys."""
     read = lambda tag: spark.read.format("xml").option("rowTag", tag)
