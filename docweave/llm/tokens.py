@@ -13,7 +13,8 @@ import unicodedata
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: The cache is emptied at so many words, which bounds a worker's memory.
+#: Words of a generation of the cache, of which there are two at most, which bounds a worker's memory: when the newer one
+#: is full the older goes, but for words that were asked for since.
 CACHE_WORDS = 250_000
 #: Words that one call encodes; bytes of text whose words are looked up at once.
 JOINED, CHUNK = 100, 1 << 19
@@ -32,6 +33,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -41,8 +43,12 @@ class Encoder:
     def learn(self, words: set[bytes]) -> None:
         """Adds words to the cache. Words of letters are encoded many at a time, and so are their stems before marks."""
         if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
+            self.cache, self.older = {}, self.cache
+            return  # what is needed of the older words is asked for again
         cache, plain, marked = self.cache, [], []
+        if known := words & self.older.keys():
+            cache.update((w, self.older[w]) for w in known)
+            words = words - known
         for w in words:
             if w.isalpha() or letters(w):
                 plain.append(w)
