@@ -41,6 +41,8 @@ W = LENGTH - K + 1
 STEP, GROUP_ROWS, GROUP_BYTES, BUCKET_ANCHORS, BUCKET_BYTES = 1 << 18, 1000, 8 << 20, 1 << 20, 4 << 20
 #: Documents (by estimate, at most twice as many) from which an anchor's windows are dealt by themselves.
 HOT = 8192
+#: Tasks that buckets are dealt over, up to which there are as many as buckets.
+TASKS = 4096
 #: Kinds of what goes along with a group's rows: copies, anchors that recur, intervals, hot anchors, hot windows.
 COPY, ANCHORS, SPANS, HOT_ANCHORS, HOT_WINDOWS = range(5)
 _LOW = _U((1 << 24) - 1)
@@ -508,7 +510,9 @@ def spans_of(docs: DataFrame, extra: list[str], cut, schema):
     two = one.groupBy("bucket").applyInArrow(tidy(lambda t: recurring(t, hot)), "run int, kind int, data binary")
     asked = side.unionByName(two.select(F.col("run").alias("group"), "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), "data"))
     three = by_group.cogroup(asked.groupBy("group")).applyInArrow(tidy2(lambda t, s: suffix_runs(t, s, shift, spread)), SUFFIX_SCHEMA)
-    four = three.groupBy("bucket").applyInArrow(tidy(covered), "group int, kind int, data binary")
+    # A task for each few buckets: so many partitions that buckets don't pile up in one of them.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << spread, TASKS))
+    four = three.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(tidy(covered), "group int, kind int, data binary")
     told = side.unionByName(four.select("group", "kind", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_hash"), "data"))
 
     def last(table: pa.Table, side: pa.Table) -> pa.Table:
