@@ -34,6 +34,8 @@ _U = np.uint64
 #: Bytes of variant keys that a run makes, and variants that meet in a bucket, about. Both are large, as a run sends a
 #: row to each bucket.
 RUN_BYTES, BUCKET_KEYS = 24 << 20, 3 << 20
+#: Runs that there are at least, if there is something for each, so that all cores have work.
+SPREAD = 32
 STEP = 1 << 15
 #: Texts of a family that are compared in one task, and shingles that are counted at a time there.
 BLOCK, COLUMNS = 512, 2048
@@ -285,7 +287,7 @@ def links(distinct: DataFrame, ball: Ball) -> DataFrame:
     total = max(1, n * ball.variants)
     bits = min(64, total.bit_length() + 7)
     per_run = max(1, RUN_BYTES // (8 * ball.variants))
-    run_count = -(-n // per_run) or 1
+    run_count = max(-(-n // per_run), min(SPREAD, n // BLOCK)) or 1
     few = max(0, (total // BUCKET_KEYS).bit_length())
     shift = _U(64 - bits)
 
