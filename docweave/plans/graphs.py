@@ -119,7 +119,7 @@ SELECT entity_id, CASE WHEN low = 'er' THEN 1000 WHEN starts_with(low, 'er') THE
 FROM s ORDER BY score DESC, entity_id LIMIT 50""")
 def kg_search_labels(spark, sf):
     """Labels of parts and suppliers that hold a string, best first."""
-    return graph.search_labels(_labels(spark, sf), "er").withColumn("score", F.col("score").cast("int"))
+    return graph.search_labels(_labels(spark, sf), "er").withColumn("score", F.col("score").cast("long"))
 
 
 def _labels(spark, sf):

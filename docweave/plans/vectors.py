@@ -66,15 +66,15 @@ def vectors_by_ids(spark, sf):
 
 
 @query(f"""
-WITH v AS (SELECT vec_id, {_D} AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id < 5),
+WITH v AS (SELECT vec_id, {_D} AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_dot_product(e, qe) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(qe, qe))) AS score FROM v, q),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score >= 0.2)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
 def vector_search_many(spark, sf):
-    """The five rows most similar to each of a few queries."""
+    """The twenty rows most similar to each of many queries, at least by 0.2."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vector.search_many(e, q, 5).select("query_id", "vec_id", "rank")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.search_many(e, q, 20, 0.2).select("query_id", "vec_id", "rank")
 
 
 @query(f"""
