@@ -101,7 +101,8 @@ def anchored(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     keep = inside[first]
     first, last = first[keep], last[keep]
     anchor = at[first]
-    return first, last, anchor, h[anchor], np.searchsorted(starts, first, "right") - 1, buffer
+    # An anchor's hash is the least of many; mixed anew, hashes are spread evenly over buckets.
+    return first, last, anchor, mix(h[anchor]), np.searchsorted(starts, first, "right") - 1, buffer
 
 
 def in_parts(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
