@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
-from docweave.operators import chunking, evaluation, multimodal, tables
+from docweave.operators import chunking, evaluation, multimodal, ranking, tables
 
 from .base import registry, spread, table
 
@@ -112,7 +111,7 @@ def chunk_overlap_stats(spark, sf):
 
 def _strategy(name):
     def run(spark, sf):
-        docs = table(spark, sf, "documents").repartition("doc_id")
+        docs = spread(table(spark, sf, "documents"))
         c = chunking.exploded(docs, chunking.chunk_udf(name, 400, 60)(F.col("text")), "doc_id")
         return c.select("doc_id", "chunk_order_index", "tokens", F.md5("content").alias("digest"))
 
@@ -284,5 +283,5 @@ WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER B
 SELECT doc_id, source || '_' || lpad(CAST(n AS VARCHAR), 6, '0') AS file_name FROM p""")
 def unique_file_names(spark, sf):
     """Names made unique by a number in the order of ids."""
-    over = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("_"), F.lpad(F.row_number().over(over).cast("string"), 6, "0")).alias("file_name"))
+    d = ranking.numbered_in(table(spark, sf, "documents").select("doc_id", "source"), ["source"], [F.col("doc_id")], "n")
+    return d.select("doc_id", F.concat("source", F.lit("_"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("file_name"))

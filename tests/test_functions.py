@@ -448,3 +448,12 @@ def test_merges_cut_before_values_meet(spark):
     e = spark.createDataFrame([("b", "a", 2.0, "x, y", "d", "c1", "f", 0, 1)], "src string, tgt string, weight double, keywords string, description string, source_id string, file_path string, ts long, seq long")
     again = graph.merge_edges(e.withColumn("keywords", F.lit("z")).withColumn("source_id", F.lit("c2")), graph.merge_edges(e)).first()
     assert (again.src, again.weight, again.keywords, again.source_ids) == ("a", 4.0, "x,y,z", ["c1", "c2"])
+
+
+def test_ranks_in_large_groups(spark):
+    from docweave.operators import ranking
+
+    rows = [("a" if i % 3 else None if i % 2 else "b", i * 7 % 600) for i in range(600)]
+    got = ranking.numbered_in(spark.createDataFrame(rows, "s string, k int"), ["s"], [F.col("k")], "n").collect()
+    for s in ("a", "b", None):
+        assert [r.n for r in sorted((r for r in got if r.s == s), key=lambda r: r.k)] == list(range(1, sum(x == s for x, _ in rows) + 1))
