@@ -120,7 +120,8 @@ def mix_documents(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = S
     """docs with every row as often as the mixture draws it, all columns kept.
 
     A pass that the budget cuts short is a prefix of its source's permutation, so the last key drawn in each source and
-    pass says which rows it has: texts are not shuffled.
+    pass says which rows it has: texts are not shuffled. Rows of one doc_id, or without one, have one key in a source, so
+    all of them are drawn with the last. Null texts count one token, an empty table gives no rows.
     """
     names = docs.columns
     small = written(docs.select("doc_id", "source", tokens_of().alias("tokens")))

@@ -183,7 +183,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
 
 def scored(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs (of docs.columns) and score as `__score`, from whole texts alone; 0.5 without a model."""
+    """The columns `keep` of docs (of docs.columns) and score as `__score`, from whole texts alone; 0.5 without a model.
+
+    A column of docs named __score or __text is overwritten or left out.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     own = keep.index("text") if "text" in keep else None

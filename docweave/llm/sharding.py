@@ -18,6 +18,7 @@ def interleave(df: DataFrame, stratum: str, row_id: str, shards: int, seed: int
     Two shuffles of the given columns; both ranks go through buckets of about 256 rows, so neither a hot stratum nor
     the global order meets in one task. A null stratum is a stratum of its own, null ids share one key. Rows with equal
     id are ordered by `ties`; rows equal in all of these are interchangeable. An empty table gives an empty table.
+    Columns of df named shard or slot, or one of the helpers __s, __k, __r, __n, __b, __f, __c, __g, are overwritten.
     """
     rows = df.count()
     buckets = bucket_count(rows)
