@@ -65,4 +65,11 @@ def gleaned(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     return first.join(chosen.where(~F.col("later")).drop("later"), keys).unionByName(second.join(chosen.where("later").drop("later"), keys))
 
 
-__all__ = ["entities", "gleaned", "path_reason", "quality_reason", "record_fields", "records", "relations"]
+def best_answers(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of a key's records from several answers of one chunk, those of the answer whose first description is longest, the earliest of those tied."""
+    lead = df.groupBy(*keys, order).agg(F.min_by(F.length("description"), "record_order").alias("__size"))
+    chosen = lead.groupBy(*keys).agg(F.max_by(order, F.struct("__size", -F.col(order))).alias(order))
+    return df.join(chosen, [*keys, order], "left_semi")
+
+
+__all__ = ["best_answers", "entities", "gleaned", "path_reason", "quality_reason", "record_fields", "records", "relations"]

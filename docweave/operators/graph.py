@@ -57,22 +57,6 @@ def edge_degrees(edges: DataFrame) -> DataFrame:
     return edges.join(a, "src", "left").join(b, "tgt", "left").withColumn("degree", F.coalesce("__a", F.lit(0)) + F.coalesce("__b", F.lit(0))).drop("__a", "__b")
 
 
-def _first_values(records: DataFrame, keys: list[str], value: str, limit: int, method: str, out: str, known: DataFrame | None = None) -> DataFrame:
-    """The distinct values of each key in the order they are first seen, cut to `limit` before they meet; and their number.
-
-    The newest are kept (FIFO) or the oldest. known: (keys, value), values that are there already and don't count.
-    """
-    first = records.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys, value).agg(F.min("seq").alias("seq"))
-    if known is not None:
-        first = first.join(known, [*keys, value], "left_anti")
-    counts = first.groupBy(*keys).agg(F.count("*").alias(f"__n_{out}"))
-    order = F.col("seq").asc() if method.upper() == "KEEP" else F.col("seq").desc()
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, value))
-    kept = first.withColumn("__r", rank).where(F.col("__r") <= limit)
-    lists = kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", value))), lambda x: x[value]).alias(out))
-    return counts.join(lists, keys)
-
-
 def described(records: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct descriptions of each key, a row each: by time, then longest first, then as seen (`position` from 1)."""
     first = records.groupBy(*keys, "description").agg(F.min(F.struct("seq", "ts")).alias("x")).select(*keys, "description", "x.ts", "x.seq")
@@ -80,25 +64,47 @@ def described(records: DataFrame, keys: list[str]) -> DataFrame:
     return first.withColumn("position", F.row_number().over(over)).select(*keys, "description", "position")
 
 
-def _merged_lists(records: DataFrame, keys: list[str], existing: DataFrame | None, limit: int, method: str) -> DataFrame:
-    """source_ids, file_paths and descriptions of each key, those of `existing` first, up to the limits."""
-    none = F.array().cast("array<string>")
-    out = records.select(*keys).distinct() if existing is None else records.select(*keys).unionByName(existing.select(*keys)).distinct()
-    for value, name, most in (("source_id", "source_ids", limit), ("file_path", "file_paths", MAX_FILE_PATHS)):
-        known = existing and existing.select(*keys, F.explode(name).alias(value))
-        out = out.join(_first_values(records, keys, value, max(most, 0), method, name, known), keys, "left")
-    texts = described(records, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "description"))), lambda x: x["description"]).alias("descriptions"))
-    out = out.join(texts, keys, "left")
+def _merged(records: DataFrame, keys: list[str], existing: DataFrame | None, limit: int, method: str, own: str) -> DataFrame:
+    """source_ids, file_paths and descriptions of each key, those of `existing` first, up to the limits, and what `own` makes.
+
+    own: `entity_type`, whose most frequent value is taken, or `keywords`, whose words are, and weights added up. Records
+    are told apart into values of four kinds; each value of a key is counted once for all, sources and paths are cut
+    before they meet, and one aggregate by key puts the kinds together.
+    """
+    none, weighted = F.array().cast("array<string>"), own == "keywords"
+    weight = F.col("weight") if weighted else F.lit(None).cast("double")
+    kinds = {"source": "source_id", "path": "file_path", "text": "description", "own": own}
+    listed = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()))).alias("x")
+    rows = records.select(*keys, "seq", "ts", F.lit(0).alias("late"), weight.alias("weight"), listed).select(*keys, "x.kind", "x.value", "late", "seq", "ts", "weight")
+    if existing is not None:
+        seq, ts = (F.lit(None).cast(records.schema[c].dataType).alias(c) for c in ("seq", "ts"))
+        rows = rows.unionByName(existing.select(*keys, F.lit("own").alias("kind"), F.col(own).alias("value"), F.lit(1).alias("late"), seq, ts, weight.alias("weight")))
+    short = F.col("kind").isin("source", "path")
+    first = rows.where(~short | (F.col("value") != "")).groupBy(*keys, "kind", "value").agg(F.min(F.struct("late", "seq", "ts")).alias("f"), F.count("*").alias("n"), F.sum("weight").alias("w"))
+    cut = first.where(short)
+    if existing is not None:  # values that are there already don't count
+        known = existing.select(*keys, F.explode(F.array(F.struct(F.lit("source").alias("kind"), F.col("source_ids").alias("v")), F.struct(F.lit("path").alias("kind"), F.col("file_paths").alias("v")))).alias("x"))
+        cut = cut.join(known.select(*keys, "x.kind", F.explode("x.v").alias("value")), [*keys, "kind", "value"], "left_anti")
+    order = F.col("f.seq").asc() if method.upper() == "KEEP" else F.col("f.seq").desc()
+    rank = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(order, "value"))
+    cut = cut.withColumn("rank", rank).where(F.col("rank") <= max(limit, MAX_FILE_PATHS + 1, 0))
+    every = cut.unionByName(first.where(~short).withColumn("rank", F.lit(0)))
+    seen = lambda kind, most: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & (F.col("rank") <= most), F.struct("f.seq", "value")))), lambda x: x["value"])
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("f.ts", (-F.length("value")).alias("size"), "f.seq", "value")))), lambda x: x["value"])
+    mine = F.col("kind") == "own"
+    made = [F.min_by(F.when(mine, F.col("value")), F.when(mine, F.struct(-F.col("n"), "f.late", "f.seq"))).alias(own)]
+    if weighted:
+        made = [F.sum(F.when(mine, F.col("w"))).alias("weight"), F.array_join(keyword_tokens(F.collect_set(F.when(mine, F.col("value")))), ",").alias("keywords")]
+    out = every.groupBy(*keys).agg(seen("source", limit).alias("source_ids"), seen("path", MAX_FILE_PATHS).alias("file_paths"), F.count_if(F.col("kind") == "path").alias("__paths"), texts.alias("descriptions"), *made)
     if existing is not None:
         out = out.join(existing.select(*keys, F.col("source_ids").alias("__s"), F.col("file_paths").alias("__p"), F.col("descriptions").alias("__d")), keys, "left")
-        for old, new in (("__s", "source_ids"), ("__p", "file_paths")):
-            out = out.withColumn(new, F.array_distinct(F.concat(F.coalesce(old, none), F.coalesce(new, none)))).withColumn(f"__n_{new}", F.coalesce(f"__n_{new}", F.lit(0)) + F.size(F.coalesce(old, none)))
-        out = out.withColumn("descriptions", F.concat(F.coalesce("__d", none), F.coalesce("descriptions", none))).drop("__s", "__p", "__d")
-    out = out.withColumn("source_ids", limit_ids(F.coalesce("source_ids", none), limit, method))
-    paths = limit_ids(F.coalesce("file_paths", none), MAX_FILE_PATHS, method)
-    more = F.coalesce("__n_file_paths", F.lit(0)) > MAX_FILE_PATHS
-    out = out.withColumn("file_paths", F.when(more, F.concat(paths, F.array(F.lit(truncation_mark(method))))).otherwise(paths))
-    return out.withColumn("descriptions", F.coalesce("descriptions", none)).drop("__n_source_ids", "__n_file_paths")
+        out = out.withColumn("__paths", F.col("__paths") + F.size(F.coalesce("__p", none)))
+        for old, c in (("__s", "source_ids"), ("__p", "file_paths")):
+            out = out.withColumn(c, F.array_distinct(F.concat(F.coalesce(old, none), c)))
+        out = out.withColumn("descriptions", F.concat(F.coalesce("__d", none), "descriptions")).drop("__s", "__p", "__d")
+    paths = limit_ids(F.col("file_paths"), MAX_FILE_PATHS, method)
+    marked = F.when(F.col("__paths") > MAX_FILE_PATHS, F.concat(paths, F.array(F.lit(truncation_mark(method))))).otherwise(paths)
+    return out.withColumns({"source_ids": limit_ids(F.col("source_ids"), limit, method), "file_paths": marked}).drop("__paths")
 
 
 def merge_nodes(records: DataFrame, existing: DataFrame | None = None, limit: int = MAX_SOURCE_IDS, method: str = "FIFO", by: str = "entity_id") -> DataFrame:
@@ -108,12 +114,8 @@ def merge_nodes(records: DataFrame, existing: DataFrame | None = None, limit: in
     type is the most frequent, of those tied the first seen; an existing node's type counts as seen after the new ones.
     New descriptions, each once, by time and then longest first, come after the existing ones, which stay as they are.
     """
-    types = records.select(by, "entity_type", F.lit(0).alias("__late"), F.col("seq").alias("__o"))
-    if existing is not None:
-        types = types.unionByName(existing.select(by, "entity_type", F.lit(1).alias("__late"), F.lit(None).cast(records.schema["seq"].dataType).alias("__o")))
-    types = types.groupBy(by, "entity_type").agg(F.count("*").alias("__n"), F.min(F.struct("__late", "__o")).alias("__f"))
-    types = types.groupBy(by).agg(F.min_by("entity_type", F.struct(-F.col("__n"), "__f")).alias("entity_type"))
-    return _merged_lists(records, [by], existing, limit, method).join(types, by)
+    out = _merged(records, [by], existing, limit, method, "entity_type")
+    return out.select(by, "source_ids", "file_paths", "descriptions", "entity_type")
 
 
 def keyword_tokens(keywords: Column) -> Column:
@@ -127,13 +129,8 @@ def merge_edges(records: DataFrame, existing: DataFrame | None = None, limit: in
 
     Weights add up, also to that of an existing edge; keywords are the sorted words of all. Lists as in merge_nodes.
     """
-    r = canonical(records)
-    sums = r.select("src", "tgt", "weight", "keywords")
-    if existing is not None:
-        existing = canonical(existing)
-        sums = sums.unionByName(existing.select("src", "tgt", "weight", "keywords"))
-    words = sums.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.array_join(keyword_tokens(F.collect_set("keywords")), ",").alias("keywords"))
-    return words.join(_merged_lists(r, ["src", "tgt"], existing, limit, method), ["src", "tgt"])
+    out = _merged(canonical(records), ["src", "tgt"], existing and canonical(existing), limit, method, "keywords")
+    return out.select("src", "tgt", "weight", "keywords", "source_ids", "file_paths", "descriptions")
 
 
 def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
