@@ -347,7 +347,7 @@ def metrics(nodes: DataFrame, edges: DataFrame, with_diameter: bool = True) -> D
 
     Means of component sizes leave isolated nodes out; the trimmed one the least and the greatest size too. The mean
     clustering is over nodes of two edges or more. The diameter of a graph of several components is infinite; of a
-    connected one it takes nodes * nodes / 64 rows, so it can be left out (null).
+    connected one takes several searches, so it can be left out (null).
     Triangles are counted over edges directed from the lower degree to the higher, which bounds what a hub gives rise to.
     """
     e = written(canonical(edges.select("src", "tgt")).distinct())
@@ -386,20 +386,127 @@ def metrics(nodes: DataFrame, edges: DataFrame, with_diameter: bool = True) -> D
     return row.withColumn("density", F.when(n > 1, 2 * F.col("num_edges") / (n * (n - 1))).otherwise(0.0)).withColumn("diameter", far)
 
 
-def diameter(edges: DataFrame) -> int:
-    """The longest of the shortest paths of a connected graph, by a search from all nodes at once, 64 of them in the bits of a number."""
+def _linked(edges: DataFrame) -> DataFrame:
+    """(u, v): edges both ways between numbers of their nodes, from 1."""
     around = both_ways(edges.select("src", "tgt").distinct())
-    names = written(numbered(around.select("entity_id").distinct(), [F.col("entity_id")], "n"))
-    link = written(around.join(names.select("entity_id", F.col("n").alias("u")), "entity_id").join(names.select(F.col("entity_id").alias("other"), F.col("n").alias("v")), "other").select("u", "v"))
-    at = F.col("n") - 1
-    seen = written(names.select(F.col("n").alias("v"), F.floor(at / 64).alias("part"), F.expr("shiftleft(1L, cast((n - 1) % 64 as int))").alias("bits")))
-    steps = 0
+    names = written(numbered(around.select("entity_id").distinct(), [F.col("entity_id")], "n", kind="long"))
+    return written(around.join(names.select("entity_id", F.col("n").alias("u")), "entity_id").join(names.select(F.col("entity_id").alias("other"), F.col("n").alias("v")), "other").select("u", "v"))
+
+
+def _distances(link: DataFrame, start: int) -> DataFrame:
+    """(v, level) from one node, a level at a time; only the newest level is joined."""
+    seen = frontier = written(link.where(F.col("u") == start).select(F.col("u").alias("v"), F.lit(0).alias("level")).limit(1))
+    step = 0
     while True:
-        moved = seen.withColumnRenamed("v", "u").join(link, "u").groupBy("part", "v").agg(F.bit_or("bits").alias("more"))
-        joined = written(seen.join(moved, ["part", "v"], "full").select("part", "v", F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce("more", F.lit(0)).alias("more")))
-        if not joined.where("more & ~bits <> 0").limit(1).count():
+        step += 1
+        found = link.join(frontier.select(F.col("v").alias("u")), "u", "left_semi").select("v").distinct().join(seen.select("v"), "v", "left_anti")
+        frontier = written(found.withColumn("level", F.lit(step)))
+        if not frontier.limit(1).count():
+            return seen
+        seen = written(seen.unionByName(frontier))
+
+
+def _eccentricity(link: DataFrame, sources: DataFrame) -> int:
+    """The greatest distance of any node from any of the sources (v): searches from all at once, 64 of them in the bits of a number."""
+    at = F.col("__n") - 1
+    seen = written(numbered(sources, [F.col("v")], "__n", kind="long").select("v", F.floor(at / 64).alias("part"), F.expr("shiftleft(1L, cast((__n - 1) % 64 as int))").alias("bits")))
+    fresh, steps = seen, 0
+    while True:
+        moved = fresh.withColumnRenamed("v", "u").join(link, "u").groupBy("part", "v").agg(F.bit_or("bits").alias("more"))
+        joined = moved.join(seen, ["part", "v"], "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
+        fresh = written(joined.select("part", "v", F.col("more").bitwiseAND(F.bitwise_not("bits")).alias("bits")).where("bits <> 0"))
+        if not fresh.limit(1).count():
             return steps
-        seen, steps = joined.select("part", "v", F.col("bits").bitwiseOR(F.col("more")).alias("bits")), steps + 1
+        seen, steps = written(seen.unionByName(fresh).groupBy("part", "v").agg(F.bit_or("bits").alias("bits"))), steps + 1
+
+
+def diameter(edges: DataFrame, sources: int = 4096) -> int:
+    """The longest of the shortest paths of a connected graph, exact, by a few searches (iFUB; Crescenzi et al., 2013).
+
+    Two searches find a long path, whose length is a lower bound, and a node in its middle. Nodes at most i steps from
+    there are at most 2 i from each other, so levels are taken from the outside in, `sources` nodes at a time, until the
+    longest path found is as long as those within the next level can be.
+    """
+    link = _linked(edges)
+    first = link.agg(F.min("u")).first()[0]
+    if first is None:
+        return 0
+    end = _distances(link, first).orderBy(F.desc("level"), "v").first().v
+    one = _distances(link, end)
+    other = one.orderBy(F.desc("level"), "v").first()
+    two, best = _distances(link, other.v).withColumnRenamed("level", "back"), other.level
+    half = one.join(two, "v").where((F.col("level") + F.col("back") == best) & (F.col("level") == best // 2)).agg(F.min("v")).first()[0]
+    levels = _distances(link, half)
+    counts = {r.level: r.n for r in levels.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row a level
+    for i in range(max(counts), 0, -1):
+        parts = -(-counts[i] // sources)
+        dealt = written(levels.where(F.col("level") == i).select("v", F.pmod(F.xxhash64("v"), F.lit(parts)).alias("part")))
+        for part in range(parts):
+            if best >= 2 * i:
+                return best
+            best = max(best, _eccentricity(link, dealt.where(F.col("part") == part).select("v")))
+        if best >= 2 * (i - 1):
+            return best
+    return best
+
+
+#: The measures of many graphs, all numbers.
+MEASURES = ("num_nodes", "num_edges", "average_degree", "density", "average_clustering", "isolated", "num_components", "giant_size", "mean_size", "diameter")
+
+
+def many_metrics(nodes: DataFrame, edges: DataFrame, graph: str = "graph") -> DataFrame:
+    """A row of MEASURES for each of many graphs (nodes: graph, entity_id; edges: graph, src, tgt), and `error`, all in one job.
+
+    Components, triangles and searches go by (graph, node), so graphs of any number and size lie side by side. A graph
+    that has an edge with a null or unknown end has no measures but what is wrong with it. The diameter of a graph of
+    several components is infinite; that of a connected one takes nodes * nodes / 64 rows, so graphs with more than a few
+    thousand nodes are for metrics(). Others as in metrics().
+    """
+    n0 = nodes.select(graph, "entity_id").distinct()
+    ends = edges.select(graph, F.explode(F.array("src", "tgt")).alias("entity_id")).distinct()
+    known = n0.withColumn("__known", F.lit(True))
+    loose = ends.join(known, [graph, "entity_id"], "left").where("__known is null").groupBy(graph).agg(F.count_if(F.col("entity_id").isNull()).alias("__null"), F.min("entity_id").alias("__least"))
+    wrong = written(loose.select(graph, F.when(F.col("__null") > 0, "an edge has no end").otherwise(F.concat(F.lit("an edge ends in no node: "), "__least")).alias("error")))
+    n = n0.where("entity_id is not null").join(wrong.select(graph), graph, "left_anti")
+    e = written(canonical(edges.select(graph, "src", "tgt")).join(wrong.select(graph), graph, "left_anti").distinct())
+    both = e.select(graph, F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("tgt").alias("b")), F.struct(F.col("tgt").alias("a"), F.col("src").alias("b")))).alias("x")).select(graph, F.col("x.a").alias("entity_id"), F.col("x.b").alias("other"))
+    d = n.join(both.groupBy(graph, "entity_id").agg(F.count("*").alias("degree")), [graph, "entity_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    d = written(d.withColumn("id", F.row_number().over(Window.partitionBy(graph).orderBy("entity_id")) - 1).withColumn("node", F.xxhash64(graph, "entity_id")))
+    # Triangles over edges directed to the higher degree.
+    a, b = (d.select(graph, F.col("entity_id").alias(c), F.struct("degree", "entity_id").alias(f"d{c}")) for c in ("src", "tgt"))
+    forward = F.col("dsrc") < F.col("dtgt")
+    directed = e.join(a, [graph, "src"]).join(b, [graph, "tgt"]).select(graph, F.when(forward, F.col("src")).otherwise(F.col("tgt")).alias("x"), F.when(forward, F.col("tgt")).otherwise(F.col("src")).alias("y"))
+    closed = directed.join(directed.withColumnRenamed("y", "z"), [graph, "x"]).where("y < z").join(e.withColumnsRenamed({"src": "y", "tgt": "z"}), [graph, "y", "z"])
+    triangles = closed.select(graph, F.explode(F.array("x", "y", "z")).alias("entity_id")).groupBy(graph, "entity_id").agg(F.count("*").alias("triangles"))
+    wedges = F.col("degree") * (F.col("degree") - 1)
+    local = d.join(triangles, [graph, "entity_id"], "left").withColumn("local", F.when(F.col("degree") > 1, 2 * F.coalesce("triangles", F.lit(0)) / wedges))
+    by_node = local.groupBy(graph).agg(F.count("*").alias("num_nodes"), (F.sum("degree") / 2).cast("long").alias("num_edges"), F.avg("degree").alias("average_degree"), F.avg("local").alias("average_clustering"), F.count_if(F.col("degree") == 0).alias("isolated"))
+    root = components(e.select(F.xxhash64(graph, "src").alias("a"), F.xxhash64(graph, "tgt").alias("b")))
+    sizes = d.join(root, "node", "left").groupBy(graph, F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("size"))
+    by_size = written(sizes.groupBy(graph).agg(F.count("*").alias("num_components"), F.max("size").alias("giant_size"), F.coalesce(F.avg(F.when(F.col("size") > 1, F.col("size"))), F.lit(0.0)).alias("mean_size")))
+    far = _diameters(d, both, by_size.where("num_components = 1").select(graph), graph)
+    out = by_node.join(by_size, graph).join(far, graph, "left")
+    out = out.withColumn("density", F.when(F.col("num_nodes") > 1, 2 * F.col("num_edges") / (F.col("num_nodes") * (F.col("num_nodes") - 1))).otherwise(0.0))
+    out = out.withColumn("diameter", F.when(F.col("num_components") > 1, float("inf")).otherwise(F.coalesce("diameter", F.lit(0)).cast("double")))
+    return out.select(graph, *MEASURES, F.lit(None).cast("string").alias("error")).unionByName(wrong, allowMissingColumns=True)
+
+
+def _diameters(nodes: DataFrame, both: DataFrame, connected: DataFrame, graph: str) -> DataFrame:
+    """(graph, diameter) of connected graphs of two nodes or more: nodes (graph, entity_id, id), both (graph, entity_id, other)."""
+    n = nodes.join(connected, graph, "left_semi").select(graph, "entity_id", "id")
+    link = written(both.join(n.select(graph, "entity_id", F.col("id").alias("u")), [graph, "entity_id"]).join(n.select(graph, F.col("entity_id").alias("other"), F.col("id").alias("v")), [graph, "other"]).select(graph, "u", "v"))
+    seen = written(n.select(graph, F.col("id").alias("v"), F.floor(F.col("id") / 64).alias("part"), F.expr("shiftleft(1L, cast(id % 64 as int))").alias("bits")))
+    fresh, far, step, keys = seen, None, 0, [graph, "part", "v"]
+    while True:
+        step += 1
+        moved = fresh.withColumnRenamed("v", "u").join(link, [graph, "u"]).groupBy(*keys).agg(F.bit_or("bits").alias("more"))
+        joined = moved.join(seen, keys, "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
+        fresh = written(joined.select(*keys, F.col("more").bitwiseAND(F.bitwise_not("bits")).alias("bits")).where("bits <> 0"))
+        alive = written(fresh.select(graph).distinct().withColumn("diameter", F.lit(step)))
+        if not alive.limit(1).count():
+            return far if far is not None else alive
+        far = alive if far is None else written(far.unionByName(alive).groupBy(graph).agg(F.max("diameter").alias("diameter")))
+        seen = written(seen.unionByName(fresh).groupBy(*keys).agg(F.bit_or("bits").alias("bits")))
 
 
 def mean_metrics(measures: DataFrame, columns: list[str]) -> DataFrame:

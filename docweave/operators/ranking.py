@@ -25,16 +25,16 @@ def running(df: DataFrame, value: Column, order: list[Column], out: str, by: Seq
     return ranged.join(F.broadcast(sums), "__part").withColumn(out, F.col("__base") + inside).drop("__v", "__part", "__base")
 
 
-def numbered(df: DataFrame, order: list[Column], out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Adds the rank from 1 in the given order, in each group of `by`."""
+def numbered(df: DataFrame, order: list[Column], out: str, by: Sequence[str] = (), kind: str = "int") -> DataFrame:
+    """Adds the rank from 1 in the given order, in each group of `by`. Ranks over tables of any size are longs (kind)."""
     if by:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return running(df, F.lit(1), order, out).withColumn(out, F.col(out).cast("int"))
+    return running(df, F.lit(1).cast("long"), order, out).withColumn(out, F.col(out).cast(kind))
 
 
 def numbered_in(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:
     """As numbered, where a group of `by` may hold a third of all rows: ranks over all rows less those of the groups before."""
-    every = written(numbered(df, [*map(F.col, by), *order], "__g"))
+    every = written(numbered(df, [*map(F.col, by), *order], "__g", kind="long"))
     first = every.groupBy(*(F.col(c).alias(f"__by{i}") for i, c in enumerate(by))).agg(F.min("__g").alias("__first"))
     joined = every.join(first, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)])
     return joined.select(*df.columns, (F.col("__g") - F.col("__first") + 1).alias(out))
