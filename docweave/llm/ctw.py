@@ -39,7 +39,7 @@ WORDS, GRAMS, TOP = 0, 1, 2
 COUNT_STEP, SCORE_STEP, GROUP_ROWS, GROUP_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20, 4000, 16 << 20, 16 << 20
 #: A context is split if it has so many times a bucket's even share, but not for a smaller share of all bytes than SHARE;
 #: documents of the sample that tells, about.
-UNEVEN, SHARE, SAMPLE = 4, 1 / 2048, 4096
+UNEVEN, SHARE, SAMPLE = 4, 1 / 8192, 4096
 HALF = np.log(0.5)
 
 

@@ -4,7 +4,7 @@ A document is a bag of passages of PASSAGE bytes. Each passage is encoded as a v
 under a square root, and shares of character classes. A learned layer maps it to h; gated attention
 a = softmax(w . (tanh(V h) * sigmoid(U h))) weighs the passages, z = sum a h is the document, and the score is
 sigmoid(c . z + b). All weights are learned from document labels by Adam on a bounded, documented sample of labelled
-rows (SAMPLE of each class). In learning as in scoring a document has all its passages, however many: attention sums
+rows (SAMPLE of each class, SAMPLE_BYTES of text). In learning as in scoring a document has all its passages, however many: attention sums
 over PART passages at a time, so memory does not grow with a text's length.
 """
 
@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes, trim
+from .common import small_batches, text_bytes, trim, written
 
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 512, 512, 32, 16
 SAMPLE, EPOCHS, BATCH, RATE, DECAY, SEED = 2000, 12, 64, 4e-3, 1e-4, 7
+#: Bytes of texts that are learned from, of each class.
+SAMPLE_BYTES = 64 << 20
 THRESHOLD, HELD_OUT = 0.7, 2
 #: Passages that are in memory at once, and bytes of encoded passages of the sample that learning keeps from epoch to epoch.
 PART, KEPT_BYTES = 2048, 256 << 20
@@ -163,10 +165,11 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == HELD_OUT
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model from labelled rows that are not held out; None without any label.
 
-    Of each class at most `sample` rows are taken, those first by md5 of doc_id. A doc_id labelled more than once has
+    Of each class at most `sample` rows are taken, those first by md5 of doc_id, and of these those that `sample_bytes`
+    of texts hold, in that order, so that the driver's memory is bounded too. A doc_id labelled more than once has
     the label that most of its rows give (1 at a tie); null labels and labels of no document don't count.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("__q")).where(~held_out())
@@ -177,7 +180,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         return None
     few = docs.sparkSession.createDataFrame(chosen, "__id string, __label int")  # at most 2 * sample rows
     rows = docs.select(F.col("doc_id").cast("string").alias("__id"), text_bytes().alias("__text")).join(F.broadcast(few), "__id")
-    found = rows.groupBy("__id").agg(F.max("__label").alias("label"), F.min("__text").alias("text")).collect()  # repeated ids: one bag
+    bags = written(rows.groupBy("__id").agg(F.max("__label").alias("label"), F.min("__text").alias("text")).withColumn("__o", F.md5("__id")))  # repeated ids: one bag
+    room, fit = dict.fromkeys((0, 1), sample_bytes), []
+    for r in bags.select("__id", "label", "__o", F.length("text").alias("size")).orderBy("__o").collect():
+        if r["size"] <= room[r.label]:
+            room[r.label] -= r["size"]
+            fit.append((r["__id"],))
+    if not fit:
+        return None
+    found = bags.join(F.broadcast(docs.sparkSession.createDataFrame(fit, "__id string")), "__id").select("__id", "label", "text").collect()
     found.sort(key=lambda r: r["__id"])
     return Model.new().fit([bytes(r.text) for r in found], np.array([r.label for r in found], np.float64))
 

@@ -52,10 +52,24 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
+#: Hadoop's names of stores that the native readers know by another one.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def native_uri(uri: str) -> str:
+    """The folder's URI as native file systems read it; a plain path is a local one."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return f"file://{uri}"
+    if scheme == "file" and not rest.startswith("//"):  # Hadoop's short form
+        return f"file://{rest}"
+    return f"{SCHEMES.get(scheme, scheme)}:{rest}"
+
+
 def file_system(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    return fs.FileSystem.from_uri(native_uri(uri))
 
 
 def parts(texts: list[bytes], most: int = WRITE_BYTES) -> Iterator[slice]:

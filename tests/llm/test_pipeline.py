@@ -127,6 +127,8 @@ def test_classifier(spark, empty):
     scored = quality.scored(docs, quality.learn(docs, marks), ["doc_id"]).collect()
     held = [r for r in scored if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
     assert held and all((r["__score"] >= 0.7) == (r.doc_id % 4 != 0) for r in held)
+    few = quality.learn(docs, marks, sample_bytes=60)  # texts that fit are learned from, whole
+    assert few is not None and quality.learn(docs, marks, sample_bytes=-1) is None
     assert quality.learn(empty, marks) is None and quality.learn(docs, marks.where("false")) is None
     assert {r["__score"] for r in quality.scored(docs, None, ["doc_id"]).collect()} == {0.5}
 

@@ -55,6 +55,14 @@ def test_records_round_trip(spark, odd, odd_rows, as_table):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+def test_folders_of_stores_are_found():
+    """Names that Hadoop and the native readers have for one folder."""
+    same = {"s3a://bucket/x y/z": "s3://bucket/x y/z", "s3n://b/x": "s3://b/x", "s3://b/x": "s3://b/x", "gs://b/x": "gs://b/x", "hdfs://name:8020/x": "hdfs://name:8020/x", "file:/a/b": "file:///a/b", "file:///a/b": "file:///a/b", "/a/b:c": "file:///a/b:c"}
+    assert {k: records.native_uri(k) for k in same} == same
+    system, path = records.file_system("file:/tmp/a")
+    assert (system.type_name, path) == ("local", "/tmp/a")
+
+
 def test_index_rows_can_be_read_in_any_order(spark, odd, tmp_path):
     directory = f"file://{tmp_path}/records"
     index = records.write_records(odd, directory)
