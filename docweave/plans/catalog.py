@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, changes, documents, graphs, indexes, tables, texts, vectors
+from . import answers, changes, documents, graphs, indexes, names, tables, texts, vectors
 
-MODULES = (documents, texts, tables, graphs, vectors, answers, changes, indexes)
+MODULES = (documents, texts, tables, graphs, vectors, answers, changes, indexes, names)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
