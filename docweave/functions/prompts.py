@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -104,6 +104,21 @@ def valid_images(files: DataFrame, most_bytes: int = 50 << 20) -> DataFrame:
     return files.where(F.lower(F.substring_index("path", ".", -1)).isin(*IMAGE_EXTENSIONS) & (F.col("length") <= most_bytes))
 
 
+def document_text(spans: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """(key, text, images): spans (key, position, type, text) of documents as one text each, [imageN] where an image is, `most` characters at most.
+
+    images: the paths of the images that the text names, in order; the text of an image span is its path. What lies
+    behind the limit is cut before a document's spans meet.
+    """
+    over = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    image = F.coalesce(F.col("type") == "image", F.lit(False))
+    said = F.when(image, F.concat(F.lit("[image"), F.sum(image.cast("int")).over(over).cast("string"), F.lit("]"))).otherwise(F.coalesce("text", F.lit("")))
+    rows = spans.select(key, "position", F.when(image, F.col("text")).alias("__path"), said.alias("__said"))
+    rows = rows.withColumn("__before", F.sum(F.length("__said") + 1).over(over) - F.length("__said") - 1).where(F.col("__before") < most)
+    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "__said", F.when(F.col("__before") + F.length("__said") <= most, F.col("__path")).alias("path")))).alias("x"))
+    return lists.select(key, F.substring(F.array_join(F.transform("x", lambda x: x["__said"]), "\n"), 1, most).alias("text"), F.filter(F.transform("x", lambda x: x["path"]), lambda p: p.isNotNull()).alias("images"))
+
+
 # Answers
 
 

@@ -64,7 +64,7 @@ def described(records: DataFrame, keys: list[str]) -> DataFrame:
     return first.withColumn("position", F.row_number().over(over)).select(*keys, "description", "position")
 
 
-def _merged(records: DataFrame, keys: list[str], existing: DataFrame | None, limit: int, method: str, own: str) -> DataFrame:
+def _merged(records: DataFrame, keys: list[str], existing: DataFrame | None, limit: int, method: str, own: str, texts_too: bool = True) -> DataFrame:
     """source_ids, file_paths and descriptions of each key, those of `existing` first, up to the limits, and what `own` makes.
 
     own: `entity_type`, whose most frequent value is taken, or `keywords`, whose words are, and weights added up. Records
@@ -73,7 +73,7 @@ def _merged(records: DataFrame, keys: list[str], existing: DataFrame | None, lim
     """
     none, weighted = F.array().cast("array<string>"), own == "keywords"
     weight = F.col("weight") if weighted else F.lit(None).cast("double")
-    kinds = {"source": "source_id", "path": "file_path", "text": "description", "own": own}
+    kinds = {"source": "source_id", "path": "file_path", "own": own} | ({"text": "description"} if texts_too else {})
     listed = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()))).alias("x")
     rows = records.select(*keys, "seq", "ts", F.lit(0).alias("late"), weight.alias("weight"), listed).select(*keys, "x.kind", "x.value", "late", "seq", "ts", "weight")
     if existing is not None:
@@ -107,14 +107,15 @@ def _merged(records: DataFrame, keys: list[str], existing: DataFrame | None, lim
     return out.withColumns({"source_ids": limit_ids(F.col("source_ids"), limit, method), "file_paths": marked}).drop("__paths")
 
 
-def merge_nodes(records: DataFrame, existing: DataFrame | None = None, limit: int = MAX_SOURCE_IDS, method: str = "FIFO", by: str = "entity_id") -> DataFrame:
+def merge_nodes(records: DataFrame, existing: DataFrame | None = None, limit: int = MAX_SOURCE_IDS, method: str = "FIFO", by: str = "entity_id", texts: bool = True) -> DataFrame:
     """Extracted records (entity_id, entity_type, description, source_id, file_path, ts, seq) merged by entity.
 
     Sources and paths in order of seq, existing ones first, up to the limits, which cut before a hub's values meet. The
     type is the most frequent, of those tied the first seen; an existing node's type counts as seen after the new ones.
-    New descriptions, each once, by time and then longest first, come after the existing ones, which stay as they are.
+    New descriptions, each once, by time and then longest first, come after the existing ones, which stay as they are. A
+    hub's are as many as its records give: with texts=False they are left out, for described() and models.summarized().
     """
-    out = _merged(records, [by], existing, limit, method, "entity_type")
+    out = _merged(records, [by], existing, limit, method, "entity_type", texts)
     return out.select(by, "source_ids", "file_paths", "descriptions", "entity_type")
 
 
@@ -124,12 +125,12 @@ def keyword_tokens(keywords: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
-def merge_edges(records: DataFrame, existing: DataFrame | None = None, limit: int = MAX_SOURCE_IDS, method: str = "FIFO") -> DataFrame:
+def merge_edges(records: DataFrame, existing: DataFrame | None = None, limit: int = MAX_SOURCE_IDS, method: str = "FIFO", texts: bool = True) -> DataFrame:
     """Extracted relations (src, tgt, weight, keywords, description, source_id, file_path, ts, seq) merged by pair.
 
     Weights add up, also to that of an existing edge; keywords are the sorted words of all. Lists as in merge_nodes.
     """
-    out = _merged(canonical(records), ["src", "tgt"], existing and canonical(existing), limit, method, "keywords")
+    out = _merged(canonical(records), ["src", "tgt"], existing and canonical(existing), limit, method, "keywords", texts)
     return out.select("src", "tgt", "weight", "keywords", "source_ids", "file_paths", "descriptions")
 
 

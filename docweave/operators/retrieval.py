@@ -6,6 +6,8 @@ ranked lists of a request are ordered within them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,10 +68,10 @@ def related_chunks(items: DataFrame, owned: DataFrame, item: str, most: int, met
     return picked.unionByName(provenance.weighted_polling(rest, "item_rank", "place", "chunk_id", most, by=by).select(picked.columns))
 
 
-def chunk_cost(content: Column, file_path: Column, chunk_id: Column) -> Column:
-    """What a chunk takes of a budget with a tokenizer of one token a character: the line of JSON of its whole row, two fields of it as they are without images."""
+def chunk_cost(content: Column, file_path: Column, chunk_id: Column, tokens: Callable[[Column], Column] = F.length) -> Column:
+    """What a chunk takes of a budget: the tokens of the line of JSON of its whole row, two fields of it as they are without images."""
     line = json_line(content=content, file_path=file_path, chunk_id=chunk_id)
-    return F.length(line) + len(', "is_multimodal": false, "page_idx": null')
+    return tokens(F.concat(line, F.lit(', "is_multimodal": false, "page_idx": null')))
 
 
 def context(chunks: DataFrame, budget: int | Column, top_k: int | None = None, least_score: float = 0.0, by: list[str] = (), cost: Column | None = None) -> DataFrame:

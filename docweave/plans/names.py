@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions import fixed_values as V
-from docweave.functions import names
+from docweave.functions import names, prompts
 from docweave.functions import text as T
+from docweave.operators import tables
+from docweave.operators.ranking import numbered
+from docweave.sources import files
 
 from .base import registry, spread, table
 
@@ -92,3 +95,28 @@ def answer_scores(spark, sf):
     alone = table(spark, sf, "customer").select(F.lit("alone").alias("kind"), F.concat(F.lit("The verdict of "), "c_mktsegment", F.lit(" is "), "c_nationkey").alias("text"))
     every = json.unionByName(named).unionByName(alone)
     return every.groupBy("kind", T.answer_score(F.col("text")).alias("score")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, lang || '.txt' AS name, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 + CAST(lang = 'de' AS INTEGER) AS k, lang FROM documents)
+SELECT doc_id, CASE WHEN k = 0 THEN name WHEN k <= 999 THEN lang || '_' || lpad(CAST(k AS VARCHAR), 3, '0') || '.txt' ELSE lang || '_17_' || (k - 999) || '.txt' END AS file_name FROM d""")
+def file_names_free(spark, sf):
+    """Names of documents by language, made unique as files are: numbers, then the time; one of the names is taken."""
+    d = table(spark, sf, "documents").select("doc_id", F.concat("lang", F.lit(".txt")).alias("name"))
+    return files.unique_names(d, "name", ["doc_id"], 17, d.where("name = 'de.txt'").select("name").distinct()).select("doc_id", "file_name")
+
+
+@query("""
+WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND turn > 0 THEN '[image' || sum(CASE WHEN role = 'user' AND turn > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) || ']' ELSE text END AS t FROM conversations)
+SELECT conv_id, substring(string_agg(t, chr(10) ORDER BY turn), 1, 400) AS text FROM s GROUP BY 1""")
+def document_texts(spark, sf):
+    """Conversations as one text each, later turns of users as images, 400 characters at most."""
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("position"), F.when((F.col("role") == "user") & (F.col("turn") > 0), "image").otherwise("text").alias("type"), "text")
+    return prompts.document_text(c, 400, "conv_id").select("conv_id", "text")
+
+
+@query("SELECT name, CAST(row_number() OVER (ORDER BY name COLLATE de) AS INTEGER) AS place FROM (SELECT DISTINCT lower(word) AS name FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents)) WHERE length(name) > 12")
+def collated_names(spark, sf):
+    """Long words of all texts in a language's order."""
+    w = spread(table(spark, sf, "documents")).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("w")).select(F.lower("w").alias("name")).where("length(name) > 12").distinct()
+    return numbered(w, [tables.collated(F.col("name"), "de"), F.col("name")], "place")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.operators.ranking import numbered_in
+
 # Files that are read as UTF-8 text.
 TEXT_EXTENSIONS = (
     "txt", "md", "mdx", "html", "htm", "tex", "json", "xml", "yaml", "yml", "rtf", "odt", "epub", "csv", "log", "conf",
@@ -164,3 +166,24 @@ def parse_files(spark: SparkSession, path: str, parser: Callable[[str, bytes], l
 def latest_output(files: DataFrame, document: str = "document") -> DataFrame:
     """Of each document's parser outputs the newest."""
     return files.groupBy(document).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+
+
+def unique_names(files: DataFrame, name: str, order: list[str], now: int, taken: DataFrame | None = None, out: str = "file_name") -> DataFrame:
+    """files with a name of their own: the first of a name keeps it, others have _001 to _999 before the extension, and then the time and a number.
+
+    taken: (name) names that are there already. Numbers that a name of either table has are left out. A name that a third
+    of all files have is ranked over ranges; what is gathered of a name are its numbers, 999 at most.
+    """
+    ranked = numbered_in(files, [name], [F.col(c) for c in order], "__r")
+    stem, end = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^.*?(\.[^.]*)?$", 1)
+    every = files.select(F.col(name).alias("n")) if taken is None else files.select(F.col(name).alias("n")).unionByName(taken.select(F.col(name).alias("n")))
+    part = lambda k: F.regexp_extract("n", r"^(.*)_([0-9]{3})(\.[^.]*)?$", k)
+    used = every.select(F.concat(part(1), part(3)).alias(name), part(2).alias("k")).where("k <> ''").groupBy(name).agg(F.collect_set(F.col("k").try_cast("int")).alias("__used"))
+    there = (files.select(name).limit(0) if taken is None else taken.select(name)).distinct().withColumn("__there", F.lit(1))
+    rows = ranked.join(used, name, "left").join(there, name, "left")
+    place = F.col("__r") - 1 + F.coalesce("__there", F.lit(0))  # 0 keeps the name
+    free = F.array_except(F.sequence(F.lit(1), F.lit(999)), F.coalesce("__used", F.array().cast("array<int>")))
+    number = F.try_element_at(free, F.least(F.greatest(place, F.lit(1)), F.lit(1000)).cast("int"))
+    late = F.concat(stem, F.lit(f"_{now}_"), (place - F.size(free)).cast("string"), end)
+    shown = F.when(place == 0, F.col(name)).when(number.isNotNull(), F.concat(stem, F.lit("_"), F.lpad(number.cast("string"), 3, "0"), end)).otherwise(late)
+    return rows.select(*(F.col(c) for c in files.columns if c != out), shown.alias(out))

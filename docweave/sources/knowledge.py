@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions.fixed_values import FIELD_SEPARATOR
@@ -42,8 +42,9 @@ def read_vector_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (entity_id, attributes) and edges (src, tgt, attributes) of a GraphML file; attributes by the names of their keys."""
-    read = lambda tag: spark.read.format("xml").option("rowTag", tag)
+    """Nodes (entity_id, attributes) and edges (src, tgt, attributes) of a GraphML file, or of a folder of parts of one; attributes by the names of their keys."""
+    # Elements are looked for one by one, as a folder's parts are no whole documents each.
+    read = lambda tag: spark.read.format("xml").option("rowTag", tag).option("useLegacyXMLParser", True).option("ignoreSurroundingSpaces", False)
     keys = {r["_id"]: r["_attr.name"] for r in read("key").schema("`_id` string, `_attr.name` string").load(path).collect()}  # the header
     data = "data array<struct<_VALUE:string,_key:string>>"
     names = F.create_map(*(F.lit(x) for kv in keys.items() for x in kv)) if keys else F.create_map(F.lit(""), F.lit(""))
@@ -53,6 +54,42 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, canonical(edges)
 
 
+GRAPHML_TYPES = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "long", "float": "float", "double": "double", "boolean": "boolean"}
+
+
+def _xml(c: Column) -> Column:
+    """A text as XML holds it: without the characters that it can't hold, markup escaped, and what parsers would make a space or leave out by number."""
+    c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", "")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\t", "&#9;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """nodes (entity_id, ...) and edges (src, tgt, ...) as GraphML: a folder whose parts, one after the other by name, are one valid document.
+
+    A header of keys, nodes by id, edges by ends, a footer: rows are sorted by ranges, so parts are written by many tasks
+    and committed once by Spark. Lists are joined; nulls have no entry. Nodes and edges without an id or an end are left out.
+    """
+    def entries(df: DataFrame, key: list[str], of: str) -> tuple[list[str], Column]:
+        names = [c for c in df.columns if c not in key]
+        ids = {c: f"{of[0]}{i}" for i, c in enumerate(names)}
+        quoted = lambda c: c.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+        heads = [f'<key id="{ids[c]}" for="{of}" attr.name="{quoted(c)}" attr.type="{GRAPHML_TYPES.get(dict(df.dtypes)[c], "string")}"/>' for c in names]
+        value = lambda c: F.array_join(c, FIELD_SEPARATOR) if dict(df.dtypes)[c].startswith("array") else F.col(c).cast("string")
+        data = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'<data key="{ids[c]}">'), _xml(value(c)), F.lit("</data>"))) for c in names]
+        return heads, F.concat_ws("", *data) if data else F.lit("")
+
+    node_heads, node_data = entries(nodes, ["entity_id"], "node")
+    edge_heads, edge_data = entries(edges, ["src", "tgt"], "edge")
+    n = nodes.where("entity_id is not null").select(F.lit(1).alias("kind"), F.col("entity_id").alias("a"), F.lit("").alias("b"), F.concat(F.lit('<node id="'), _xml(F.col("entity_id")), F.lit('">'), node_data, F.lit("</node>")).alias("value"))
+    e = edges.where("src is not null and tgt is not null").select(F.lit(2).alias("kind"), F.col("src").alias("a"), F.col("tgt").alias("b"), F.concat(F.lit('<edge source="'), _xml(F.col("src")), F.lit('" target="'), _xml(F.col("tgt")), F.lit('">'), edge_data, F.lit("</edge>")).alias("value"))
+    head = "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *node_heads, *edge_heads, '<graph edgedefault="undirected">'])
+    ends = nodes.sparkSession.createDataFrame([(0, "", "", head), (3, "", "", "</graph>\n</graphml>")], "kind int, a string, b string, value string")
+    every = n.unionByName(e).unionByName(ends)
+    every.repartitionByRange("kind", "a", "b").sortWithinPartitions("kind", "a", "b").select("value").write.text(path)
+
+
 def load_custom(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A bulk load: chunks (content, source_id, position), entities and relations by source_id, with ids and missing ends.
 

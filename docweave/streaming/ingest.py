@@ -84,13 +84,14 @@ def fragments(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return e.select(*state._columns("entity_fragments")), r.select(*state._columns("relation_fragments"))
 
 
-def process(store: Store, extract: models.Asker, chunks: Column | None = None, embedder: models.Embedder | None = None, dims: int = 0, glean: str | None = None, now: int | None = None) -> int:
+def process(store: Store, extract: models.Asker, chunks: Column | None = None, embedder: models.Embedder | None = None, dims: int = 0, glean: str | None = None, now: int | None = None, summarize: state.Summarizer | None = None) -> int:
     """Works on all documents that wait (failed and interrupted ones again); returns how many were processed.
 
     extract: prompt column -> answer column of a model (models.asker makes one of a function). A null answer fails its
     document, of which nothing is stored then but the answers that were given. glean: what each chunk is asked for a
     second time, behind its text and the first answer; GLEAN is a text for it. Prompts in the store's cache are not asked
-    again; calls are counted in the store's table `usage`. now: seconds, the time of new answers.
+    again; calls are counted in the store's table `usage`. now: seconds, the time of new answers. summarize: makes one
+    description of an entity's or a relation's; give it to delete() too.
     """
     base = store.at()
     docs, contents = base.table("docs"), base.table("contents")
@@ -111,7 +112,7 @@ def process(store: Store, extract: models.Asker, chunks: Column | None = None, e
     fresh = written(cut.join(fine, "full_doc_id", "left_semi").join(keys, ["full_doc_id", "chunk_order_index"]))
     records = written(extraction.records(answers.join(fine, "full_doc_id", "left_semi").select("chunk_id", "full_doc_id", "file_path", "chunk_order_index", "answer_order", F.col("answer").alias("text"))))
     changes = [Change("docs", done, done.select("id")), Change("cache", cached), Change("usage", _usage(store, used, version)), Change("chunks", fresh)]
-    store.publish([*changes, *_graph(base, fresh, fragments(records if glean else records.drop("answer_order")), embedder, dims)], base)
+    store.publish([*changes, *_graph(base, fresh, fragments(records if glean else records.drop("answer_order")), embedder, dims, summarize)], base)
     return n
 
 
@@ -138,9 +139,9 @@ def _usage(store: Store, used: list[Observation], version: int) -> DataFrame:
     return store.spark.createDataFrame([(version, *sums)], TABLES["usage"][0])
 
 
-def _graph(base: Snapshot, chunks: DataFrame, parts: tuple[DataFrame, DataFrame], embedder: models.Embedder | None, dims: int) -> list[Change]:
+def _graph(base: Snapshot, chunks: DataFrame, parts: tuple[DataFrame, DataFrame], embedder: models.Embedder | None, dims: int, summarize: state.Summarizer | None = None) -> list[Change]:
     """What new chunks and their fragments change in vectors and graph."""
-    out = state.added(base, *parts, embedder, dims)
+    out = state.added(base, *parts, embedder, dims, summarize=summarize)
     if embedder is not None:
         ids = chunks.select(F.col("chunk_id").alias("vec_id"), "content").dropDuplicates(["vec_id"])
         old = base.of("vectors", ids)
@@ -182,14 +183,14 @@ def ingest_blocks(store: Store, blocks: DataFrame, files: DataFrame, extract: mo
     return n
 
 
-def delete(store: Store, doc_ids: DataFrame, embedder: models.Embedder | None = None, dims: int = 0) -> None:
+def delete(store: Store, doc_ids: DataFrame, embedder: models.Embedder | None = None, dims: int = 0, summarize: state.Summarizer | None = None) -> None:
     """Documents (id) taken out with their chunks, vectors and what they say: what is left is as if they had never come.
 
     Cached answers stay, so a document that comes back is not asked about again.
     """
     base, gone = store.at(), written(doc_ids.select("id").distinct())
     by_doc = gone.select(F.col("id").alias("full_doc_id"))
-    changes = [Change(t, None, gone) for t in ("contents", "docs") if t in base.heads] + state.removed(base, by_doc, embedder, dims)
+    changes = [Change(t, None, gone) for t in ("contents", "docs") if t in base.heads] + state.removed(base, by_doc, embedder, dims, summarize=summarize)
     chunks = base.of("chunks", by_doc)
     if chunks is not None:
         ids = written(chunks.select("chunk_id").distinct())
