@@ -285,12 +285,12 @@ def answers_by_line(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT 'failed' AS status, 1 AS pri, doc_id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'processing', 0, doc_id, source FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'pending', 2, doc_id, source FROM documents WHERE doc_id % 5 = 0)
+WITH p AS (SELECT 'failed' AS status, 1 AS pri, doc_id, source FROM documents WHERE lang < 'es' UNION ALL SELECT 'processing', 0, doc_id, source FROM documents WHERE n_chars > 1000 UNION ALL SELECT 'pending', 2, doc_id, source FROM documents WHERE source < 'src12')
 SELECT doc_id AS id, arg_max(status, pri) AS status FROM p GROUP BY 1""")
 def process_queue(spark, sf):
     """What is to be worked on: being processed, failed, pending; the later list wins."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    lists = [d.where(F.col("id") % k == 0).withColumn("status", F.lit(s)) for s, k in (("processing", 3), ("failed", 2), ("pending", 5))]
+    d = table(spark, sf, "documents")
+    lists = [d.where(c).select(F.col("doc_id").alias("id"), F.lit(s).alias("status")) for s, c in (("processing", "n_chars > 1000"), ("failed", "lang < 'es'"), ("pending", "source < 'src12'"))]
     return tables.queue(lists)
 
 

@@ -74,12 +74,13 @@ def kg_edges_merge(spark, sf):
 
 
 @query(f"""
-WITH {_EDGES}, x AS (SELECT tgt AS entity_id, arg_min(src, src) AS first FROM e WHERE CAST(substring(tgt, 2) AS BIGINT) % 3 = 0 GROUP BY 1)
+WITH {_EDGES}, x AS (SELECT tgt AS entity_id, arg_min(src, src) AS first FROM e WHERE tgt IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal < 2000) GROUP BY 1)
 SELECT entity_id, 'UNKNOWN' AS entity_type, first AS description FROM x""")
 def kg_missing_endpoints(spark, sf):
     """Ends of edges that are no nodes, made as unknown ones."""
     e = _edges(spark, sf).withColumn("description", F.col("src"))
-    known = _nodes(spark, sf).where(~(F.col("entity_id").startswith("S") & (F.substring("entity_id", 2, 20).cast("long") % 3 == 0)))
+    poor = table(spark, sf, "supplier").where("s_acctbal < 2000").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_id"))
+    known = _nodes(spark, sf).join(poor, "entity_id", "left_anti")
     return graph.missing_endpoints(known, e)
 
 
@@ -95,12 +96,12 @@ def kg_edge_degrees(spark, sf):
 
 
 @query(f"""
-WITH {_EDGES}, {_DEGREES}, s AS (SELECT 'S' || s_suppkey AS entity_id, round(s_acctbal, 1) AS score FROM supplier WHERE s_suppkey % 10 = 1),
+WITH {_EDGES}, {_DEGREES}, s AS (SELECT 'S' || s_suppkey AS entity_id, round(s_acctbal, 1) AS score FROM supplier WHERE s_acctbal > 5000),
 r AS (SELECT src, tgt, weight, a.degree + b.degree AS degree, score FROM e JOIN d a ON src = a.entity_id JOIN d b ON tgt = b.entity_id JOIN s ON s.entity_id = tgt)
 SELECT src, tgt, CAST(row_number() OVER (ORDER BY score DESC, weight DESC, degree DESC, src, tgt) AS INTEGER) AS rank FROM r""")
 def kg_edge_rank(spark, sf):
     """Edges of scored nodes by score, weight and degree."""
-    s = table(spark, sf, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_id"), F.round("s_acctbal", 1).alias("score"))
+    s = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_id"), F.round("s_acctbal", 1).alias("score"))
     e = written(_edges(spark, sf))
     near = e.join(s.select(F.col("entity_id").alias("tgt")), "tgt", "left_semi")
     return graph.rank_edges(graph.edge_degrees_of(near, e), s).select("src", "tgt", "rank")
@@ -153,40 +154,40 @@ def kg_bfs_2hop(spark, sf):
 
 
 @query(f"""
-WITH {_EDGES}, m AS (SELECT src, CASE WHEN CAST(substring(tgt, 2) AS BIGINT) % 4 = 1 THEN 'S0' ELSE tgt END AS tgt, weight FROM e)
+WITH {_EDGES}, m AS (SELECT src, CASE WHEN tgt IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 6000) THEN 'S0' ELSE tgt END AS tgt, weight FROM e)
 SELECT src, tgt, max(weight) AS weight FROM m GROUP BY 1, 2""")
 def kg_merge_entities(spark, sf):
-    """A quarter of the suppliers made one: pairs that meet keep the greatest weight."""
+    """The richest suppliers made one: pairs that meet keep the greatest weight."""
     e = _edges(spark, sf).withColumns({"keywords": F.lit(""), "description": F.lit("")})
-    names = table(spark, sf, "supplier").where("s_suppkey % 4 = 1").select(F.concat(F.lit("S"), "s_suppkey").alias("source"), F.lit("S0").alias("target"))
+    names = table(spark, sf, "supplier").where("s_acctbal > 6000").select(F.concat(F.lit("S"), "s_suppkey").alias("source"), F.lit("S0").alias("target"))
     return graph.merge_entities(e, names).select("src", "tgt", "weight")
 
 
 @query(f"""
-WITH {_EDGES}, {_NODES}, g AS (SELECT 'S' || s_suppkey AS entity_id FROM supplier WHERE s_suppkey % 2 = 0)
+WITH {_EDGES}, {_NODES}, g AS (SELECT 'S' || s_suppkey AS entity_id FROM supplier WHERE s_acctbal < 3000)
 SELECT (SELECT count(*) FROM n ANTI JOIN g USING (entity_id)) AS n_nodes, count(*) AS n_edges, sum(weight) AS weight FROM e WHERE tgt NOT IN (SELECT entity_id FROM g)""")
 def kg_delete_cascade(spark, sf):
-    """Half of the suppliers deleted, with their edges."""
-    gone = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_id"))
+    """Suppliers of a low balance deleted, with their edges."""
+    gone = table(spark, sf, "supplier").where("s_acctbal < 3000").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_id"))
     n, e = graph.delete_nodes(_nodes(spark, sf), _edges(spark, sf), gone)
     return n.agg(F.count("*").alias("n_nodes")).join(e.agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight")))
 
 
-@query(f"WITH {_EDGES} SELECT src, tgt, weight FROM e WHERE CAST(substring(src, 2) AS BIGINT) % 5 <> 0")
+@query(f"WITH {_EDGES} SELECT src, tgt, weight FROM e WHERE weight >= 20")
 def kg_delete_edges(spark, sf):
     """Edges deleted by pairs given in reverse."""
     e = _edges(spark, sf)
-    gone = e.where(F.substring("src", 2, 20).cast("long") % 5 == 0).select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))
+    gone = e.where("weight < 20").select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))
     return graph.delete_edges(e, gone).select("src", "tgt", "weight")
 
 
 @query(f"""
-WITH {_RECORDS}, c AS (SELECT part, count(DISTINCT source_id) AS n_before, count(DISTINCT source_id) FILTER (CAST(substring(source_id, 2) AS BIGINT) % 3 <> 0) AS n_after FROM li GROUP BY 1)
+WITH {_RECORDS}, c AS (SELECT part, count(DISTINCT source_id) AS n_before, count(DISTINCT CASE WHEN o_orderstatus <> 'F' THEN source_id END) AS n_after FROM li JOIN orders ON source_id = 'c' || o_orderkey GROUP BY 1)
 SELECT part, n_before, n_after, CASE WHEN n_after = 0 THEN 'delete' WHEN n_after < n_before THEN 'rebuild' ELSE 'keep' END AS action FROM c""")
 def kg_delete_doc_classify(spark, sf):
-    """What deleting a third of the chunks does to each part."""
+    """What deleting the chunks of finished orders does to each part."""
     owned = _records(spark, sf).select("part", F.col("source_id").alias("chunk_id")).distinct()
-    gone = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("c"), "o_orderkey").alias("chunk_id"))
+    gone = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("c"), "o_orderkey").alias("chunk_id"))
     return graph.classify_deletion(owned, gone, ["part"])
 
 
@@ -213,7 +214,7 @@ def kg_export_pairs(spark, sf):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'C' || c_custkey AS a, 'N' || c_nationkey || '-' || c_mktsegment AS b FROM customer WHERE c_custkey % 3 <> 0),
+WITH RECURSIVE e AS (SELECT DISTINCT 'C' || c_custkey AS a, 'N' || c_nationkey || '-' || c_mktsegment AS b FROM customer WHERE c_acctbal > 0),
 n AS (SELECT 'C' || c_custkey AS id FROM customer UNION SELECT b FROM e),
 d AS (SELECT id, count(*) FILTER (a IS NOT NULL) AS g FROM n LEFT JOIN (SELECT a, a AS k FROM e UNION ALL SELECT b, b FROM e) x ON id = x.k GROUP BY id)
 SELECT count(*) AS num_nodes, CAST(sum(g) // 2 AS BIGINT) AS num_edges, round(avg(g), 6) AS average_degree, count(*) FILTER (g = 0) AS isolated, count(*) FILTER (g > 1) AS degree_over_1,
@@ -223,7 +224,7 @@ def graph_metrics_basic(spark, sf):
     """Sizes, degrees, components and clustering of a graph of customers and their segments."""
     c = table(spark, sf, "customer")
     n = F.concat(F.lit("N"), "c_nationkey", F.lit("-"), "c_mktsegment")
-    e = graph.canonical(c.where("c_custkey % 3 <> 0").select(F.concat(F.lit("C"), "c_custkey").alias("src"), n.alias("tgt")))
+    e = graph.canonical(c.where("c_acctbal > 0").select(F.concat(F.lit("C"), "c_custkey").alias("src"), n.alias("tgt")))
     nodes = c.select(F.concat(F.lit("C"), "c_custkey").alias("entity_id")).unionByName(e.select(F.col("tgt").alias("entity_id"))).distinct()
     m = graph.metrics(nodes, e).withColumn("average_degree", F.round("average_degree", 6))
     return m.select("num_nodes", "num_edges", "average_degree", "isolated", "degree_over_1", "num_components", "giant_size", "average_clustering")

@@ -74,12 +74,12 @@ def file_path_limit(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT c_custkey, c_acctbal AS v, 0 AS version, c_nationkey AS created FROM customer WHERE c_custkey % 3 <> 0),
+WITH s AS (SELECT c_custkey, c_acctbal AS v, 0 AS version, c_nationkey AS created FROM customer WHERE c_acctbal > 1000),
 n AS (SELECT o_custkey AS c_custkey, arg_max(o_totalprice, o_orderkey) AS v, CAST(max(o_orderkey) AS BIGINT) AS version FROM orders GROUP BY 1)
 SELECT coalesce(n.c_custkey, s.c_custkey) AS id, coalesce(n.v, s.v) AS v, coalesce(s.created, -1) AS create_time FROM s FULL JOIN n ON s.c_custkey = n.c_custkey""")
 def upsert_latest(spark, sf):
     """Rows replaced by the last of their key, times of creation kept."""
-    c = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.lit(0).cast("long").alias("version"), F.col("c_nationkey").alias("create_time"))
+    c = table(spark, sf, "customer").where("c_acctbal > 1000").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.lit(0).cast("long").alias("version"), F.col("c_nationkey").alias("create_time"))
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("version"), F.lit(-1).alias("create_time"))
     return tables.upsert(c, o, ["id"], "version").select("id", "v", "create_time")
 
@@ -107,8 +107,8 @@ def token_budget_prefix(spark, sf):
 # Three ranked lists a customer: orders by price, by date and by key.
 _RANKED = """
 a AS (SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, 0 AS list_no FROM orders),
-b AS (SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank, 1 AS list_no FROM orders WHERE o_orderkey % 2 = 0),
-d AS (SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rank, 2 AS list_no FROM orders WHERE o_orderkey % 3 = 0)"""
+b AS (SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank, 1 AS list_no FROM orders WHERE o_orderstatus = 'O'),
+d AS (SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rank, 2 AS list_no FROM orders WHERE o_orderpriority < '3')"""
 
 
 @query(f"""
@@ -117,9 +117,9 @@ f AS (SELECT *, row_number() OVER (PARTITION BY c, o ORDER BY rank, list_no) AS
 SELECT c, o, CAST(row_number() OVER (PARTITION BY c ORDER BY rank, list_no, o) AS INTEGER) AS position FROM f WHERE k = 1""")
 def round_robin_merge(spark, sf):
     """Three ranked lists merged in turn, each key once."""
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), "o_totalprice", "o_orderdate")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"), "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority")
     rank = lambda df, *by: df.select("c", "o", F.row_number().over(Window.partitionBy("c").orderBy(*by)).alias("rank"))
-    lists = [rank(o, F.desc("o_totalprice"), "o"), rank(o.where("o % 2 = 0"), "o_orderdate", "o"), rank(o.where("o % 3 = 0"), F.desc("o"))]
+    lists = [rank(o, F.desc("o_totalprice"), "o"), rank(o.where("o_orderstatus = 'O'"), "o_orderdate", "o"), rank(o.where("o_orderpriority < '3'"), F.desc("o"))]
     return provenance.round_robin(lists, "o", by=["c"]).select("c", "o", "position")
 
 

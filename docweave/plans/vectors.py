@@ -35,11 +35,11 @@ def vector_threshold(spark, sf):
 
 
 @query(f"""
-WITH {_SIM}, c AS (SELECT DISTINCT user_id % 50 AS chunk_id FROM events)
+WITH {_SIM}, c AS (SELECT DISTINCT vec_id AS chunk_id FROM embeddings)
 SELECT chunk_id, round(score, 6) AS score FROM c JOIN s ON vec_id = chunk_id ORDER BY s.score DESC, chunk_id LIMIT 10""")
 def vector_pick_chunks(spark, sf):
     """The distinct chunks most similar to a query."""
-    chunks = table(spark, sf, "events").select((F.col("user_id") % 50).alias("chunk_id"))
+    chunks = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"))
     return vector.pick_chunks(chunks, table(spark, sf, "embeddings"), _query_vector(spark, sf), 10).withColumn("score", F.round("score", 6))
 
 
