@@ -36,10 +36,34 @@ LATEX_COMMANDS = (
     "mathbb", "mathrm", "text",
 )
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "bmp", "webp", "tiff", "tif")
-LOCATOR_WORDS = (
-    "table", "figure", "fig", "eq", "equation", "formula", "section", "sec", "chapter", "ch", "appendix", "app", "page",
-    "p", "ref", "reference", "footnote", "fn",
-)
+
+# Patterns that tell paths from other names.
+URL_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+\-.]*://"
+LATEX_DELIMITERS = r"(\\\(|\\\)|\\\[|\\\]|\$[^$]+\$)"
+LETTER_PAIR = r"^[A-Za-z]/[A-Za-z]$"
+WINDOWS_PATH = r"^[A-Za-z]:[\\/]"
+UNC_PATH = r"^(?:\\\\|//)[^\\/\s]+[\\/][^\\/\s]+"
+RELATIVE_PATH = r"^(?:\.{1,2}|~)[\\/]"
+IMAGE_PATH_LINE = r"(?im)^\s*image path\s*:\s*(.+?)\s*$"
+
+# Patterns of labels and noise, without regard to case.
+LOCATOR_WITH_TITLE = (
+    r"^(?:table|figure|fig|eq|equation|formula|section|sec|chapter|ch|appendix|app|page|p|ref|reference|footnote|fn)\.?\s*"
+    r"(?:[A-Za-z]?\d+(?:\.\d+)*|[A-Za-z])\s*[:\-]\s*.+$"
+)
+BARE_LOCATOR = (
+    r"^(?:table|figure|fig|eq|equation|formula|section|sec|chapter|ch|appendix|app|page|p|ref|reference|footnote|fn)\.?\s*"
+    r"(?:[A-Za-z]?\d+(?:\.\d+)*|[A-Za-z])$"
+)
+REFERENCE_BRACKET = r"^(?:ref|reference)\s*\[\s*\d+\s*\]$"
+TABLE_WITH_TITLE = r"^table\.?\s*(?:[A-Za-z]?\d+(?:\.\d+)*|[A-Za-z])\s*[:\-]\s*.+$"
+FIGURE_WITH_TITLE = r"^(?:figure|fig)\.?\s*(?:[A-Za-z]?\d+(?:\.\d+)*|[A-Za-z])\s*[:\-]\s*.+$"
+EQUATION_WITH_TITLE = r"^(?:eq|equation|formula)\.?\s*(?:[A-Za-z]?\d+(?:\.\d+)*|[A-Za-z])\s*[:\-]\s*.+$"
+MODAL_SUFFIX = r"\s*\((?:table|image|equation)\)$"
+IMAGE_STEM = r"^image(?:_|-)[a-z0-9]{4,}$"
+PAGE_LABEL = r"^page\s+\d+$"
+COORDINATE_LABEL = r"^coordinates?\s*\[[^\]]+\]$"
+COORDINATE_BOX = r"\[\s*-?\d+(?:\.\d+)?\s*(?:,\s*-?\d+(?:\.\d+)?\s*){1,}\]"
 
 # Repairs of a tuple delimiter, in order; (pattern, what replaces it is the delimiter itself).
 DELIMITER_REPAIRS = (
@@ -71,3 +95,13 @@ CONTEXT_MARKER = "---Context---"
 REFERENCE_MARKER = "Reference Document List (Each entry starts with a [reference_id] that corresponds to entries in the Document Chunks):"
 EMPTY_INSTRUCTIONS = ("", "{user_prompt}", "none", "null", "n/a")
 ANSWER_SUFFIXES = ("Please answer based on the context provided.", "Please answer based on the context and images provided.")
+INSTRUCTIONS_LINE = r"(?i)^\s*(?:\d+\.\s*)?Additional Instructions:\s*"
+QUERY_LINE = r"(?im)^\s*---User Query---\s*$"
+STALE_LINES = (
+    r"(?im)^\s*User (?:Question|Query)\s*:\s*.*$",
+    r"(?im)^\s*Please answer based on the context(?: and images)? provided\.?\s*$",
+    r"(?im)^\s*Please answer based on the provided context\.?\s*$",
+)
+
+# What stands for an answer about a block that names nothing.
+UNNAMED_ENTITY, UNTYPED_ENTITY, SHORT_SUMMARY = "unknown_entity", "unknown", 100

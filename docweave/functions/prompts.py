@@ -4,13 +4,26 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .fixed_values import ANSWER_SUFFIXES, CONTEXT_MARKER, EMPTY_INSTRUCTIONS, IMAGE_EXTENSIONS, REFERENCE_MARKER
+from .fixed_values import (
+    ANSWER_SUFFIXES,
+    CONTEXT_MARKER,
+    EMPTY_INSTRUCTIONS,
+    IMAGE_EXTENSIONS,
+    INSTRUCTIONS_LINE,
+    QUERY_LINE,
+    REFERENCE_MARKER,
+    SHORT_SUMMARY,
+    STALE_LINES,
+    UNNAMED_ENTITY,
+    UNTYPED_ENTITY,
+)
 from .text import let, sanitize, strip
 
 IMAGE_PATH = rf"Image Path:\s*([^\r\n]*?\.(?:{'|'.join(IMAGE_EXTENSIONS)}))"
@@ -21,19 +34,14 @@ IMAGE_PATH = rf"Image Path:\s*([^\r\n]*?\.(?:{'|'.join(IMAGE_EXTENSIONS)}))"
 
 def without_empty_instructions(c: Column) -> Column:
     """Without lines that announce additional instructions and give none."""
-    head = r"(?i)^\s*(?:\d+\.\s*)?Additional Instructions:\s*"
-    said = lambda line: F.lower(strip(F.regexp_replace(line, head, "")))
-    return strip(F.array_join(F.filter(F.split(c, r"\r?\n"), lambda x: ~(x.rlike(head) & said(x).isin(*EMPTY_INSTRUCTIONS))), "\n"))
+    said = lambda line: F.lower(strip(F.regexp_replace(line, INSTRUCTIONS_LINE, "")))
+    return strip(F.array_join(F.filter(F.split(c, r"\r?\n"), lambda x: ~(x.rlike(INSTRUCTIONS_LINE) & said(x).isin(*EMPTY_INSTRUCTIONS))), "\n"))
 
 
 def cleaned_context(c: Column) -> Column:
     """A context without the request and the closing lines that an earlier packing left in it."""
-
-    before = let(F.split(c, r"(?im)^\s*---User Query---\s*$", 2), lambda p: strip(p[0]))
-    c = F.regexp_replace(before, r"(?im)^\s*User (?:Question|Query)\s*:\s*.*$", "")
-    for suffix in ("based on the context(?: and images)? provided", "based on the provided context"):
-        c = F.regexp_replace(c, rf"(?im)^\s*Please answer {suffix}\.?\s*$", "")
-    return strip(c)
+    kept = F.get(F.split(c, QUERY_LINE, 2), F.lit(0))
+    return strip(F.regexp_replace(strip(kept), "|".join(f"(?:{line})" for line in STALE_LINES), ""))
 
 
 def repacked(system: Column, prompt: Column, upstream: Column | None = None, images: Column | None = None) -> Column:
@@ -127,46 +135,59 @@ def sanitized_modal(c: Column) -> Column:
     return sanitize(F.regexp_replace(F.regexp_replace(c, "\x08", r"\\b"), "\x0c", r"\\f"))
 
 
-def json_objects(text: str) -> list[str]:
-    """What in a text may be a JSON object: fenced ones, then outermost pairs of braces, then from the first brace to the last."""
+JSON = json.JSONDecoder(strict=False)
+#: What is mended in an object that is no JSON: a string's backslashes that start no escape, curly quotes outside of strings, commas before an end.
+MENDED = re.compile(r"""(?P<string>"(?:[^"\\]|\\.)*")|(?P<quote>[“”])|(?P<tick>[‘’])|,(?=\s*[}\]])""", re.DOTALL)
+ESCAPE = re.compile(r"""\\(["\\/bfnrt]|u[0-9a-fA-F]{4})?""")
+
+
+def mended(text: str) -> str:
+    """A text that starts with a brace, mended where JSON has a rule that models break."""
+
+    def one(m: re.Match) -> str:
+        if m["string"]:
+            return ESCAPE.sub(lambda e: e[0] if e[1] else r"\\", m[0])
+        return '"' if m["quote"] else "'" if m["tick"] else ""
+
+    return MENDED.sub(one, text)
+
+
+def json_objects(text: str) -> Iterator[dict]:
+    """The objects of a text, decoded from their opening braces on: those behind a fence, then all in order.
+
+    Thoughts are no part of it. A brace that opens no object as it stands opens the mended one, if that is one; what lies
+    inside an object, or behind a mended one, is not looked at again.
+    """
     plain = re.sub(r"(?is)<(think|thinking)>.*?</\1>", "", text)
-    found, depth, start = re.findall(r"(?s)```(?:json)?\s*(\{.*?\})\s*```", plain), 0, None
-    for m in re.finditer(r"[{}]", plain):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 1 and m[0] == "{":
-            start = m.start()
-        elif depth == 0 and start is not None:
-            found.append(plain[start : m.end()])
-            start = None
-        depth = max(depth, 0)
-    return [*found, *re.findall(r"(?s)\{.*\}", plain)]
-
-
-#: Repairs of an object that is no JSON, each tried on top of the one before.
-REPAIRS = (
-    lambda s: s,
-    lambda s: re.sub(r",(\s*[}\]])", r"\1", re.sub("[“”]", '"', re.sub("[‘’]", "'", s.strip()))),
-    lambda s: re.sub(r"\\(?![\"\\/bfnrtu]|u[0-9a-fA-F]{4})", r"\\\\", s),
-    lambda s: re.sub(r"\\(?=[a-zA-Z]{2,})(?!u[0-9a-fA-F]{4})", r"\\\\", s),
-)
+    fenced = [m.end() - 1 for m in re.finditer(r"```(?:json)?\s*\{", plain)]
+    for starts in (fenced, [m.start() for m in re.finditer(r"\{", plain)]):
+        end = 0
+        for start in starts:
+            for read in (str, mended) if start >= end else ():
+                try:
+                    found, length = JSON.raw_decode(read(plain[start:]))
+                except (ValueError, RecursionError):
+                    continue
+                end = start + length if read is str else len(plain)
+                yield found
+                break
+
+
 FIELDS = ("detailed_description", "entity_name", "entity_type", "summary")
 
 
 def modal_answer(text: str) -> dict[str, str]:
-    """description, entity_name, entity_type and summary of a model's answer, whatever shape its JSON is in."""
-    for repair in range(len(REPAIRS)):
-        for s in json_objects(text):
-            for f in REPAIRS[: repair + 1]:
-                s = f(s)
-            try:
-                found = json.loads(s, strict=False)
-            except ValueError:
-                continue
-            if isinstance(found, dict) and found:
-                entity = found.get("entity_info") if isinstance(found.get("entity_info"), dict) else {}
-                return {"detailed_description": str(found.get("detailed_description", "")), **{k: str(entity.get(k, found.get(k, ""))) for k in FIELDS[1:]}}
-    named = {k: m[1] if (m := re.search(rf'(?s)"{k}":\s*"((?:[^"\\]|\\.)*)"', text)) else "" for k in FIELDS}
-    return named | {"entity_name": named["entity_name"] or "unknown_entity", "entity_type": named["entity_type"] or "unknown", "summary": named["summary"] or named["detailed_description"][:100]}
+    """description, entity_name, entity_type and summary of a model's answer: its first object that is not empty, else what it names."""
+    found = next((x for x in json_objects(text) if x), None)
+    if found is not None:
+        entity = found.get("entity_info")
+        flat = found | (entity if isinstance(entity, dict) else {}) | {FIELDS[0]: found.get(FIELDS[0], "")}
+        return {k: str(flat.get(k, "")) for k in FIELDS}
+    pairs = re.findall(rf"""(?s)"({'|'.join(FIELDS)})":\s*"((?:[^"\\]|\\.)*)\"""", text)
+    named = dict.fromkeys(FIELDS, "") | dict(reversed(pairs))
+    for field, value in zip(FIELDS[1:], (UNNAMED_ENTITY, UNTYPED_ENTITY, named[FIELDS[0]][:SHORT_SUMMARY]), strict=True):
+        named[field] = named[field] or value
+    return named
 
 
 @F.pandas_udf(StructType([StructField(f, StringType()) for f in FIELDS]))
@@ -182,20 +203,9 @@ def described_block(c: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def repaired_json(s: pd.Series) -> pd.Series:
-    """The first object of a text as JSON, repaired if it has to be; null without one."""
-
-    def one(text: str | None) -> str | None:
-        for repair in range(len(REPAIRS)):
-            for x in json_objects(text or ""):
-                for f in REPAIRS[: repair + 1]:
-                    x = f(x)
-                try:
-                    return json.dumps(json.loads(x, strict=False), ensure_ascii=False)
-                except ValueError:
-                    continue
-        return None
-
-    return s.map(one)
+    """The first object of a text as JSON, mended if it has to be; null without one."""
+    first = lambda text: next(json_objects(text or ""), None)
+    return s.map(lambda text: None if (x := first(text)) is None else json.dumps(x, ensure_ascii=False))
 
 
 def reference_lines(c: Column) -> Column:

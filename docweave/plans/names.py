@@ -53,14 +53,11 @@ def path_reasons(spark, sf):
     return rows.groupBy("kind", names.path_reason(F.col("name")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_LOCATOR = rf"^(?i)(?:{_ANY(V.LOCATOR_WORDS)})\.?\s*(?:[A-Za-z]?\d+(?:\.\d+)*|[A-Za-z])".replace("^(?i)", "(?i)^")
-
-
 @query(rf"""
 WITH {_WORDS}, c AS (SELECT word, n, trim(word) AS c, trim(regexp_replace(trim(word), '(?i)\s*\((?:table|image|equation)\)$', '')) AS bare FROM w),
 k AS (SELECT *, trim(regexp_replace(lower(bare), '[\s_-]+', ' ', 'g')) AS key FROM c)
-SELECT CASE WHEN word = '' THEN 'empty' WHEN regexp_matches(bare, '{_LOCATOR}\s*[:\-]\s*.+$') THEN 'locator_with_semantic_title'
-  WHEN regexp_matches(bare, '(?i)^(?:ref|reference)\s*\[\s*\d+\s*\]$') OR regexp_matches(bare, '{_LOCATOR}$') THEN 'bare_locator_label' WHEN key IN {_LIST(V.LAYOUT_WORDS)} THEN 'layout_metadata'
+SELECT CASE WHEN word = '' THEN 'empty' WHEN regexp_matches(bare, '(?i){V.LOCATOR_WITH_TITLE}') THEN 'locator_with_semantic_title'
+  WHEN regexp_matches(bare, '(?i){V.REFERENCE_BRACKET}') OR regexp_matches(bare, '(?i){V.BARE_LOCATOR}') THEN 'bare_locator_label' WHEN key IN {_LIST(V.LAYOUT_WORDS)} THEN 'layout_metadata'
   WHEN key IN {_LIST(V.AMBIGUOUS_WORDS)} THEN 'ambiguous_reference' WHEN key IN {_LIST(V.NOISE_WORDS)} THEN 'generic_noise' WHEN regexp_matches(c, '(?i)^image(?:_|-)[a-z0-9]{{4,}}$') THEN 'image_stem_no_ext'
   WHEN length(key) <= 2 AND regexp_matches(key, '^\p{{L}}+$') THEN 'short_alpha_noise' ELSE 'ok' END AS reason, CAST(sum(n) AS BIGINT) AS n, count(*) AS words
 FROM k GROUP BY 1""")

@@ -60,6 +60,18 @@ def test_answers_with_latex_and_without_anything(spark):
     assert one(spark, 'so {"a": [1, 2,],} done', prompts.repaired_json) == '{"a": [1, 2]}' and one(spark, "none", prompts.repaired_json) is None
 
 
+def test_objects_in_answers():
+    found = lambda text: list(prompts.json_objects(text))
+    assert found('{"a": "} {", "b": 1} and {"c": {"d": 2}}') == [{"a": "} {", "b": 1}, {"c": {"d": 2}}]
+    assert found('see {this} first: {"a": {"b": 1,},} {"c": 2}') == [{"a": {"b": 1}}]
+    assert found('{"a": 1} ```json\n{"b": 2}\n``` ')[0] == {"b": 2}
+    assert found(r'{"a": "\usepackage \n x \\"}') == [{"a": "\\usepackage \n x \\"}]
+    assert found("{" * 2000) == [] and found('{"a":' * 5000) == [] and found("[1, 2]") == []
+    assert prompts.modal_answer('{} {"detailed_description": 7, "entity_name": "n"}') == {"detailed_description": "7", "entity_name": "n", "entity_type": "", "summary": ""}
+    got = prompts.modal_answer('"detailed_description": "' + "x" * 200 + '", "entity_name": "n", "entity_name": "m"')
+    assert got == {"detailed_description": "x" * 200, "entity_name": "n", "entity_type": "unknown", "summary": "x" * 100}
+
+
 def test_reference_lines(spark):
     from docweave.functions.fixed_values import REFERENCE_MARKER
 
