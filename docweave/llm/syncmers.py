@@ -3,8 +3,9 @@
 A text's K bytes at a place are an anchor if the least hash of their inner substrings of S bytes is that of the first or
 the last of these. That depends on the K bytes alone, so an edit moves no anchors but those it touches, and the anchors
 of a text put together of two are those of the parts, by position, and those across the seam. A fingerprint is the
-SKETCH least 32-bit hashes of the distinct anchors, and the likeness of two the Jaccard estimate over the least of their
-union. Texts are worked on in blocks, so intermediate arrays stay small however long a text is.
+SKETCH least 32-bit hashes of the distinct anchors, in the order of their first positions. Two fingerprints are matched by
+position: of the least hashes of their union, those that both have in the same order are counted (a longest increasing
+run), so passages that were moved count for less than such as stand where they stood.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ assert W % 3 == 0
 BLOCK = 2048
 #: Documents that lie together in a range of ids, about, and the most ranges.
 RANGE_ROWS, MAX_RANGES, FAN = 1000, 65536, 256
+#: Sampled ids for each range, about.
+SAMPLE = 20
 LEAST = -(2**63)
 
 
@@ -55,46 +58,73 @@ def low(found: Column) -> Column:
 
 
 def sketch(hashes: Column, data: Column) -> Column:
-    """The fingerprint as numbers. A text without an anchor stands for itself; the empty text has none."""
+    """The fingerprint as numbers, of hashes in the order of their positions. A text without an anchor stands for itself; the empty text has none."""
     whole = F.when(F.octet_length(data) > 0, F.array(F.xxhash64(data).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.array().cast("array<bigint>"))
-    return F.slice(F.sort_array(F.array_distinct(F.when(F.size(hashes) > 0, hashes).otherwise(whole))), 1, SKETCH)
+    ordered = F.array_distinct(F.when(F.size(hashes) > 0, hashes).otherwise(whole))
+    return let(ordered, lambda x: let(F.get(F.sort_array(x), F.least(F.size(x), F.lit(SKETCH)) - 1), lambda last: F.filter(x, lambda h: h <= last)))
 
 
 def digits(numbers: Column) -> Column:
     return F.lower(F.array_join(F.transform(numbers, lambda h: F.lpad(F.hex(h), 8, "0")), ""))
 
 
+def in_order(places: Column) -> Column:
+    """The length of the longest increasing run of distinct numbers: the least end of a run of each length, kept in a fold."""
+
+    def step(ends: Column, p: Column) -> Column:
+        return let(F.filter(ends, lambda e: e < p), lambda less: F.concat(less, F.array(p), F.slice(ends, F.size(less) + 2, F.greatest(F.size(ends), F.lit(1)))))
+
+    return F.size(F.aggregate(places, F.array().cast("array<int>"), step))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Of two sketches: the share of the least SKETCH hashes of the union that both have. Two empty ones are alike."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
+    """Of two sketches: the share of the least SKETCH hashes of their union that both have in one order. Two empty ones are alike."""
+
+    def matched(x: Column) -> Column:
+        union = F.slice(F.sort_array(F.array_union(x["a"], x["b"])), 1, SKETCH)
+        shared = let(F.element_at(union, -1), lambda last: F.filter(F.array_intersect(x["a"], x["b"]), lambda h: h <= last))
+        places = F.transform(shared, lambda h: F.array_position(x["b"], h).cast("int"))
+        return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(in_order(places) / F.size(union))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), matched)
+
+
+def sampled_bounds(keys: DataFrame, rows: int, count: int) -> list[int]:
+    """About count - 1 ascending bounds between ranges of keys, from those whose hash is among the least.
+
+    The hash alone says which keys count, so a task that runs again finds the same; a key that repeats counts once. Some
+    SAMPLE of them for each range reach the driver. They place rows and decide nothing else.
+    """
+    if count == 1:
+        return []
+    share = min(1.0, SAMPLE * count / rows)
+    hashed = F.xxhash64("key", F.lit(SAMPLE)).bitwiseAND(F.lit(2**53 - 1))
+    found = sorted(r[0] for r in keys.where(hashed < F.lit(int(share * 2**53))).select("key").distinct().collect())
+    return sorted({found[len(found) * i // count] for i in range(1, count)}) if found else []
 
 
 def ranges(bounds: list[int], key: Column) -> Column:
     """How many of the ascending bounds are at most the key, by a search of two levels."""
     if not bounds:
         return F.lit(0)
-    groups = [bounds[i : i + FAN] for i in range(0, len(bounds), FAN)]
-    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
-    c = F.size(F.filter(longs([g[0] for g in groups]), lambda x: x <= key))
-    fine = F.size(F.filter(F.element_at(F.array(*map(longs, groups)), F.greatest(c, F.lit(1))), lambda x: x <= key))
-    return F.when(c == 0, F.lit(0)).otherwise((c - 1) * FAN + fine)
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  # one literal once folded
+    c = F.size(F.filter(longs(bounds[::FAN]), lambda x: x <= key))
+    fine = lambda c: F.size(F.filter(F.slice(longs(bounds), (c - 1) * FAN + 1, F.lit(FAN)), lambda x: x <= key))
+    return let(c, lambda c: F.when(c == 0, F.lit(0)).otherwise((c - 1) * FAN + fine(c)))
 
 
 def with_next(rows: DataFrame, add) -> DataFrame:
     """rows (doc_id, data) with what `add` makes of each row, and the struct `next` of the row that follows by descending doc_id.
 
     After the last row comes the first. Equal ids are in the order of their data; null ids come last. Rows are dealt by
-    ranges of ids (approximate quantiles), with the first row of each range copied to the one before it in this order,
+    ranges of ids (quantiles of a sample), with the first row of each range copied to the one before it in this order,
     so data is shuffled once and no order over all rows is needed in one task.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
     rows = rows.withColumn("key", key)
     n = rows.count()
     count = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    bounds = rows.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 10 * count)).first()[0] if count > 1 and n else []
-    rows = rows.withColumn("range", ranges(sorted(set(bounds)), F.col("key")))
+    rows = rows.withColumn("range", ranges(sampled_bounds(rows, n, count), F.col("key")))
     tops = sorted((r[0], r[1]) for r in rows.groupBy("range").agg(F.max("key")).collect())  # a row a range
     # The greatest id of a range follows the least of the next range; that of the last range follows the least of all.
     copies = [(top, to[0], 0) for (_, top), to in zip(tops, tops[1:], strict=False)] + [(tops[-1][1], tops[0][0], 1)] if tops else []
@@ -127,7 +157,7 @@ def op4_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, t = F.octet_length("head"), F.octet_length("tail")
     seam = F.concat(F.substring("head", F.greatest(h - (K - 2), F.lit(1)), F.lit(K - 1)), F.substring("tail", F.lit(1), F.lit(K - 1)))
     df = df.withColumn("seam", seam)
-    df = df.withColumn("edited", F.concat(inside(F.col("anchors"), h), inside(F.col("next.anchors"), t), anchors(F.col("seam"))))
+    df = df.withColumn("edited", F.concat(inside(F.col("anchors"), h), anchors(F.col("seam")), inside(F.col("next.anchors"), t)))
     whole = F.concat("head", "tail")
     df = df.select("doc_id", "n_chars", F.sha2(whole, 256).alias("edited_sha256"), "sketch", sketch(low(F.col("edited")), whole).alias("edited"), F.col("next.sketch").alias("next"))
     return df.select("doc_id", "n_chars", "edited_sha256", digits(F.col("sketch")).alias("fingerprint"), digits(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited")).alias("near_edited"), likeness(F.col("sketch"), F.col("next")).alias("near_next"))
