@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, changes, documents, graphs, indexes, lookups, names, tables, texts, vectors
+from . import answers, changes, documents, graphs, indexes, lookups, messages, names, tables, texts, vectors
 
-MODULES = (documents, texts, tables, graphs, vectors, answers, changes, indexes, names, lookups)
+MODULES = (documents, texts, tables, graphs, vectors, answers, changes, indexes, names, lookups, messages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
