@@ -8,7 +8,9 @@ lower-cased in ASCII, which the tokenizer would do anyway; most are then found i
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 
@@ -16,10 +18,30 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words of a generation of the cache, of which there are two at most, which bounds a worker's memory: when the newer one
 #: is full the older goes, but for words that were asked for since.
 CACHE_WORDS = 250_000
-#: Words that one call encodes; bytes of text whose words are looked up at once.
-JOINED, CHUNK = 100, 1 << 19
-#: Marks that end words: a run of them after a letter is a token's text of its own.
-MARKS = b",.!?;:"
+#: Bytes of a long text whose words are looked up at once.
+CHUNK = 1 << 19
+#: Marks that end words: the tokenizer takes a run of them after a letter on its own.
+MARKS = string.punctuation.encode()
+#: Letters before this one are the same in Python and the tokenizer, whatever Unicode either knows.
+LAST = "\u0530"
+
+
+class Words(dict):
+    """Ids by word; a word that is in neither generation is encoded."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -28,72 +50,40 @@ class Encoder:
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.as_characters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.ids = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.cache = Words(self.word)
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Adds words to the cache. Words of letters are encoded many at a time, and so are their stems before marks."""
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
-            return  # what is needed of the older words is asked for again
-        cache, plain, marked = self.cache, [], []
-        if known := words & self.older.keys():
-            cache.update((w, self.older[w]) for w in known)
-            words = words - known
-        for w in words:
-            if w.isalpha() or letters(w):
-                plain.append(w)
-            elif (stem := w.rstrip(MARKS)) != w and (stem.isalpha() or letters(stem)):
-                marked.append((w, stem, w[len(stem) :]))
-            else:
-                cache[w] = self.whole(w)
-        plain += {stem for _, stem, _ in marked if stem not in cache and stem not in words}
-        size = self.dtype.itemsize
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()  # a word's last token, and no other, has the mark of a word's end
-            data, start = ids.tobytes(), 0
-            for w, end in zip(group, ends, strict=True):
-                cache[w] = data[start:end]
-                start = end
-        for w, stem, marks in marked:
-            if marks not in cache:
-                cache[marks] = self.whole(marks)
-            cache[w] = cache[stem] + cache[marks]
+    def word(self, word: bytes) -> bytes:
+        """The ids of a word. Letters go to the tokenizer's model at once, as its rules would not cut them."""
+        if word.isalpha():
+            return self.merged(word.decode())
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and (stem.isalpha() or letters(stem)):
+            return self.cache[stem] + self.cache[word[len(stem) :]]
+        if letters(word):
+            return self.merged(self.as_characters(self.normalizer.normalize_str(word.decode()))[0][0])
+        return self.whole(word)
+
+    def merged(self, characters: str) -> bytes:
+        return b"".join([self.ids[t.id] for t in self.model.tokenize(characters)])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        chunks, of = [], []
-        for k, t in enumerate(texts):
-            for c in cut_long(t):
-                chunks.append(c)
-                of.append(k)
-        out: list[list[bytes]] = [[] for _ in texts]
-        first = 0
-        while first < len(chunks):
-            last, size = first, 0
-            while last < len(chunks) and (size < CHUNK or last == first):
-                size += len(chunks[last])
-                last += 1
-            words = [None if b"<|" in c else c.lower().replace(b"\n", b" ").split(b" ") for c in chunks[first:last]]
-            need: set[bytes] = set().union(*(w for w in words if w is not None))
-            while missing := need.difference(self.cache):
-                self.learn(missing)
-            get = self.cache.__getitem__
-            for w, c, k in zip(words, chunks[first:last], of[first:last], strict=True):
-                out[k].append(self.whole(c) if w is None else b"".join(map(get, w)))
-            first = last
-        return [b"".join(x) for x in out]
+        get = self.cache.__getitem__
+        out = []
+        for t in texts:
+            some = [self.whole(c) if b"<|" in c else b"".join(map(get, c.lower().replace(b"\n", b" ").split(b" "))) for c in cut_long(t)]
+            out.append(some[0] if len(some) == 1 else b"".join(some))
+        return out
 
 
 def cut_long(text: bytes) -> list[bytes]:
@@ -110,9 +100,9 @@ def cut_long(text: bytes) -> list[bytes]:
 
 
 def letters(word: bytes) -> bool:
-    """Whether a word is letters alone and stays so when the tokenizer normalises it."""
+    """Whether a word is letters alone, not all ASCII, and stays so when the tokenizer normalises it."""
     s = word.decode()
-    return not s.isascii() and s.isalpha() and s.lower().isalpha() and unicodedata.normalize("NFC", s).isalpha()
+    return not s.isascii() and s.isalpha() and max(s) < LAST and s.lower().isalpha() and unicodedata.normalize("NFC", s).isalpha()
 
 
 _encoders: dict[str, Encoder] = {}
