@@ -12,19 +12,20 @@ and ends with one, a byte that UTF-8 never has, so probabilities of all texts su
    alone; of the nodes above buckets give their shares of the sums. Two bytes that over a share of the corpus ends in
    (by a sample, which decides places only, not results) are split by the byte before, and so on, so no bucket is much
    larger than others; such contexts, at most 1 / SHARE a length, are nodes above.
-2. Groups of documents ask the buckets for the keys they have and get one number a key back. The model is never in one
-   place, and grows with the corpus.
+2. Groups of documents ask the buckets for the keys they have and get each key back with a number. The model is never in
+   one place, and grows with the corpus.
 
 Words for the base score are counted by 64-bit hash.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -334,22 +335,42 @@ def top_of(model: DataFrame, split: Split) -> Top:
 # Scoring
 
 
-def distinct_keys(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """A group's words, their hashes, and its grams, ascending."""
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The keys once each, ascending; sorts them where they are."""
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]
+
+
+def distinct_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a group's words, and its grams, ascending."""
     words: set[bytes] = set()
     found = np.zeros(0, _U)
     held: list[np.ndarray] = []
     for some in in_steps(texts, SCORE_STEP):
         for t in some:
             words.update(t.lower().split())
-        key, _ = grams(some)
-        key.sort()
-        held.append(key[np.concatenate([[True], key[1:] != key[:-1]])])
+        held.append(distinct(grams(some)[0]))
         if len(held) == 8:
-            found, held = np.unique(np.concatenate([found, *held])), []
-    found = np.unique(np.concatenate([found, *held]))
-    names = list(words)
-    return names, word_hashes(names), found
+            found, held = distinct(np.concatenate([found, *held])), []
+    return np.sort(word_hashes(words)), distinct(np.concatenate([found, *held]))
+
+
+class Numbered(defaultdict):
+    """Words by number, in the order of their first places. The end of a text is the empty word, number 0."""
+
+    def __init__(self):
+        super().__init__(self.__len__, {b"": 0})
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words and ends of the texts, and how many each text has."""
+        words: list[bytes] = []
+        sizes = []
+        for t in texts:
+            before = len(words)
+            words += t.lower().split()
+            words.append(b"")
+            sizes.append(len(words) - before)
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words)), np.array(sizes, np.int64)
 
 
 class Lookup:
@@ -396,15 +417,15 @@ def score(docs: DataFrame) -> DataFrame:
     by_group = rows.groupBy("group")
 
     def ask(table: pa.Table) -> pa.Table:
-        _, hashes, found = distinct_keys([t.as_py() for t in table.column("text")])
+        hashes, found = distinct_keys([t.as_py() for t in table.column("text")])
         group, out = table.column("group")[0].as_py(), []
-        for kind, keys in ((WORDS, np.sort(hashes)), (GRAMS, found)):
+        for kind, keys in ((WORDS, hashes), (GRAMS, found)):
             out += [(kind, b, group, pack_sorted(keys[at])) for b, at in by_bucket(keys, kind, split)]
         return pa.table({c: list(v) for c, v in zip(("kind", "bucket", "group", "keys"), zip(*out, strict=True), strict=True)}, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("group", pa.int32()), ("keys", pa.binary())]))
 
     def answer(known: pa.Table, asked: pa.Table) -> pa.Table:
         if not asked.num_rows:
-            return pa.table({"group": [], "kind": [], "bucket": [], "data": []}, schema=pa.schema([("group", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())]))
+            return pa.table({"group": [], "kind": [], "keys": [], "data": []}, schema=pa.schema([("group", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("data", pa.binary())]))
         kind = asked.column("kind")[0].as_py()
         runs = [unpack_sorted(x) for x in asked.column("keys").to_pylist()]
         keys = unpack_sorted(known.column("keys")[0].as_py()) if known.num_rows else np.zeros(0, _U)
@@ -422,38 +443,40 @@ def score(docs: DataFrame) -> DataFrame:
                 some = every[i : i + (1 << 16)]
                 value[i : i + len(some)] = top.value.log10(some, tree.probabilities(some))
             data = [value[np.searchsorted(every, x)].tobytes() for x in runs]
-        return pa.table({"group": asked.column("group"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "data": pa.array(data, pa.binary())})
+        return pa.table({"group": asked.column("group"), "kind": asked.column("kind"), "keys": asked.column("keys"), "data": pa.array(data, pa.binary())})
 
     def tell(table: pa.Table, told: pa.Table) -> pa.Table:
         texts = [t.as_py() for t in table.column("text")]
-        names, hashes, found = distinct_keys(texts)
-        data = {(k, b): d for k, b, d in zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("data").to_pylist(), strict=True)}
-        values = np.empty(len(found), np.float32)
-        for b, at in by_bucket(found, GRAMS, split):
-            values[at] = np.frombuffer(data[GRAMS, b], "<f4")
-        order = np.argsort(hashes)
-        counts = np.empty(len(hashes), np.int64)
-        for b, at in by_bucket(hashes[order], WORDS, split):
-            counts[order[at]] = unpacked_counts(data[WORDS, b])
-        floor = tokens + 0.5 * (vocabulary + 1)
-        logs = dict(zip(names, np.log10((counts + 0.5) / floor).tolist(), strict=True))
-        least, end = np.log10(0.5 / floor), np.log10((ends + 0.5) / floor)
-        base, n_tokens, n_known, scores = [], [], [], []
-        look = Lookup(found, values)
+
+        def answers(kind: int, unpack, dtype) -> tuple[np.ndarray, np.ndarray]:
+            some = told.filter(pc.equal(told.column("kind"), kind))
+            keys = np.concatenate([*map(unpack_sorted, some.column("keys").to_pylist()), np.zeros(0, _U)])
+            values = np.concatenate([*map(unpack, some.column("data").to_pylist()), np.zeros(0, dtype)])
+            order = np.argsort(keys)
+            return keys[order], values[order]
+
+        numbered, numbers = Numbered(), []
         for some in in_steps(texts, SCORE_STEP):
+            numbers.append(numbered.of(some))
+        names = list(numbered)[1:]
+        keys, values = answers(WORDS, unpacked_counts, np.int64)
+        counts = np.concatenate([[ends], values[np.searchsorted(keys, word_hashes(names))]])
+        logs = np.log10((counts + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
+        look = Lookup(*answers(GRAMS, lambda x: np.frombuffer(x, "<f4"), np.float32))
+        base, n_tokens, n_known, scores = [], [], [], []
+        for some, (number, sizes) in zip(in_steps(texts, SCORE_STEP), numbers, strict=True):
             key, starts = grams(some)
             scores.append(np.add.reduceat(look(key).astype(np.float64), starts))
-            for t in some:
-                words = t.lower().split()
-                each = np.fromiter(map(logs.__getitem__, words), np.float64, len(words))
-                base.append(each.sum() + end)
-                n_tokens.append(len(words) + 1)
-                n_known.append(int((each > least).sum()) + (ends > 0))
-        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": [tokens] * len(texts), "base_score": base, "score": np.concatenate(scores)})
+            starts = np.cumsum(sizes) - sizes
+            base.append(np.add.reduceat(logs[number], starts))
+            n_known.append(np.add.reduceat((counts > 0)[number], starts, dtype=np.int64))
+            n_tokens.append(sizes)
+        base, n_tokens, n_known, scores = map(np.concatenate, (base, n_tokens, n_known, scores))
+        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": [tokens] * len(texts), "base_score": base, "score": scores})
 
     asked = by_group.applyInArrow(tidy(ask), "kind int, bucket int, group int, keys binary")
     known = model.where(F.col("kind") != TOP).select("kind", "bucket", "keys", "counts")
-    told = known.groupBy("kind", "bucket").cogroup(asked.groupBy("kind", "bucket")).applyInArrow(tidy2(answer), "group int, kind int, bucket int, data binary")
+    told = known.groupBy("kind", "bucket").cogroup(asked.groupBy("kind", "bucket")).applyInArrow(tidy2(answer), "group int, kind int, keys binary, data binary")
     return by_group.cogroup(told.groupBy("group")).applyInArrow(tidy2(tell), SCORED)
 
 
