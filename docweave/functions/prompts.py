@@ -122,7 +122,7 @@ def document_text(spans: DataFrame, most: int, key: str = "doc_id") -> DataFrame
     image = F.coalesce(F.col("type") == "image", F.lit(False))
     said = F.when(image, F.concat(F.lit("[image"), F.sum(image.cast("int")).over(over).cast("string"), F.lit("]"))).otherwise(F.coalesce("text", F.lit("")))
     rows = spans.select(key, "position", F.when(image, F.col("text")).alias("__path"), said.alias("__said"))
-    rows = rows.withColumn("__before", F.sum(F.length("__said") + 1).over(over) - F.length("__said") - 1).where(F.col("__before") < most)
+    rows = rows.withColumn("__before", F.sum(F.length("__said") + 1).over(over) - F.length("__said") - 1).where(F.col("__before") <= most)  # at the limit a span still gives the line feed before it
     lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "__said", F.when(F.col("__before") + F.length("__said") <= most, F.col("__path")).alias("path")))).alias("x"))
     return lists.select(key, F.substring(F.array_join(F.transform("x", lambda x: x["__said"]), "\n"), 1, most).alias("text"), F.filter(F.transform("x", lambda x: x["path"]), lambda p: p.isNotNull()).alias("images"))
 

@@ -90,6 +90,13 @@ def test_document_text(spark):
     assert {r.doc_id: r.text for r in prompts.document_text(rows, 100).collect()}["d"] == "abc\n[image1]\ndefg\n[image2]"
 
 
+def test_document_text_that_ends_at_the_limit(spark):
+    """The line feed in front of a span counts, even where nothing of the span is left."""
+    rows = spark.createDataFrame([("d", 0, "text", "abcd"), ("d", 1, "text", "ef"), ("e", 0, "text", "abcde"), ("e", 1, "image", "/a.png"), ("f", 0, "text", "abcd"), ("f", 1, "image", "/a.png")], "doc_id string, position int, type string, text string")
+    got = {r.doc_id: (r.text, r.images) for r in prompts.document_text(rows, 5).collect()}
+    assert got == {"d": ("abcd\n", []), "e": ("abcde", []), "f": ("abcd\n", [])}
+
+
 def test_summaries_in_the_graph(spark, tmp_path):
     """A hub's descriptions are summarised in packs; what is stored is one text, the same after any order of batches."""
     rows = [("Hub", "t", f"fact {i:03d} " + "x" * 2000, f"c{i}", f"d{i:03d}", "f", 0, 0) for i in range(12)] + [("Lone", "t", "short", "c0", "d000", "f", 0, 1)]
