@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ from docweave.functions.fixed_values import BELONGS_TO_KEYWORDS, BELONGS_TO_WEIG
 from .components import components
 from .provenance import limit_ids, truncation_mark
 from .ranking import numbered
-from .scratch import written
+from .scratch import shared_dir, written
 from .tables import merge_columns
 
+#: Links (edges both ways) of a graph that one task searches, and searches of 64 nodes that it makes at most; beyond them every step is a join.
+LINKS, SEARCHES = 1 << 20, 512
+
 
 def canonical(df: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """Endpoints in order, self loops dropped."""
@@ -391,34 +396,124 @@ def _linked(edges: DataFrame) -> DataFrame:
     """(u, v): edges both ways between numbers of their nodes, from 1."""
     around = both_ways(edges.select("src", "tgt").distinct())
     names = written(numbered(around.select("entity_id").distinct(), [F.col("entity_id")], "n", kind="long"))
-    return written(around.join(names.select("entity_id", F.col("n").alias("u")), "entity_id").join(names.select(F.col("entity_id").alias("other"), F.col("n").alias("v")), "other").select("u", "v"))
+    return around.join(names.select("entity_id", F.col("n").alias("u")), "entity_id").join(names.select(F.col("entity_id").alias("other"), F.col("n").alias("v")), "other").select("u", "v")
+
+
+def _longest(u: np.ndarray, v: np.ndarray, searches: int) -> int | None:
+    """The diameter of a connected graph with links both ways, as diameter(); none if it takes more than some searches of 64 nodes."""
+    names, u = np.unique(u, return_inverse=True)
+    order = np.argsort(u, kind="stable")
+    v, degree = np.searchsorted(names, v[order]), np.bincount(u, minlength=len(names))
+    first = np.cumsum(degree) - degree
+    more = np.zeros(len(names), np.uint64)
+
+    def search(sources: np.ndarray) -> tuple[int, np.ndarray]:
+        """The greatest distance from any source, and of each node the last step at which a source reached it."""
+        seen, level, step = np.zeros(len(names), np.uint64), np.zeros(len(names), np.int64), 0
+        front, bits = sources, np.uint64(1) << np.arange(len(sources), dtype=np.uint64)
+        seen[front] = bits
+        while True:
+            n = degree[front]
+            to = v[np.arange(n.sum()) + np.repeat(first[front] - (np.cumsum(n) - n), n)]
+            np.bitwise_or.at(more, to, np.repeat(bits, n))
+            to = np.unique(to)
+            bits, more[to] = more[to] & ~seen[to], 0
+            front, bits = to[bits != 0], bits[bits != 0]
+            if not len(front):
+                return step, level
+            step += 1
+            seen[front] |= bits
+            level[front] = step
+
+    one = search(np.array([search(np.array([0]))[1].argmax()]))[1]
+    best, other = int(one.max()), one.argmax()
+    two = search(np.array([other]))[1]
+    levels = search(np.flatnonzero((one + two == best) & (one == best // 2))[:1])[1]
+    for i in range(int(levels.max()), 0, -1):
+        at = np.flatnonzero(levels == i)
+        for k in range(0, len(at), 64):
+            if best >= 2 * i:
+                return best
+            if searches == 0:
+                return None
+            best, searches = max(best, search(at[k : k + 64])[0]), searches - 1
+    return best
 
 
-def _distances(link: DataFrame, start: int) -> DataFrame:
-    """(v, level) from one node, a level at a time; only the newest level is joined."""
-    seen = frontier = written(link.where(F.col("u") == start).select(F.col("u").alias("v"), F.lit(0).alias("level")).limit(1))
-    step = 0
+def _distances(link: DataFrame, starts: DataFrame, graph: str) -> DataFrame:
+    """(graph, v, level) from a node (graph, v) of each graph, a level at a time. What a level is next to is in it, before it or behind it, so only two are held against what is found."""
+    spark, path, step = link.sparkSession, shared_dir(link.sparkSession), 0
+    columns = f"`{graph}` {starts.schema[graph].dataType.simpleString()}, v long"
+    frontier, before = starts.select(graph, F.col("v").cast("long").alias("v")), None
+    while True:
+        frontier.write.parquet(f"{path}/level={step}")
+        frontier = spark.read.schema(columns).parquet(f"{path}/level={step}")
+        if frontier.isEmpty():
+            return spark.read.schema(f"{columns}, level int").parquet(path)
+        known = frontier if before is None else frontier.unionByName(before)
+        found = link.join(frontier.select(F.col("v").alias("u")), "u", "left_semi").select(graph, "v").distinct().join(known.select("v"), "v", "left_anti")
+        before, frontier, step = frontier, found.select(graph, "v"), step + 1
+
+
+def _eccentricities(link: DataFrame, sources: DataFrame, graph: str) -> DataFrame:
+    """(graph, far): the greatest distance of any node from any of a graph's sources (graph, v): searches from all at once, 64 of them in the bits of a number."""
+    spark, path, step, keys = link.sparkSession, shared_dir(link.sparkSession), 1, [graph, "part", "v"]
+    at = F.col("__n") - 1
+    fresh = written(numbered(sources, [F.col("v")], "__n", [graph]).select(graph, F.floor(at / 64).alias("part"), "v", F.expr("shiftleft(1L, cast((__n - 1) % 64 as int))").alias("bits")))
+    columns, before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fresh.schema), None
     while True:
+        moved = fresh.withColumnRenamed("v", "u").join(link.drop(graph), "u").groupBy(*keys).agg(F.bit_or("bits").alias("more"))
+        known = fresh if before is None else fresh.unionByName(before).groupBy(*keys).agg(F.bit_or("bits").alias("bits"))
+        joined = moved.join(known, keys, "left").withColumn("bits", F.col("more").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long")))))
+        joined.select(*keys, "bits").where("bits <> 0").write.parquet(f"{path}/step={step}")
+        before, fresh = fresh, spark.read.schema(columns).parquet(f"{path}/step={step}")
+        if fresh.isEmpty():
+            return spark.read.schema(f"{columns}, step int").parquet(path).groupBy(graph).agg(F.max("step").alias("far"))
         step += 1
-        found = link.join(frontier.select(F.col("v").alias("u")), "u", "left_semi").select("v").distinct().join(seen.select("v"), "v", "left_anti")
-        frontier = written(found.withColumn("level", F.lit(step)))
-        if not frontier.limit(1).count():
-            return seen
-        seen = written(seen.unionByName(frontier))
 
 
-def _eccentricity(link: DataFrame, sources: DataFrame) -> int:
-    """The greatest distance of any node from any of the sources (v): searches from all at once, 64 of them in the bits of a number."""
-    at = F.col("__n") - 1
-    seen = written(numbered(sources, [F.col("v")], "__n", kind="long").select("v", F.floor(at / 64).alias("part"), F.expr("shiftleft(1L, cast((__n - 1) % 64 as int))").alias("bits")))
-    fresh, steps = seen, 0
-    while True:
-        moved = fresh.withColumnRenamed("v", "u").join(link, "u").groupBy("part", "v").agg(F.bit_or("bits").alias("more"))
-        joined = moved.join(seen, ["part", "v"], "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
-        fresh = written(joined.select("part", "v", F.col("more").bitwiseAND(F.bitwise_not("bits")).alias("bits")).where("bits <> 0"))
-        if not fresh.limit(1).count():
-            return steps
-        seen, steps = written(seen.unionByName(fresh).groupBy("part", "v").agg(F.bit_or("bits").alias("bits"))), steps + 1
+def _diameters(link: DataFrame, graph: str, sources: int = 4096) -> DataFrame:
+    """(graph, diameter) of connected graphs of two nodes or more: link (graph, u, v) has edges both ways between numbers of nodes that no two graphs share.
+
+    As diameter(). A graph of up to LINKS links is searched by one task, unless that takes more than SEARCHES searches;
+    of all others each step is a join, graphs side by side, `sources` nodes of each at a time.
+    """
+    name = link.schema[graph].dataType.simpleString()
+    few = link.groupBy(graph).agg(F.count("*").alias("__links")).where(F.col("__links") <= LINKS).select(graph)
+    searches = SEARCHES
+
+    def search(t: pa.Table) -> pa.Table:
+        far = _longest(t.column("u").to_numpy(), t.column("v").to_numpy(), searches)
+        return pa.table([t.column(graph).slice(0, 1), pa.array([far], pa.int32())], names=[graph, "diameter"])
+
+    found = written(link.join(few, graph, "left_semi").groupBy(graph).applyInArrow(search, f"`{graph}` {name}, diameter int").where("diameter is not null"))
+    link = link.join(found, graph, "left_anti")
+    if link.isEmpty():
+        return found
+    link = written(link)
+
+    def farthest(levels: DataFrame) -> DataFrame:
+        last = levels.groupBy(graph).agg(F.max(F.struct("level", (-F.col("v")).alias("w"))).alias("x"))
+        return written(last.select(graph, (-F.col("x.w")).alias("v"), F.col("x.level").alias("diameter")))
+
+    one = _distances(link, farthest(_distances(link, link.groupBy(graph).agg(F.min("u").alias("v")), graph)), graph)
+    other = farthest(one)
+    two, best = _distances(link, other, graph).withColumnRenamed("level", "back"), other.select(graph, "diameter")
+    middle = (F.col("level") + F.col("back") == F.col("diameter")) & (F.col("level") == F.floor(F.col("diameter") / 2))
+    levels = _distances(link, written(one.join(two, [graph, "v"]).join(best, graph).where(middle).groupBy(graph).agg(F.min("v").alias("v"))), graph)
+    for i in range(levels.agg(F.max("level")).first()[0], 0, -1):
+        at = levels.where(F.col("level") == i).join(best.where(F.col("diameter") < 2 * i), graph, "left_semi")
+        parts = at.groupBy(graph).agg(F.ceil(F.count("*") / sources).alias("__parts"))
+        dealt = written(at.join(parts, graph).select(graph, "v", F.pmod(F.xxhash64("v"), F.col("__parts")).alias("__part")))
+        for part in range((dealt.agg(F.max("__part")).first()[0] or 0) + 1):
+            some = written(dealt.where(F.col("__part") == part).join(best.where(F.col("diameter") < 2 * i), graph, "left_semi").select(graph, "v"))
+            if some.isEmpty():
+                continue
+            far = _eccentricities(link, some, graph)
+            best = written(best.join(far, graph, "left").select(graph, F.greatest("diameter", F.coalesce("far", F.lit(0))).alias("diameter")))
+        if best.where(F.col("diameter") < 2 * (i - 1)).isEmpty():
+            break
+    return found.unionByName(best)
 
 
 def diameter(edges: DataFrame, sources: int = 4096) -> int:
@@ -428,27 +523,8 @@ def diameter(edges: DataFrame, sources: int = 4096) -> int:
     there are at most 2 i from each other, so levels are taken from the outside in, `sources` nodes at a time, until the
     longest path found is as long as those within the next level can be.
     """
-    link = _linked(edges)
-    first = link.agg(F.min("u")).first()[0]
-    if first is None:
-        return 0
-    end = _distances(link, first).orderBy(F.desc("level"), "v").first().v
-    one = _distances(link, end)
-    other = one.orderBy(F.desc("level"), "v").first()
-    two, best = _distances(link, other.v).withColumnRenamed("level", "back"), other.level
-    half = one.join(two, "v").where((F.col("level") + F.col("back") == best) & (F.col("level") == best // 2)).agg(F.min("v")).first()[0]
-    levels = _distances(link, half)
-    counts = {r.level: r.n for r in levels.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row a level
-    for i in range(max(counts), 0, -1):
-        parts = -(-counts[i] // sources)
-        dealt = written(levels.where(F.col("level") == i).select("v", F.pmod(F.xxhash64("v"), F.lit(parts)).alias("part")))
-        for part in range(parts):
-            if best >= 2 * i:
-                return best
-            best = max(best, _eccentricity(link, dealt.where(F.col("part") == part).select("v")))
-        if best >= 2 * (i - 1):
-            return best
-    return best
+    far = _diameters(written(_linked(edges).select(F.lit(0).alias("graph"), "u", "v")), "graph", sources).first()
+    return far.diameter if far else 0
 
 
 #: The measures of many graphs, all numbers.
@@ -458,10 +534,9 @@ MEASURES = ("num_nodes", "num_edges", "average_degree", "density", "average_clus
 def many_metrics(nodes: DataFrame, edges: DataFrame, graph: str = "graph") -> DataFrame:
     """A row of MEASURES for each of many graphs (nodes: graph, entity_id; edges: graph, src, tgt), and `error`, all in one job.
 
-    Components, triangles and searches go by (graph, node), so graphs of any number and size lie side by side. A graph
-    that has an edge with a null or unknown end has no measures but what is wrong with it. The diameter of a graph of
-    several components is infinite; that of a connected one takes nodes * nodes / 64 rows, so graphs with more than a few
-    thousand nodes are for metrics(). Others as in metrics().
+    Nodes of all graphs are numbered together, so graphs of any number and size lie side by side. A graph that has an edge
+    with a null or unknown end has no measures but what is wrong with it. The diameter of a graph of several components is
+    infinite; that of a connected one takes a few searches, as in diameter(). Others as in metrics().
     """
     n0 = nodes.select(graph, "entity_id").distinct()
     ends = edges.select(graph, F.explode(F.array("src", "tgt")).alias("entity_id")).distinct()
@@ -469,47 +544,29 @@ def many_metrics(nodes: DataFrame, edges: DataFrame, graph: str = "graph") -> Da
     loose = ends.join(known, [graph, "entity_id"], "left").where("__known is null").groupBy(graph).agg(F.count_if(F.col("entity_id").isNull()).alias("__null"), F.min("entity_id").alias("__least"))
     wrong = written(loose.select(graph, F.when(F.col("__null") > 0, "an edge has no end").otherwise(F.concat(F.lit("an edge ends in no node: "), "__least")).alias("error")))
     n = n0.where("entity_id is not null").join(wrong.select(graph), graph, "left_anti")
-    e = written(canonical(edges.select(graph, "src", "tgt")).join(wrong.select(graph), graph, "left_anti").distinct())
-    both = e.select(graph, F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("tgt").alias("b")), F.struct(F.col("tgt").alias("a"), F.col("src").alias("b")))).alias("x")).select(graph, F.col("x.a").alias("entity_id"), F.col("x.b").alias("other"))
-    d = n.join(both.groupBy(graph, "entity_id").agg(F.count("*").alias("degree")), [graph, "entity_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    d = written(d.withColumn("id", F.row_number().over(Window.partitionBy(graph).orderBy("entity_id")) - 1).withColumn("node", F.xxhash64(graph, "entity_id")))
+    n = written(numbered(n, [F.col(graph), F.col("entity_id")], "node", kind="long"))
+    a, b = (n.select(graph, F.col("entity_id").alias(end), F.col("node").alias(c)) for end, c in (("src", "a"), ("tgt", "b")))
+    e = written(canonical(edges.select(graph, "src", "tgt")).join(a, [graph, "src"]).join(b, [graph, "tgt"]).select(graph, "a", "b").distinct())  # graphs with errors have no numbers
+    link = e.select(graph, F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select(graph, "x.u", "x.v")
+    d = written(n.select(graph, "node").join(link.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree")), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
     # Triangles over edges directed to the higher degree.
-    a, b = (d.select(graph, F.col("entity_id").alias(c), F.struct("degree", "entity_id").alias(f"d{c}")) for c in ("src", "tgt"))
-    forward = F.col("dsrc") < F.col("dtgt")
-    directed = e.join(a, [graph, "src"]).join(b, [graph, "tgt"]).select(graph, F.when(forward, F.col("src")).otherwise(F.col("tgt")).alias("x"), F.when(forward, F.col("tgt")).otherwise(F.col("src")).alias("y"))
-    closed = directed.join(directed.withColumnRenamed("y", "z"), [graph, "x"]).where("y < z").join(e.withColumnsRenamed({"src": "y", "tgt": "z"}), [graph, "y", "z"])
-    triangles = closed.select(graph, F.explode(F.array("x", "y", "z")).alias("entity_id")).groupBy(graph, "entity_id").agg(F.count("*").alias("triangles"))
+    da, db = (d.select(F.col("node").alias(c), F.struct("degree", "node").alias(f"d{c}")) for c in ("a", "b"))
+    forward = F.col("da") < F.col("db")
+    directed = written(e.select("a", "b").join(da, "a").join(db, "b").select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("y")))
+    closed = directed.join(directed.withColumnRenamed("y", "z"), "x").where("y < z").join(e.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"])
+    triangles = closed.select(F.explode(F.array("x", "y", "z")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
     wedges = F.col("degree") * (F.col("degree") - 1)
-    local = d.join(triangles, [graph, "entity_id"], "left").withColumn("local", F.when(F.col("degree") > 1, 2 * F.coalesce("triangles", F.lit(0)) / wedges))
+    local = d.join(triangles, "node", "left").withColumn("local", F.when(F.col("degree") > 1, 2 * F.coalesce("triangles", F.lit(0)) / wedges))
     by_node = local.groupBy(graph).agg(F.count("*").alias("num_nodes"), (F.sum("degree") / 2).cast("long").alias("num_edges"), F.avg("degree").alias("average_degree"), F.avg("local").alias("average_clustering"), F.count_if(F.col("degree") == 0).alias("isolated"))
-    root = components(e.select(F.xxhash64(graph, "src").alias("a"), F.xxhash64(graph, "tgt").alias("b")))
-    sizes = d.join(root, "node", "left").groupBy(graph, F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("size"))
+    sizes = d.join(components(e), "node", "left").groupBy(graph, F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("size"))
     by_size = written(sizes.groupBy(graph).agg(F.count("*").alias("num_components"), F.max("size").alias("giant_size"), F.coalesce(F.avg(F.when(F.col("size") > 1, F.col("size"))), F.lit(0.0)).alias("mean_size")))
-    far = _diameters(d, both, by_size.where("num_components = 1").select(graph), graph)
+    far = _diameters(written(link.join(by_size.where("num_components = 1").select(graph), graph, "left_semi")), graph)
     out = by_node.join(by_size, graph).join(far, graph, "left")
     out = out.withColumn("density", F.when(F.col("num_nodes") > 1, 2 * F.col("num_edges") / (F.col("num_nodes") * (F.col("num_nodes") - 1))).otherwise(0.0))
     out = out.withColumn("diameter", F.when(F.col("num_components") > 1, float("inf")).otherwise(F.coalesce("diameter", F.lit(0)).cast("double")))
     return out.select(graph, *MEASURES, F.lit(None).cast("string").alias("error")).unionByName(wrong, allowMissingColumns=True)
 
 
-def _diameters(nodes: DataFrame, both: DataFrame, connected: DataFrame, graph: str) -> DataFrame:
-    """(graph, diameter) of connected graphs of two nodes or more: nodes (graph, entity_id, id), both (graph, entity_id, other)."""
-    n = nodes.join(connected, graph, "left_semi").select(graph, "entity_id", "id")
-    link = written(both.join(n.select(graph, "entity_id", F.col("id").alias("u")), [graph, "entity_id"]).join(n.select(graph, F.col("entity_id").alias("other"), F.col("id").alias("v")), [graph, "other"]).select(graph, "u", "v"))
-    seen = written(n.select(graph, F.col("id").alias("v"), F.floor(F.col("id") / 64).alias("part"), F.expr("shiftleft(1L, cast(id % 64 as int))").alias("bits")))
-    fresh, far, step, keys = seen, None, 0, [graph, "part", "v"]
-    while True:
-        step += 1
-        moved = fresh.withColumnRenamed("v", "u").join(link, [graph, "u"]).groupBy(*keys).agg(F.bit_or("bits").alias("more"))
-        joined = moved.join(seen, keys, "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
-        fresh = written(joined.select(*keys, F.col("more").bitwiseAND(F.bitwise_not("bits")).alias("bits")).where("bits <> 0"))
-        alive = written(fresh.select(graph).distinct().withColumn("diameter", F.lit(step)))
-        if not alive.limit(1).count():
-            return far if far is not None else alive
-        far = alive if far is None else written(far.unionByName(alive).groupBy(graph).agg(F.max("diameter").alias("diameter")))
-        seen = written(seen.unionByName(fresh).groupBy(*keys).agg(F.bit_or("bits").alias("bits")))
-
-
 def mean_metrics(measures: DataFrame, columns: list[str]) -> DataFrame:
     """The mean of each measure over graphs (a row each); an infinite one makes its mean infinite."""
     return measures.agg(F.count("*").alias("graphs"), *(F.avg(F.col(c).cast("double")).alias(c) for c in columns))

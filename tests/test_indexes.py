@@ -138,3 +138,33 @@ def test_many_graphs(spark):
         one = graph.metrics(n.where(F.col("graph") == g), e.where(F.col("graph") == g), with_diameter=False).first()
         assert all(got[g][c] == pytest.approx(one[c]) for c in graph.MEASURES if c != "diameter"), g
     assert (got[5].num_nodes, got[5].num_components, got[5].diameter, got[5].mean_size) == (1, 1, 0, 0)
+
+
+@pytest.mark.parametrize("searches", [0, 10**6])
+def test_diameters_by_joins_and_by_tasks(spark, monkeypatch, searches):
+    """Both ways to search give the diameters of all graphs, side by side, however many nodes go at a time."""
+    rng = random.Random(11)
+    graphs = {g: connected(rng, 4 + 17 * g, g) for g in range(1, 4)} | {9: [(f"n{i:02d}", f"n{(i + 1) % 13:02d}") for i in range(13)]}
+    link = spark.createDataFrame([(g, 1000 * g + int(a[1:]), 1000 * g + int(b[1:])) for g, ps in graphs.items() for p in ps for a, b in (p, p[::-1])], "g int, u long, v long")
+    monkeypatch.setattr(graph, "SEARCHES", searches)
+    want = {g: longest({x for p in ps for x in p}, ps) for g, ps in graphs.items()}
+    assert {r.g: r.diameter for r in graph._diameters(link, "g", 5).collect()} == want
+    monkeypatch.setattr(graph, "LINKS", 40)  # the smallest by tasks, all others by joins
+    assert {r.g: r.diameter for r in graph._diameters(link, "g").collect()} == want
+
+
+def test_measures_of_a_hub(spark, monkeypatch):
+    """A diameter takes no rows by pairs of nodes."""
+    rows, write = [], graph.written
+
+    def counted(df, *by):
+        out = write(df, *by)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    leaves = spark.range(2000).select(F.lit(1).alias("graph"), F.format_string("x%05d", "id").alias("entity_id"))
+    e = leaves.select("graph", F.lit("hub").alias("src"), F.col("entity_id").alias("tgt"))
+    got = graph.many_metrics(leaves.unionByName(spark.createDataFrame([(1, "hub")], "graph int, entity_id string")), e).first()
+    assert (got.num_nodes, got.num_edges, got.diameter, got.average_clustering, got.num_components) == (2001, 2000, 2.0, 0.0, 1)
+    assert sum(rows) < 12 * 2001
