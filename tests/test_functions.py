@@ -5,6 +5,7 @@ import random
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docweave.functions import extraction, names
@@ -319,6 +320,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.content for r in store.tables()["contents"].collect()} == {"Alpha text", "Beta text"}
 
 
+def test_search_to_the_last_bit(spark, monkeypatch):
+    """Near and equal scores, odd rows, ids of any kind and repeated: what comparing all pairs by cosine() gives, over any blocks."""
+    rng = random.Random(3)
+    base = [[rng.uniform(-1, 1) for _ in range(7)] for _ in range(12)]
+    rows = [(i, [x * s for x in base[i % 12]]) for i in range(90) for s in [rng.choice([1.0, 1.0, 3.0, 1e-3, 0.1])]]
+    rows += [(90, None), (91, [0.0] * 7), (92, [1.0]), (93, base[0][:6] + [None]), (94, [1e-30] * 7), (95, [1e30] * 7), (None, base[1]), (5, base[2]), (5, base[2]), (96, [float("nan")] * 7), (97, []), (98, [1e200] * 7), (99, [-1e-200] * 7)]
+    for kind, cut in (("float", 95), ("double", 200)):
+        some = [(i, v, "x") for i, v in rows if i is None or i < cut]
+        df = spark.createDataFrame(some, f"vec_id long, embedding array<{kind}>, label string")
+        df = df.withColumns({"pair": F.when(F.col("vec_id").isNotNull(), F.struct((F.col("vec_id") % 7).cast("string").alias("a"), "vec_id")), "name": F.col("vec_id").cast("string")})
+        q = df.where("vec_id % 5 < 2 or vec_id > 89").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).distinct()
+        for row_id, k, threshold in (("vec_id", 4, None), ("pair", 9, 0.3), ("name", 30, 0.999999), ("vec_id", 0, None)):
+            each = df.crossJoin(q).withColumn("score", vector.cosine(F.col("embedding"), F.col("query"))).where("score is not null").where(F.lit(True) if threshold is None else F.col("score") >= threshold)
+            want = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), row_id))).where(F.col("rank") <= k).drop("query")
+            want = sorted(map(repr, (r.asDict() for r in want.select("vec_id", "query_id", "score", "rank", "label").collect())))
+            for size in ((4096, 1 << 16, 1024), (7, 20, 8)):
+                for name, n in zip(("QUERY_BLOCK", "ROW_BLOCK", "TILE"), size, strict=True):
+                    monkeypatch.setattr(vector, name, n)
+                got = vector.search_many(df, q, k, threshold, row_id).select("vec_id", "query_id", "score", "rank", "label")
+                assert sorted(map(repr, (r.asDict() for r in got.collect()))) == want, (kind, row_id, size)
+
+
 def test_search_of_any_number_of_queries(spark, monkeypatch):
     rows = [(i, [float(i * 37 % 101 - 50), float(i * 53 % 89 - 40), 1.0]) for i in range(1100)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
