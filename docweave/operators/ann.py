@@ -14,17 +14,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .vector import norm
+from .vector import dots, matrices
 
-#: Vectors of a block, queries of a part; candidates that are scored exactly for each result asked for.
-BLOCK, QUERIES, REFINE = 4096, 1024, 4
+#: Vectors of a block, queries of a part; candidates that are scored exactly for each result asked for; parts of queries whose best a task holds.
+BLOCK, QUERIES, REFINE, HELD = 4096, 1024, 4, 16
 LISTS = "ids array<string>, scale float, codes binary, exact binary, list_no int"
 
 
 def _unit(df: DataFrame, row_id: str, vector: str) -> DataFrame:
     """(id, u): ids as strings and unit vectors; null and zero vectors, to which nothing is similar, and null ids are left out."""
-    u = F.transform(vector, lambda x: (x.cast("double") / F.col("__n")).cast("float"))
-    return df.where(F.col(row_id).isNotNull()).withColumn("__n", norm(F.col(vector))).where("__n > 0").select(F.col(row_id).cast("string").alias("id"), u.alias("u"))
+
+    def units(batches):
+        for b in batches:
+            for at, m in matrices(b.column("u")).values():
+                every = np.arange(len(at))
+                n = np.sqrt(dots(m, m, every, every))
+                kept = ~(n <= 0)
+                u = (m / np.where(kept, n, 1)).T[kept].astype(np.float32)
+                offsets = pa.array(np.arange(len(u) + 1, dtype=np.int32) * u.shape[1])
+                yield pa.record_batch([b.column("id").take(pa.array(at[kept])), pa.ListArray.from_arrays(offsets, pa.array(u.ravel()))], names=["id", "u"])
+
+    rows = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("string").alias("id"), F.col(vector).alias("u"))
+    return rows.mapInArrow(units, "id string, u array<float>")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -33,6 +44,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dims)
 
 
+def _listed(column: pa.ListArray, row: int, dims: int, *more: str) -> tuple:
+    """Of a row's list of structs: query_id, the vectors u as a matrix, and other numbers."""
+    v = column[row].values
+    fields = {v.type.field(i).name: f for i, f in enumerate(v.flatten())}
+    return fields["query_id"], _matrix(fields["u"], dims), *(fields[c].to_numpy(zero_copy_only=False) for c in more)
+
+
 class Index:
     """An index below a path, whose vectors have `dims` components."""
 
@@ -45,7 +63,7 @@ class Index:
         from pyspark.ml.functions import array_to_vector
 
         unit = _unit(vectors, row_id, vector)
-        some = unit.orderBy(F.xxhash64("id"), "id").limit(sample).select(array_to_vector("u").alias("features"))
+        some = written(unit.orderBy(F.xxhash64("id"), "id").limit(sample)).select(array_to_vector("u").alias("features"))
         centres = KMeans(k=lists, seed=seed, maxIter=10).fit(some).clusterCenters()
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]  # `lists` rows
         self.spark.createDataFrame(rows, "list_no int, centre array<float>").coalesce(1).write.parquet(f"{self.path}/centres")
@@ -110,37 +128,54 @@ class Index:
         blocks = self.lists(probed)
 
         def coarse(batches):
+            # Of a part of the queries of a list the best so far, over the blocks of the list that the task has seen.
+            held: dict[tuple[int, int], list] = {}
+
+            def told():
+                for ids, top, blocks, places in held.values():
+                    n, many = top.shape
+                    yield pa.record_batch([ids.take(pa.array(np.repeat(np.arange(n), many))), pa.array(blocks.ravel(), pa.string()), pa.array(places.ravel(), pa.int32()), pa.array(top.ravel(), pa.float32())], names=["query_id", "block", "place", "about"])
+                held.clear()
+
             for b in batches:
-                out: list[list] = [[], [], [], []]
-                for no, ids, scale, codes, place, listed in zip(*(b.column(c).to_pylist() for c in ("list_no", "ids", "scale", "codes", "block", "asked")), strict=True):
-                    q = np.array([x["u"] for x in listed], np.float32)
-                    c = np.frombuffer(codes, np.int8).reshape(-1, dims).astype(np.float32)
-                    s = q @ centres[no][:, None] + scale * (q @ c.T)
-                    for x, row in zip(listed, s, strict=True):
-                        best = np.argpartition(-row, wide - 1)[:wide] if len(row) > wide else np.arange(len(row))
-                        for col, v in zip(out, ([x["query_id"]] * len(best), [place] * len(best), best.tolist(), row[best].tolist()), strict=True):
-                            col.extend(v)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.float32()), strict=True)], names=["query_id", "block", "place", "about"])
+                for r in range(b.num_rows):
+                    no, part, scale, place = (b.column(c)[r].as_py() for c in ("list_no", "part", "scale", "block"))
+                    ids, q = _listed(b.column("asked"), r, dims)
+                    c = np.frombuffer(b.column("codes")[r].as_buffer(), np.int8).reshape(-1, dims).astype(np.float32)
+                    top = (q @ centres[no])[:, None] + scale * (q @ c.T)
+                    at = np.broadcast_to(np.arange(len(c)), top.shape)
+                    if len(c) > wide:
+                        at = np.argpartition(-top, wide - 1, axis=1)[:, :wide]
+                        top = np.take_along_axis(top, at, 1)
+                    named = np.full(top.shape, place, object)
+                    if (no, part) in held:
+                        _, *before = held[no, part]
+                        top, named, at = (np.concatenate(x, axis=1) for x in zip(before, (top, named, at), strict=True))
+                        if top.shape[1] > wide:
+                            first = np.argpartition(-top, wide - 1, axis=1)[:, :wide]
+                            top, named, at = (np.take_along_axis(x, first, 1) for x in (top, named, at))
+                    held[no, part] = [ids, top, named, at]
+                    if len(held) >= HELD:
+                        yield from told()
+            yield from told()
 
         # A block is known by its file and its first id.
         block = F.concat_ws("/", "list_no", F.md5(F.concat_ws(",", "ids")))
-        light = blocks.select("list_no", "ids", "scale", "codes", block.alias("block"))
-        found = light.join(parts, "list_no").select("list_no", "ids", "scale", "codes", "block", "asked").mapInArrow(coarse, "query_id string, block string, place int, about float")
+        light = blocks.select("list_no", "scale", "codes", block.alias("block"))
+        found = light.join(parts, "list_no").select("list_no", "part", "scale", "codes", "block", "asked").mapInArrow(coarse, "query_id string, block string, place int, about float")
         over = Window.partitionBy("query_id")
         some = written(found.withColumn("__n", F.row_number().over(over.orderBy(F.desc("about"), "block", "place"))).where(F.col("__n") <= wide).drop("__n"))
         listed = some.join(asked, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "u", "place")).alias("asked"))
 
         def exact(batches):
             for b in batches:
-                out: list[list] = [[], [], []]
-                for ids, blob, listed in zip(*(b.column(c).to_pylist() for c in ("ids", "exact", "asked")), strict=True):
-                    m = np.frombuffer(blob, "<f4").reshape(-1, dims).astype(np.float64)
-                    for x in listed:
-                        for col, v in zip(out, (x["query_id"], ids[x["place"]], float(np.dot(m[x["place"]], np.array(x["u"], np.float64)))), strict=True):
-                            col.append(v)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+                for r in range(b.num_rows):
+                    asked_ids, u, place = _listed(b.column("asked"), r, dims, "place")
+                    m = np.frombuffer(b.column("exact")[r].as_buffer(), "<f4").reshape(-1, dims)[place]
+                    score = (m.astype(np.float64) * u).sum(1)
+                    yield pa.record_batch([asked_ids, b.column("ids")[r].values.take(pa.array(place)), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         scored = blocks.select("ids", "exact", block.alias("block")).join(listed, "block").select("ids", "exact", "asked").mapInArrow(exact, "query_id string, vec_id string, score double")
         scored = scored if threshold is None else scored.where(F.col("score") >= threshold)
-        rank = F.row_number().over(over.orderBy(F.desc("score"), "vec_id"))
+        rank = F.row_number().over(over.orderBy(F.desc("score"), F.col("vec_id").try_cast("long"), "vec_id"))  # ids that are numbers tie as numbers
         return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import ann, graph, labels
+from docweave.operators import ann, graph, labels, vector
 
 
 def plan(df):
@@ -168,3 +168,28 @@ def test_measures_of_a_hub(spark, monkeypatch):
     got = graph.many_metrics(leaves.unionByName(spark.createDataFrame([(1, "hub")], "graph int, entity_id string")), e).first()
     assert (got.num_nodes, got.num_edges, got.diameter, got.average_clustering, got.num_components) == (2001, 2000, 2.0, 0.0, 1)
     assert sum(rows) < 12 * 2001
+
+
+def test_a_lists_best_over_its_blocks(spark, tmp_path, monkeypatch):
+    """Of a list's blocks a task hands on its best candidates together, not each block's; odd vectors have no unit."""
+    rng = random.Random(4)
+    rows = [(f"v{i:04d}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(600)] + [("zero", [0.0] * 6), ("none", None), ("hole", [1.0, None] * 3), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>").coalesce(1)
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "HELD", 1 << 20)
+    handed, in_arrow = {}, type(df).mapInArrow
+
+    def counted(df, f, schema, *more):
+        out = in_arrow(df, f, schema, *more)
+        if "about" in schema:
+            handed["about"] = out.count()
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", counted)
+    index = ann.Index(spark, f"{tmp_path}/i").build(df, 2)
+    assert {r.vec_id for r in spark.read.parquet(f"{tmp_path}/i/lists").select(F.explode("ids").alias("vec_id")).collect()} == {f"v{i:04d}" for i in range(600)}
+    q = df.where("vec_id < 'v0040'").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = {(r.query_id, r["rank"]): r.vec_id for r in index.search(q, 5, 2, refine=4).collect()}
+    want = vector.search_many(df.where("vec_id like 'v%'"), q, 5).collect()
+    assert len(want) == 200 and sum(got[r.query_id, r["rank"]] == r.vec_id for r in want) >= 190
+    assert handed["about"] <= 40 * 2 * 20 * 4  # a list's best once a task, not once a block
