@@ -15,8 +15,8 @@ from .ranking import numbered
 from .scratch import shared_dir, written
 from .tables import merge_columns
 
-#: Links (edges both ways) of a graph that one task searches, and searches of 64 nodes that it makes at most; beyond them every step is a join.
-LINKS, SEARCHES = 1 << 20, 512
+#: Links (edges both ways) of a graph that one task searches, and searches of 64 nodes that it makes at most; beyond them every step is a join. Long paths looked for then.
+LINKS, SEARCHES, SWEEPS = 1 << 20, 512, 2
 
 
 def canonical(df: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
@@ -425,10 +425,17 @@ def _longest(u: np.ndarray, v: np.ndarray, searches: int) -> int | None:
             seen[front] |= bits
             level[front] = step
 
-    one = search(np.array([search(np.array([0]))[1].argmax()]))[1]
-    best, other = int(one.max()), one.argmax()
-    two = search(np.array([other]))[1]
-    levels = search(np.flatnonzero((one + two == best) & (one == best // 2))[:1])[1]
+    best, middle, levels = -1, 0, None
+    while True:
+        around = search(np.array([middle]))[1]
+        if levels is None or around.max() < levels.max():
+            levels = around
+        one = search(np.array([around.argmax()]))[1]
+        if one.max() <= best:
+            break
+        best = int(one.max())
+        two = search(np.array([one.argmax()]))[1]
+        middle = np.flatnonzero((one + two == best) & (one == best // 2))[0]
     for i in range(int(levels.max()), 0, -1):
         at = np.flatnonzero(levels == i)
         for k in range(0, len(at), 64):
@@ -496,11 +503,16 @@ def _diameters(link: DataFrame, graph: str, sources: int = 4096) -> DataFrame:
         last = levels.groupBy(graph).agg(F.max(F.struct("level", (-F.col("v")).alias("w"))).alias("x"))
         return written(last.select(graph, (-F.col("x.w")).alias("v"), F.col("x.level").alias("diameter")))
 
-    one = _distances(link, farthest(_distances(link, link.groupBy(graph).agg(F.min("u").alias("v")), graph)), graph)
-    other = farthest(one)
-    two, best = _distances(link, other, graph).withColumnRenamed("level", "back"), other.select(graph, "diameter")
-    middle = (F.col("level") + F.col("back") == F.col("diameter")) & (F.col("level") == F.floor(F.col("diameter") / 2))
-    levels = _distances(link, written(one.join(two, [graph, "v"]).join(best, graph).where(middle).groupBy(graph).agg(F.min("v").alias("v"))), graph)
+    best = written(link.groupBy(graph).agg(F.min("u").alias("v")).withColumn("diameter", F.lit(0)))  # and the middle of what is longest
+    for _ in range(SWEEPS):
+        one = _distances(link, farthest(_distances(link, best.select(graph, "v"), graph)), graph)
+        other = farthest(one)
+        two, far = _distances(link, other, graph).withColumnRenamed("level", "back"), other.select(graph, F.col("diameter").alias("__far"))
+        middle = (F.col("level") + F.col("back") == F.col("__far")) & (F.col("level") == F.floor(F.col("__far") / 2))
+        path = one.join(two, [graph, "v"]).join(far, graph).where(middle).groupBy(graph).agg(F.min("v").alias("__v"), F.first("__far").alias("__far"))
+        longer = F.col("__far") > F.col("diameter")
+        best = written(best.join(path, graph).select(graph, F.when(longer, F.col("__v")).otherwise(F.col("v")).alias("v"), F.greatest("__far", "diameter").alias("diameter")))
+    levels, best = _distances(link, best.select(graph, "v"), graph), best.select(graph, "diameter")
     for i in range(levels.agg(F.max("level")).first()[0], 0, -1):
         at = levels.where(F.col("level") == i).join(best.where(F.col("diameter") < 2 * i), graph, "left_semi")
         parts = at.groupBy(graph).agg(F.ceil(F.count("*") / sources).alias("__parts"))
@@ -519,7 +531,8 @@ def _diameters(link: DataFrame, graph: str, sources: int = 4096) -> DataFrame:
 def diameter(edges: DataFrame, sources: int = 4096) -> int:
     """The longest of the shortest paths of a connected graph, exact, by a few searches (iFUB; Crescenzi et al., 2013).
 
-    Two searches find a long path, whose length is a lower bound, and a node in its middle. Nodes at most i steps from
+    Two searches find a long path, whose length is a lower bound, and a node in its middle; from there again, while paths get
+    longer (where searches are joins, once more), so a start among hubs does no harm. Nodes at most i steps from
     there are at most 2 i from each other, so levels are taken from the outside in, `sources` nodes at a time, until the
     longest path found is as long as those within the next level can be.
     """

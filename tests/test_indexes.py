@@ -193,3 +193,13 @@ def test_a_lists_best_over_its_blocks(spark, tmp_path, monkeypatch):
     want = vector.search_many(df.where("vec_id like 'v%'"), q, 5).collect()
     assert len(want) == 200 and sum(got[r.query_id, r["rank"]] == r.vec_id for r in want) >= 190
     assert handed["about"] <= 40 * 2 * 20 * 4  # a list's best once a task, not once a block
+
+
+@pytest.mark.parametrize("links", [0, 1 << 20])
+def test_diameter_from_a_start_among_hubs(spark, monkeypatch, links):
+    """The first search starts at a hub, all of whose farthest nodes are as near as hubs are; no leaf is searched from for that."""
+    e = [(f"A{i}", f"B{j}") for i in range(3) for j in range(4)] + [(f"B{i % 4}", f"C{i:03d}") for i in range(200)]
+    monkeypatch.setattr(graph, "LINKS", links)
+    monkeypatch.setattr(graph, "SEARCHES", 0)
+    monkeypatch.setattr(graph, "_eccentricities", None)
+    assert graph.diameter(spark.createDataFrame(e, "src string, tgt string")) == 4
