@@ -69,7 +69,7 @@ def described(records: DataFrame, keys: list[str]) -> DataFrame:
     return first.withColumn("position", F.row_number().over(over)).select(*keys, "description", "position")
 
 
-def _merged(records: DataFrame, keys: list[str], existing: DataFrame | None, limit: int, method: str, own: str, texts_too: bool = True) -> DataFrame:
+def _merged(records: DataFrame, keys: list[str], existing: DataFrame | None, limit: int, method: str, own: str, texts_too: bool = True, paths_too: bool = True) -> DataFrame:
     """source_ids, file_paths and descriptions of each key, those of `existing` first, up to the limits, and what `own` makes.
 
     own: `entity_type`, whose most frequent value is taken, or `keywords`, whose words are, and weights added up. Records
@@ -78,7 +78,7 @@ def _merged(records: DataFrame, keys: list[str], existing: DataFrame | None, lim
     """
     none, weighted = F.array().cast("array<string>"), own == "keywords"
     weight = F.col("weight") if weighted else F.lit(None).cast("double")
-    kinds = {"source": "source_id", "path": "file_path", "own": own} | ({"text": "description"} if texts_too else {})
+    kinds = {"source": "source_id", "own": own} | ({"path": "file_path"} if paths_too else {}) | ({"text": "description"} if texts_too else {})
     listed = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()))).alias("x")
     rows = records.select(*keys, "seq", "ts", F.lit(0).alias("late"), weight.alias("weight"), listed).select(*keys, "x.kind", "x.value", "late", "seq", "ts", "weight")
     if existing is not None:
@@ -130,12 +130,13 @@ def keyword_tokens(keywords: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
-def merge_edges(records: DataFrame, existing: DataFrame | None = None, limit: int = MAX_SOURCE_IDS, method: str = "FIFO", texts: bool = True) -> DataFrame:
+def merge_edges(records: DataFrame, existing: DataFrame | None = None, limit: int = MAX_SOURCE_IDS, method: str = "FIFO", texts: bool = True, paths: bool = True) -> DataFrame:
     """Extracted relations (src, tgt, weight, keywords, description, source_id, file_path, ts, seq) merged by pair.
 
-    Weights add up, also to that of an existing edge; keywords are the sorted words of all. Lists as in merge_nodes.
+    Weights add up, also to that of an existing edge; keywords are the sorted words of all. Lists as in merge_nodes; with
+    paths=False those of paths are left out too, for callers that have no use for them.
     """
-    out = _merged(canonical(records), ["src", "tgt"], existing and canonical(existing), limit, method, "keywords", texts)
+    out = _merged(canonical(records), ["src", "tgt"], existing and canonical(existing), limit, method, "keywords", texts, paths)
     return out.select("src", "tgt", "weight", "keywords", "source_ids", "file_paths", "descriptions")
 
 

@@ -69,7 +69,7 @@ w AS (SELECT part, supp, sum(weight) AS weight FROM li GROUP BY 1, 2)
 SELECT part AS src, supp AS tgt, weight, keywords, source_ids FROM w JOIN ko USING (part, supp) JOIN so USING (part, supp)""")
 def kg_edges_merge(spark, sf):
     """Records of relations merged: weights added, keywords sorted, sources in order."""
-    m = graph.merge_edges(_records(spark, sf).withColumnsRenamed({"part": "src", "supp": "tgt"}))
+    m = graph.merge_edges(_records(spark, sf).withColumnsRenamed({"part": "src", "supp": "tgt"}), texts=False, paths=False)
     return m.select("src", "tgt", "weight", "keywords", F.array_join("source_ids", ",").alias("source_ids"))
 
 

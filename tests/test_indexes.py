@@ -203,3 +203,12 @@ def test_diameter_from_a_start_among_hubs(spark, monkeypatch, links):
     monkeypatch.setattr(graph, "SEARCHES", 0)
     monkeypatch.setattr(graph, "_eccentricities", None)
     assert graph.diameter(spark.createDataFrame(e, "src string, tgt string")) == 4
+
+
+def test_edges_without_the_lists_nobody_asked_for(spark):
+    rows = [("a", "b", 1.0, "y,x", "d1", "c1", "f1", 1, "01"), ("b", "a", 2.0, "z", "d2", "c2", "f2", 2, "02"), ("a", "c", 4.0, "x", "d1", "c1", "f1", 1, "03")]
+    df = spark.createDataFrame(rows, "src string, tgt string, weight double, keywords string, description string, source_id string, file_path string, ts int, seq string")
+    kept = ("src", "tgt", "weight", "keywords", "source_ids")
+    whole, short = graph.merge_edges(df), graph.merge_edges(df, texts=False, paths=False)
+    assert sorted(short.select(*kept).collect()) == sorted(whole.select(*kept).collect()) and len(whole.collect()) == 2
+    assert all(r.file_paths == [] and r.descriptions == [] for r in short.collect())
